@@ -1,0 +1 @@
+"""No operator of this library works on streams; tables come and go as batches."""

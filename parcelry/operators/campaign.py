@@ -40,11 +40,15 @@ def checked(df: DataFrame, prob: str) -> DataFrame:
 
 
 def with_sweep(df: DataFrame, by: Sequence[str], sweeps: list[tuple[float, int]], prob: str = "prob", choose: str | None = None) -> DataFrame:
-    """df with _sweep, from 0. Tiles are chosen by the scores `choose` (default: the same), parcels in them dug by prob."""
+    """df with _sweep, from 0, and _want. Tiles are chosen by the scores `choose` (default: the same), parcels in them dug by prob.
+
+    _want: the parcels of the tile, still undug, whose choosing score was over the threshold; null where that is the number dug.
+    A tile's scores are gathered for the fold: a tile is a neighbourhood, bounded by the tiling, not by the table.
+    """
     limits = [float(t) for t, _ in sweeps]
     if all(m <= 1 for _, m in sweeps) and choose is None:
         first = F.filter(F.sequence(F.lit(0), F.lit(len(limits) - 1)), lambda k: F.get(F.array(*[F.lit(t) for t in limits]), k) < F.col(prob))
-        return df.withColumn("_sweep", F.element_at(first, 1))
+        return df.withColumn("_sweep", F.element_at(first, 1)).withColumn("_want", F.lit(None).cast("int"))
     keys = [*by, "tile_id"]
     picked = choose or prob
     steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t"), F.lit(m).alias("m")) for k, (t, m) in enumerate(sweeps)])
@@ -55,14 +59,14 @@ def with_sweep(df: DataFrame, by: Sequence[str], sweeps: list[tuple[float, int]]
         fires = (want >= s["m"]) & (want > 0)
         return F.struct(
             F.when(fires, F.filter(state["left"], lambda p: ~(p["b"] > s["t"]))).otherwise(state["left"]).alias("left"),
-            F.when(fires, F.concat(state["fired"], F.array(s["k"]))).otherwise(state["fired"]).alias("fired"),
+            F.when(fires, F.concat(state["fired"], F.array(F.struct(s["k"].alias("k"), want.alias("want"))))).otherwise(state["fired"]).alias("fired"),
         )
 
-    start = F.struct(F.col("_ps").alias("left"), F.array().cast("array<int>").alias("fired"))
+    start = F.struct(F.col("_ps").alias("left"), F.array().cast("array<struct<k:int,want:int>>").alias("fired"))
     fired = tile.select(*keys, F.aggregate(steps, start, fold)["fired"].alias("_fired"))
     values = F.array(*[F.lit(t) for t in limits])
-    mine = F.filter("_fired", lambda k: F.get(values, k) < F.col(prob))
-    return df.join(fired, keys).withColumn("_sweep", F.element_at(mine, 1)).drop("_fired")
+    mine = F.get(F.filter("_fired", lambda f: F.get(values, f["k"]) < F.col(prob)), F.lit(0))
+    return df.join(fired, keys).withColumn("_sweep", mine["k"]).withColumn("_want", mine["want"]).drop("_fired")
 
 
 def campaign(
@@ -85,11 +89,9 @@ def campaign(
     by = list(by)
     sweeps = schedule(threshold_init, threshold_increment, min_digs, min_digs_increment)
     dug = with_sweep(checked(df, prob), by, sweeps, prob, choose)
-    if choose is not None:
-        dug = dug.withColumn("_sweep", F.coalesce("_sweep", F.lit(len(sweeps) - 1)))
     tie_key = F.col("tile_id") if tie == "id" else F.xxhash64(F.lit(seed), F.col("_sweep"), F.col("tile_id"))
-    visits = dug.groupBy(*by, "_sweep", "tile_id").agg(F.count("*").alias("_digs"), F.sum("label").alias("_hits"))
-    order = Window.partitionBy(*by).orderBy("_sweep", F.desc("_digs"), tie_key, "tile_id")
+    visits = dug.groupBy(*by, "_sweep", "tile_id").agg(F.count("*").alias("_digs"), F.sum("label").alias("_hits"), F.max("_want").alias("_want"))
+    order = Window.partitionBy(*by).orderBy("_sweep", F.desc(F.coalesce("_want", "_digs")), tie_key, "tile_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     visits = visits.select(
         *by, "_sweep", "tile_id",

@@ -38,7 +38,7 @@ def histogram(df: DataFrame, col: str, n_bins: int, by: Sequence[str] = (), kind
     joined = rows.join(ends, by) if by else rows.crossJoin(F.broadcast(ends))
     width = (F.col("_hi") - F.col("_lo")) / n_bins
     counts = joined.withColumn("bin", F.when(width == 0, 0).otherwise(bucketed(F.col(col), F.col("_lo"), F.col("_hi"), n_bins))).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.first("_lo").alias("_lo"), F.first("_hi").alias("_hi"), F.first("_n").alias("_n"))
-    value = {"share": F.col("n") / F.col("_n"), "density": F.col("n") / F.col("_n") / width, "count": F.col("n").cast("double")}[kind]
+    value = {"share": F.col("n") / F.col("_n"), "density": F.try_divide(F.col("n") / F.col("_n"), width), "count": F.col("n").cast("double")}[kind]
     return counts.select(*by, "bin", (F.col("_lo") + F.col("bin") * width).alias("low"), "n", value.alias("value"))
 
 
@@ -62,7 +62,7 @@ def tract_report(parcels: DataFrame, table: DataFrame, cols: Sequence[str], by:
     means = parcels.groupBy(by).agg(F.count("*").alias("n_parcels"), *[F.avg(c).alias(c) for c in cols])
     if shares:
         a, b = (F.col(c) for c in shares)
-        means = means.withColumn("percent_share", F.round(100 * a / (a + b), 1))
+        means = means.withColumn("percent_share", F.round(F.try_divide(100 * a, a + b), 1))
     return means.join(table.groupBy(by).agg(F.avg("dig_change").alias("mean_shift")), by, "left")
 
 
@@ -79,7 +79,7 @@ def spearman(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
         ranked = _ranks(_ranks(df.filter(F.col(f).isNotNull() & F.col(target).isNotNull()), f), target)
         one = ranked.agg(F.lit(f).alias("feature"), F.count("*").alias("n"), F.corr(f"_r_{f}", f"_r_{target}").alias("rho"))
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("t", F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho"))))
+    return out.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.greatest(F.col("n") - 2, F.lit(0)), 1 - F.col("rho") * F.col("rho"))))
 
 
 def worthy_tracts(parcels: DataFrame, by: str = "tract", excluded: Sequence[str] = ()) -> DataFrame:

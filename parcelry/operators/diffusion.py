@@ -5,7 +5,7 @@ Each parcel's scores of all experiments are packed into one array, so that an ed
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,3 +58,39 @@ def diffuse(values: DataFrame, edges: DataFrame, by: Sequence[str], lam: float =
     chosen = out if trace else now
     opened = chosen.select("pid", *(["iter"] if trace else []), F.posexplode("v").alias("_k", "v")).filter(F.col("v").isNotNull())
     return opened.join(F.broadcast(numbered), "_k").select(*by, *(["iter"] if trace else []), "pid", "v")
+
+
+def tuning_grid(
+    values: DataFrame,
+    edges: DataFrame,
+    graphs: Sequence[str],
+    weights: dict[str, Callable[[Column], Column]],
+    ks: Sequence[int],
+    lams: Sequence[float],
+    n_iter: int = 1,
+) -> DataFrame:
+    """(graph, weight, k, lam, split, pid, v): the values of every split diffused under every combination, in one plan.
+
+    edges: (graph, src, dst, dist, rank), neighbours ranked by graph up to the largest k. A parcel's values of all splits and
+    combinations are one array, so each step joins and aggregates the edges once.
+    """
+    spark = values.sparkSession
+    splits = sorted(r["split"] for r in values.select("split").distinct().collect())
+    cells = [(g, w, k, lam) for g in graphs for w in weights for k in ks for lam in lams]
+    packed = values.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("split", "v"))).alias("m"))
+    each = F.array(*[F.element_at("m", F.lit(s)) for s in splits])
+    now = packed.select("pid", F.flatten(F.array_repeat(each, len(cells))).alias("v"))
+    shares = [F.when((F.col("graph") == g) & (F.col("rank") <= k), weights[w](F.col("dist"))).otherwise(0.0) for g, w, k, _ in cells]
+    for _ in range(n_iter):
+        flat = edges.join(now.select(F.col("pid").alias("dst"), "v"), "dst").select("src", "v", F.array(*shares).alias("w"))
+        sums = [F.sum(F.get("w", F.lit(c))).alias(f"w{c}") for c in range(len(cells))]
+        sums += [F.sum(F.get("w", F.lit(c)) * F.get("v", F.lit(c * len(splits) + s))).alias(f"s{c}_{s}") for c in range(len(cells)) for s in range(len(splits))]
+        means = F.array(*[F.col(f"s{c}_{s}") / F.nullif(F.col(f"w{c}"), F.lit(0.0)) for c in range(len(cells)) for s in range(len(splits))])
+        near = flat.groupBy("src").agg(*sums).select(F.col("src").alias("pid"), means.alias("_mean"))
+        lam = F.array(*[F.lit(float(cell[3])) for cell in cells for _ in splits])
+        joined = now.join(near, "pid", "left")
+        moved = F.transform("v", lambda own, i: F.coalesce(F.get(lam, i) * own + (1 - F.get(lam, i)) * F.get("_mean", i), own))
+        now = joined.select("pid", F.when(F.col("_mean").isNull(), F.col("v")).otherwise(moved).alias("v"))
+    rows = [(c * len(splits) + j, *cell, s) for c, cell in enumerate(cells) for j, s in enumerate(splits)]
+    named = spark.createDataFrame([(i, g, w, int(k), float(lam), int(s)) for i, g, w, k, lam, s in rows], "_i int, graph string, weight string, k int, lam double, split int")
+    return now.select("pid", F.posexplode("v").alias("_i", "v")).join(F.broadcast(named), "_i").drop("_i")

@@ -70,7 +70,7 @@ def graph_profile(edges: DataFrame, points: DataFrame) -> DataFrame:
     """(n_nodes, n_edges, fill_percent, max_degree) of a directed edge table."""
     degrees = edges.groupBy("src").count()
     return degrees.agg(F.sum("count").alias("n_edges"), F.max("count").alias("max_degree")).crossJoin(points.agg(F.count("*").alias("n_nodes"))).select(
-        "n_nodes", "n_edges", (100 * F.col("n_edges") / (F.col("n_nodes") * F.col("n_nodes"))).alias("fill_percent"), "max_degree"
+        "n_nodes", "n_edges", F.try_divide(100 * F.col("n_edges"), F.col("n_nodes") * F.col("n_nodes")).alias("fill_percent"), "max_degree"
     )
 
 
@@ -122,7 +122,7 @@ def normalised(edges: DataFrame, by: str | None = None) -> DataFrame:
     """w over the sum of all, or of its group's, weights."""
     total = edges.groupBy(*([by] if by else [])).agg(F.sum("w").alias("_total"))
     joined = edges.join(total, by) if by else edges.crossJoin(F.broadcast(total))
-    return joined.withColumn("w", F.col("w") / F.col("_total")).drop("_total")
+    return joined.withColumn("w", F.try_divide(F.col("w"), F.col("_total"))).drop("_total")
 
 
 def neighbour_features(edges: DataFrame, features: DataFrame, cols: list[str], how: str = "mean", update: str = "concat") -> DataFrame:

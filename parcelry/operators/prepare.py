@@ -110,7 +110,7 @@ def over_train_max(df: DataFrame, col: str, by: Sequence[str] = (), role: str =
     """The column divided by the train rows' largest value of each group; the maxima are aggregated and joined back."""
     top = df.filter(F.col(role) == train).groupBy(*by).agg(F.max(col).alias("_top"))
     joined = df.join(top, list(by)) if by else df.crossJoin(F.broadcast(top))
-    return joined.select(*[(F.col(c) / F.col("_top")).alias(c) if c == col else F.col(c) for c in df.columns])
+    return joined.select(*[F.try_divide(F.col(c), F.col("_top")).alias(c) if c == col else F.col(c) for c in df.columns])
 
 
 def recode_distances(edges: DataFrame, sentinel: float = 1e5) -> DataFrame:

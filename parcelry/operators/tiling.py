@@ -30,7 +30,7 @@ def projected(points: DataFrame, resolutions: Sequence[int]) -> DataFrame:
     return (
         flat.withColumn("x", (F.col("lon") - F.col("min_lon")) * scale)
         .withColumn("y", F.col("lat") - F.col("min_lat"))
-        .withColumn("_extent", F.greatest(width, height))
+        .withColumn("_extent", F.greatest(width, height, F.lit(1e-9)))
         .withColumn("resolution", F.explode(F.array(*[F.lit(r) for r in resolutions])))
         .withColumn("w", F.col("_extent") / F.col("resolution"))
         .drop("min_lat", "max_lat", "min_lon", "max_lon", "_extent")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import haversine_km, inverse_sqrt_weight, inverse_weight
@@ -9,6 +10,7 @@ from ..operators import diffusion, distance, splits, tiling
 from ..operators.campaign import hit_rate_curve
 from ..operators.metrics import curve_area, log_loss
 from ..operators.prepare import semi
+from ..sources.store import held
 from . import fixtures as fx
 from .registry import R, query
 
@@ -222,19 +224,14 @@ def tuning(spark, d):
     """Mean log loss and hit-rate area over splits for graph, weight, K and lambda, beside the undiffused values."""
     test = fx.predictions(spark, d).filter("role = 'test' AND model = 'a' AND train_size = 0.4e0 AND resolution = 10").select("split", "pid").join(fx.labels(spark, d), "pid")
     values = start(spark, d).filter("model = 'a' AND train_size = 0.4e0 AND resolution = 10").select("split", "pid", "v")
-    graphs = {"haversine": fx.edges(spark, d), "road": fx.durations(spark, d).withColumnRenamed("seconds", "dist_km")}
-    out = None
-    for graph, edges in graphs.items():
-        ranked = distance.nearest(edges, 10).cache()
-        for name, weight in (("linear", inverse_weight), ("sqrt", inverse_sqrt_weight)):
-            for k in (5, 10):
-                some = distance.weighted(ranked.filter(F.col("rank") <= k), weight)
-                for lam in (0.5, 0.9):
-                    new = diffusion.diffuse(values, some, ["split"], lam=lam, n_iter=1)
-                    one = new.select(*[F.lit(x).alias(c) for c, x in (("graph", graph), ("weight", name), ("k", k), ("lam", lam))], "split", "pid", F.col("v").alias("prob"))
-                    out = one if out is None else out.unionByName(one)
+    road = fx.durations(spark, d).select(F.lit("road").alias("graph"), "src", "dst", F.col("seconds").alias("dist"))
+    straight = fx.edges(spark, d).select(F.lit("haversine").alias("graph"), "src", "dst", F.col("dist_km").alias("dist"))
+    rank = F.row_number().over(Window.partitionBy("graph", "src").orderBy("dist", "dst"))
+    ranked = straight.unionByName(road).withColumn("rank", rank).filter("rank <= 10")
+    weights = {"linear": inverse_weight, "sqrt": inverse_sqrt_weight}
+    out = diffusion.tuning_grid(values, ranked, ["haversine", "road"], weights, [5, 10], [0.5, 0.9]).withColumnRenamed("v", "prob")
     base = values.select(F.lit("none").alias("graph"), F.lit("none").alias("weight"), F.lit(0).alias("k"), F.lit(1.0).alias("lam"), "split", "pid", F.col("v").alias("prob"))
-    rows = out.unionByName(base).join(test, ["split", "pid"])
+    rows = held(out.unionByName(base).join(test, ["split", "pid"]))
     by = ["graph", "weight", "k", "lam"]
     loss = log_loss(rows, [*by, "split"]).groupBy(*by).agg(F.avg("log_loss").alias("log_loss"))
     area = curve_area(hit_rate_curve(rows, [*by, "split"]), [*by, "split"]).groupBy(*by).agg(F.avg("area").alias("auhrc"))
@@ -262,7 +259,7 @@ def d6_tuning(spark, d):
 
 @query(tuning_sql() + f"SELECT graph, weight, k, lam, {R('log_loss')}, {R('auhrc')}, l <= 0.0002e0 AS best_loss, a <= 0.5e0 AS best_area FROM (SELECT *, log_loss - min(log_loss) OVER () AS l, max(auhrc) OVER () - auhrc AS a FROM tuned) WHERE l <= 0.0002e0 OR a <= 0.5e0")
 def d7_best_cells(spark, d):
-    grid = tuning(spark, d)
+    grid = held(tuning(spark, d))
     ends = grid.agg(F.min("log_loss").alias("_l"), F.max("auhrc").alias("_a"))
     flagged = grid.crossJoin(F.broadcast(ends)).withColumn("best_loss", F.col("log_loss") - F.col("_l") <= 0.0002).withColumn("best_area", F.col("_a") - F.col("auhrc") <= 0.5)
     return flagged.filter("best_loss OR best_area").drop("_l", "_a")

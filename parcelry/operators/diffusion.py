@@ -1,6 +1,6 @@
 """Smoothing of scores over a neighbour graph, for any number of experiments at once.
 
-Each parcel's scores of all experiments are packed into one array, so that an edge moves one row a step.
+Each parcel's scores are packed into arrays of PACKED experiments, so that an edge moves few rows a step, and a step sums few columns.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+PACKED = 16
+
 
 def initial_values(nodes: DataFrame, predictions: DataFrame, by: Sequence[str], init: str = "prediction") -> DataFrame:
     """(*by, pid, v) for every node and experiment: its score, train or test; elsewhere the median of the test scores.
@@ -31,33 +33,39 @@ def diffuse(values: DataFrame, edges: DataFrame, by: Sequence[str], lam: float =
     """
     keys = values.select(*by).distinct()
     listed = [tuple(r) for r in keys.orderBy(*by).collect()]
-    order = {k: i for i, k in enumerate(listed)}
-    numbered = values.sparkSession.createDataFrame([(*k, i) for k, i in order.items()], T.StructType([*keys.schema.fields, T.StructField("_k", T.IntegerType())]))
-    packed = values.join(F.broadcast(numbered), list(by)).groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("_k", "v"))).alias("m"))
-    packed = packed.select("pid", F.transform(F.sequence(F.lit(0), F.lit(len(listed) - 1)), lambda k: F.element_at("m", k)).alias("v"))
+    numbered = values.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(listed)], T.StructType([*keys.schema.fields, T.StructField("_k", T.IntegerType())]))
+    width = min(PACKED, len(listed)) or 1
+    packed = (
+        values.join(F.broadcast(numbered), list(by))
+        .groupBy("pid", F.floor(F.col("_k") / width).alias("_c"))
+        .agg(F.map_from_entries(F.collect_list(F.struct((F.col("_k") % width).alias("k"), "v"))).alias("m"))
+        .select("pid", "_c", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.element_at("m", k)).alias("v"))
+    )
     slim = edges.select("src", "dst", "w")
     spark, steps = values.sparkSession, [packed]
     durable = bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
-    now = packed
-    for step in range(1, n_iter + 1):
-        flat = slim.join(now.select(F.col("pid").alias("dst"), "v"), "dst")
-        sums = flat.groupBy("src").agg(F.sum("w").alias("_w"), *[F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"_{k}") for k in range(len(listed))])
-        mean = sums.select(F.col("src").alias("pid"), F.array(*[F.col(f"_{k}") / F.col("_w") for k in range(len(listed))]).alias("_mean"))
 
-        def moved(own: Column, near: Column) -> Column:
-            new = F.lit(lam) * own + F.lit(1 - lam) * near
-            return F.when(own.isin(0.0, 1.0), own).otherwise(new) if freeze_certain else new
+    def moved(own: Column, near: Column) -> Column:
+        new = F.lit(lam) * own + F.lit(1 - lam) * near
+        return F.when(own.isin(0.0, 1.0), own).otherwise(new) if freeze_certain else new
 
-        now = now.join(mean, "pid", "left").select("pid", F.when(F.col("_mean").isNull(), F.col("v")).otherwise(F.zip_with("v", "_mean", moved)).alias("v"))
+    now = packed
+    for step in range(1, n_iter + 1):
+        flat = slim.join(now.select(F.col("pid").alias("dst"), "_c", "v"), "dst")
+        sums = flat.groupBy("src", "_c").agg(F.sum("w").alias("_w"), *[F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"_{k}") for k in range(width)])
+        mean = sums.select(F.col("src").alias("pid"), "_c", F.array(*[F.col(f"_{k}") / F.col("_w") for k in range(width)]).alias("_mean"))
+        now = now.join(mean, ["pid", "_c"], "left").select("pid", "_c", F.when(F.col("_mean").isNull(), F.col("v")).otherwise(F.zip_with("v", "_mean", moved)).alias("v"))
         if durable and step % cut_every == 0:
             now = now.checkpoint()
         steps.append(now)
-    out = steps[0].withColumn("iter", F.lit(0))
-    for k, s in enumerate(steps[1:], 1):
-        out = out.unionByName(s.withColumn("iter", F.lit(k)))
-    chosen = out if trace else now
-    opened = chosen.select("pid", *(["iter"] if trace else []), F.posexplode("v").alias("_k", "v")).filter(F.col("v").isNotNull())
-    return opened.join(F.broadcast(numbered), "_k").select(*by, *(["iter"] if trace else []), "pid", "v")
+    chosen = now
+    if trace:
+        chosen = steps[0].withColumn("iter", F.lit(0))
+        for k, s in enumerate(steps[1:], 1):
+            chosen = chosen.unionByName(s.withColumn("iter", F.lit(k)))
+    extra = ["iter"] if trace else []
+    opened = chosen.select("pid", "_c", *extra, F.posexplode("v").alias("_i", "v")).filter(F.col("v").isNotNull())
+    return opened.withColumn("_k", (F.col("_c") * width + F.col("_i")).cast("int")).join(F.broadcast(numbered), "_k").select(*by, *extra, "pid", "v")
 
 
 def tuning_grid(
@@ -71,26 +79,23 @@ def tuning_grid(
 ) -> DataFrame:
     """(graph, weight, k, lam, split, pid, v): the values of every split diffused under every combination, in one plan.
 
-    edges: (graph, src, dst, dist, rank), neighbours ranked by graph up to the largest k. A parcel's values of all splits and
-    combinations are one array, so each step joins and aggregates the edges once.
+    edges: (graph, src, dst, dist, rank), neighbours ranked by graph up to the largest k. Combinations are rows; a parcel's
+    values of all splits are one array.
     """
     spark = values.sparkSession
     splits = sorted(r["split"] for r in values.select("split").distinct().collect())
-    cells = [(g, w, k, lam) for g in graphs for w in weights for k in ks for lam in lams]
+    cells = [(i, *cell) for i, cell in enumerate((g, w, int(k), float(lam)) for g in graphs for w in weights for k in ks for lam in lams)]
+    grid = F.broadcast(spark.createDataFrame(cells, "cell int, graph string, weight string, k int, lam double"))
+    weight = F.coalesce(*[F.when(F.col("weight") == name, f(F.col("dist"))) for name, f in weights.items()])
+    slim = edges.join(grid, "graph").filter("rank <= k").select("cell", "src", "dst", weight.alias("w"))
     packed = values.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("split", "v"))).alias("m"))
-    each = F.array(*[F.element_at("m", F.lit(s)) for s in splits])
-    now = packed.select("pid", F.flatten(F.array_repeat(each, len(cells))).alias("v"))
-    shares = [F.when((F.col("graph") == g) & (F.col("rank") <= k), weights[w](F.col("dist"))).otherwise(0.0) for g, w, k, _ in cells]
+    now = packed.select("pid", F.array(*[F.element_at("m", F.lit(s)) for s in splits]).alias("v")).crossJoin(grid.select("cell", "lam"))
     for _ in range(n_iter):
-        flat = edges.join(now.select(F.col("pid").alias("dst"), "v"), "dst").select("src", "v", F.array(*shares).alias("w"))
-        sums = [F.sum(F.get("w", F.lit(c))).alias(f"w{c}") for c in range(len(cells))]
-        sums += [F.sum(F.get("w", F.lit(c)) * F.get("v", F.lit(c * len(splits) + s))).alias(f"s{c}_{s}") for c in range(len(cells)) for s in range(len(splits))]
-        means = F.array(*[F.col(f"s{c}_{s}") / F.nullif(F.col(f"w{c}"), F.lit(0.0)) for c in range(len(cells)) for s in range(len(splits))])
-        near = flat.groupBy("src").agg(*sums).select(F.col("src").alias("pid"), means.alias("_mean"))
-        lam = F.array(*[F.lit(float(cell[3])) for cell in cells for _ in splits])
-        joined = now.join(near, "pid", "left")
-        moved = F.transform("v", lambda own, i: F.coalesce(F.get(lam, i) * own + (1 - F.get(lam, i)) * F.get("_mean", i), own))
-        now = joined.select("pid", F.when(F.col("_mean").isNull(), F.col("v")).otherwise(moved).alias("v"))
-    rows = [(c * len(splits) + j, *cell, s) for c, cell in enumerate(cells) for j, s in enumerate(splits)]
-    named = spark.createDataFrame([(i, g, w, int(k), float(lam), int(s)) for i, g, w, k, lam, s in rows], "_i int, graph string, weight string, k int, lam double, split int")
-    return now.select("pid", F.posexplode("v").alias("_i", "v")).join(F.broadcast(named), "_i").drop("_i")
+        flat = slim.join(now.select("cell", F.col("pid").alias("dst"), "v"), ["cell", "dst"])
+        sums = flat.groupBy("cell", "src").agg(F.sum("w").alias("_w"), *[F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"_{k}") for k in range(len(splits))])
+        mean = sums.select("cell", F.col("src").alias("pid"), F.array(*[F.col(f"_{k}") / F.col("_w") for k in range(len(splits))]).alias("_mean"))
+        moved = F.zip_with("v", "_mean", lambda own, near: F.col("lam") * own + (1 - F.col("lam")) * near)
+        now = now.join(mean, ["cell", "pid"], "left").select("cell", "lam", "pid", F.when(F.col("_mean").isNull(), F.col("v")).otherwise(moved).alias("v"))
+    named = F.array(*[F.lit(s) for s in splits])
+    opened = now.select("cell", "pid", F.posexplode("v").alias("_i", "v")).withColumn("split", F.get(named, F.col("_i")))
+    return opened.join(grid, "cell").select("graph", "weight", "k", "lam", "split", "pid", "v")

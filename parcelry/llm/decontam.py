@@ -17,14 +17,18 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: ASCII letters and digits and everything beyond ASCII make words; A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 BLOCK_WORDS = 200_000
+#: Bytes of text that a worker holds as words at once; more where each piece meets several blocks.
+PIECE, BLOCK_PIECE = 2 << 20, 16 << 20
 
 
 def plain(text: str | None) -> bytes:
@@ -166,14 +170,15 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def item_blocks(items: DataFrame, id_col: str, text: str, block_words: int) -> list[list[tuple[str, str]]]:
-    """Items that have a word, as (id, normalised text), in blocks of block_words words (one item at least)."""
+    """Items that have a word, as (id, normalised text), in blocks of about block_words words, dealt by hash."""
     words = F.regexp_count(F.lower(F.col(text)), F.lit(WORD))
     sized = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text).alias("t"), words.alias("n")).filter("n > 0")
     total = sized.agg(F.sum("n")).first()[0] or 0
     if total <= block_words:
         return [[(r["id"], r["t"]) for r in sized.collect()]] if total else []
-    placed = sized.withColumn("b", F.floor((F.sum("n").over(Window.orderBy("id", "t").rowsBetween(Window.unboundedPreceding, 0)) - 1) / block_words))
-    return [[(r["id"], r["t"]) for r in placed.filter(F.col("b") == k).collect()] for k in sorted(r["b"] for r in placed.select("b").distinct().collect())]
+    blocks = -(-total // block_words)
+    placed = sized.withColumn("b", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)))
+    return [block for k in range(blocks) if (block := [(r["id"], r["t"]) for r in placed.filter(F.col("b") == k).collect()])]
 
 
 def scan_benchmark(
@@ -195,7 +200,7 @@ def scan_benchmark(
     """
     spark = docs.sparkSession
     new = "n_words bigint, n_hit bigint, hit_items array<string>, spans array<struct<first: bigint, last: bigint>>, clean_text string, coverage double"
-    new_fields = T._parse_datatype_string(new).fields if hasattr(T, "_parse_datatype_string") else []
+    new_fields = T.StructType.fromDDL(new).fields
     names = [f.name for f in new_fields]
     docs = docs.drop(*names)
     held = docs.columns
@@ -204,7 +209,7 @@ def scan_benchmark(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         build = lambda block: ItemAutomaton([(i, plain(t).split()) for i, t in block.value], window)
         single = [build(shared[0])] if len(shared) == 1 else None
-        for batch in batches:
+        for batch in slices(batches, text, PIECE if single else BLOCK_PIECE):
             texts = batch.column(text).to_pylist()
             words = [plain(t).split() for t in texts]
             stretches: list[list[tuple[int, int]]] = [[] for _ in texts]

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh_path, lower_ascii
+from .common import SPACE, cut, fresh_path, lower_ascii
 
 HASHES = ["_h1", "_h2"]
 #: At most so many settled lines (16 bytes each and the row's overhead) are broadcast; beyond it, a shuffled join.
@@ -126,6 +126,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
         .groupBy("_t1", "_t2")
         .agg(F.collect_set("_pos").alias("_lost"))
     )
+    lost = cut(lost)  # so that the join's two sides are plain exchanges, and a hot text is split
     joined = docs.select("*", *named).join(lost, ["_t1", "_t2"], "left")
     nothing = F.array().cast("array<int>")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.coalesce("_lost", nothing))

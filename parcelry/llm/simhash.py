@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, slices
 
 BYTES = 8
 LONG_LIST = 800
@@ -60,7 +60,7 @@ def add_fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> Dat
     held, at = [f.name for f in schema.fields[:-1]], None
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             found = [text_fingerprint(t.encode() if t else b"", width) for t in (x.as_py() for x in batch.column(text))]
             fps = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in held] + [fps], names=[*held, "_fp"])
@@ -99,8 +99,8 @@ def shared_bytes(a: Column, b: Column) -> Column:
 
 def links(fingerprints: DataFrame, bits: int = 2, long_list: int = LONG_LIST) -> DataFrame:
     """(a, b), a < b: all pairs of the distinct _fp that differ in 1 to `bits` bits; a pair may come twice."""
-    sets = covering_sets(bits)
-    masks = [mask_of(s) for s in sets]
+    spark = fingerprints.sparkSession
+    masks = [mask_of(s) for s in covering_sets(bits)]
     posted = fingerprints.select(
         "_fp", F.posexplode(F.array(*[F.col("_fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("_set", "_bytes")
     )
@@ -112,17 +112,14 @@ def links(fingerprints: DataFrame, bits: int = 2, long_list: int = LONG_LIST) ->
     apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     paired = left.join(right, ["_set", "_bytes"]).filter((F.col("a") < F.col("b")) & (tally >= BYTES - bits)).filter(apart <= bits)
     found = paired.select("a", "b")
-    for k, mask in enumerate(masks):
-        free = [1 << i for i in range(64) if not mask >> i & 1]
-        flips = [signed(sum(c)) for n in range(1, bits + 1) for c in combinations(free, n)] or [0]
-        looked = (
-            posted.filter((F.col("_set") == k) & (F.col("_n") > long_list))
-            .select(F.col("_fp").alias("a"), F.explode(F.array(*[F.lit(f) for f in flips])).alias("_flip"))
-            .select("a", F.col("a").bitwiseXOR(F.col("_flip")).alias("b"))
-            .filter("a < b")
-        )
-        found = found.unionByName(looked.join(fingerprints.select(F.col("_fp").alias("b")), "b", "left_semi").select("a", "b"))
-    return found
+    long = lengths.filter(F.col("_n") > long_list)
+    if long.isEmpty():
+        return found
+    flips = [(k, signed(sum(c))) for k, mask in enumerate(masks) for n in range(1, bits + 1) for c in combinations([1 << i for i in range(64) if not mask >> i & 1], n)]
+    flips = F.broadcast(spark.createDataFrame(flips, "_set int, _flip bigint"))
+    looked = posted.filter(F.col("_n") > long_list).join(flips, "_set").select(F.col("_fp").alias("a"), F.col("_fp").bitwiseXOR(F.col("_flip")).alias("b")).filter("a < b")
+    near = looked.join(fingerprints.select(F.col("_fp").alias("b")), "b", "left_semi")
+    return found.unionByName(near.select("a", "b"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

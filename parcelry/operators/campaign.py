@@ -39,30 +39,37 @@ def checked(df: DataFrame, prob: str) -> DataFrame:
     return df.withColumn(prob, F.when(bad, F.raise_error(F.lit("a parcel needs a tile and a score"))).otherwise(F.col(prob)))
 
 
+def cells(df: DataFrame, keys: Sequence[str], falling: list[float], choose: str, prob: str) -> DataFrame:
+    """(*keys, a, b, n): parcels by the first of the falling thresholds that each score is over (their number where none is)."""
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(falling)])
+    band = lambda c: F.coalesce(F.get(F.filter(places, lambda x: F.col(c) > x["t"]), F.lit(0))["k"], F.lit(len(falling)))
+    return df.groupBy(*keys, band(choose).alias("a"), band(prob).alias("b")).agg(F.count("*").alias("n"))
+
+
 def with_sweep(df: DataFrame, by: Sequence[str], sweeps: list[tuple[float, int]], prob: str = "prob", choose: str | None = None) -> DataFrame:
     """df with _sweep, from 0, and _want. Tiles are chosen by the scores `choose` (default: the same), parcels in them dug by prob.
 
     _want: the parcels of the tile, still undug, whose choosing score was over the threshold; null where that is the number dug.
-    A tile's scores are gathered for the fold: a tile is a neighbourhood, bounded by the tiling, not by the table.
+    The fold goes over counts by the thresholds that the two scores are over, (sweeps + 1) squared of them at most, however large a tile is.
     """
     limits = [float(t) for t, _ in sweeps]
     if all(m <= 1 for _, m in sweeps) and choose is None:
         first = F.filter(F.sequence(F.lit(0), F.lit(len(limits) - 1)), lambda k: F.get(F.array(*[F.lit(t) for t in limits]), k) < F.col(prob))
-        return df.withColumn("_sweep", F.element_at(first, 1)).withColumn("_want", F.lit(None).cast("int"))
+        return df.withColumn("_sweep", F.element_at(first, 1)).withColumn("_want", F.lit(None).cast("bigint"))
     keys = [*by, "tile_id"]
-    picked = choose or prob
-    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("t"), F.lit(m).alias("m")) for k, (t, m) in enumerate(sweeps)])
-    tile = df.groupBy(*keys).agg(F.collect_list(F.struct(F.col(picked).alias("a"), F.col(prob).alias("b"))).alias("_ps"))
+    falling = sorted(set(limits), reverse=True)
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(falling.index(float(t))).alias("t"), F.lit(m).alias("m")) for k, (t, m) in enumerate(sweeps)])
+    tile = cells(df, keys, falling, choose or prob, prob).groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "n")).alias("_ps"))
 
     def fold(state: Column, s: Column) -> Column:
-        want = F.size(F.filter(state["left"], lambda p: p["a"] > s["t"]))
+        want = F.aggregate(F.filter(state["left"], lambda p: p["a"] <= s["t"]), F.lit(0).cast("bigint"), lambda n, p: n + p["n"])
         fires = (want >= s["m"]) & (want > 0)
         return F.struct(
-            F.when(fires, F.filter(state["left"], lambda p: ~(p["b"] > s["t"]))).otherwise(state["left"]).alias("left"),
+            F.when(fires, F.filter(state["left"], lambda p: p["b"] > s["t"])).otherwise(state["left"]).alias("left"),
             F.when(fires, F.concat(state["fired"], F.array(F.struct(s["k"].alias("k"), want.alias("want"))))).otherwise(state["fired"]).alias("fired"),
         )
 
-    start = F.struct(F.col("_ps").alias("left"), F.array().cast("array<struct<k:int,want:int>>").alias("fired"))
+    start = F.struct(F.col("_ps").alias("left"), F.array().cast("array<struct<k:int,want:bigint>>").alias("fired"))
     fired = tile.select(*keys, F.aggregate(steps, start, fold)["fired"].alias("_fired"))
     values = F.array(*[F.lit(t) for t in limits])
     mine = F.get(F.filter("_fired", lambda f: F.get(values, f["k"]) < F.col(prob)), F.lit(0))

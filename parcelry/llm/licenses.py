@@ -7,6 +7,9 @@ done for every line, since a notice is mostly one line among others.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,21 +79,51 @@ def canonical(text: Column) -> Column:
     return F.when(words.rlike(rf"\b(?:{'|'.join(other)})\b"), spelled).otherwise(words)
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """(digest, license): one row per known text; a few dozen, so it may be broadcast."""
-    texts = spark.createDataFrame([(name, t) for name, some in KNOWN.items() for t in some], "license string, t string")
-    return texts.select(F.sha2(canonical(F.col("t")), 256).alias("digest"), "license").distinct()
+#: Whole texts in licenses_data: file name to SPDX identifier.
+FILES = {
+    "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only",
+    "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+#: Usual titles of the texts in KNOWN that begin with one.
+TITLES = {"MIT": ("MIT License ", "The MIT License ", "The MIT License (MIT) "), "ISC": ("ISC License ", "The ISC License ")}
+#: What follows a licence's text as advice on its use.
+APPENDIX = r"(?mi)^ *(?:appendix:|addendum:|how to apply these terms).*"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(license, text): KNOWN and the files, each with and without its titles, the files also without the advice after them."""
+    found = [(name, t) for name, some in KNOWN.items() for t in some]
+    for name, titles in TITLES.items():
+        bare = KNOWN[name][0].removeprefix(titles[0])
+        found += [(name, title + bare) for title in ("", *titles[1:])]
+    for file, name in FILES.items():
+        text = (Path(__file__).parent / "licenses_data" / file).read_text(encoding="utf-8").strip("\n")
+        terms = text[: m.start()] if (m := re.search(APPENDIX, text)) else text
+        for whole in {text, terms, re.sub(r"END OF TERMS AND CONDITIONS\s*\Z", "", terms)}:
+            parts = re.split(r"\n\s*\n", whole)
+            found += [(name, "\n\n".join(parts[k:])) for k in range(3 if file == "CC0-1.0" else 2)]
+    return found
+
+
+def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
+    """(digest, license): one row per digest of the known texts and of those in `more` (license, text), the least license of each."""
+    texts = spark.createDataFrame(known_texts(), "license string, text string")
+    if more is not None:
+        texts = texts.unionByName(more.select("license", "text"))
+    return texts.filter("text is not null").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", more: DataFrame | None = None) -> DataFrame:
     """docs, without the text, with digest, license (of the whole text, or null) and line_licenses (sorted, by commas).
 
-    A null text has null digest; texts without letters or digits match nothing; an empty table gives an empty one.
-    Columns of docs named as the new ones are replaced. Lines are matched by the hash of the text they stand in, so
-    that copies fold together and ids need not be present or unique.
+    `more`, a table (license, text) of any size, adds to the known texts. A null text has null digest; texts without
+    letters or digits match nothing; an empty table gives an empty one. Columns of docs named as the new ones are
+    replaced. Lines are matched by the hash of the text they stand in, so that copies fold together and ids need not be
+    present or unique.
     """
     docs = docs.drop(*[c for c in ("digest", "license", "line_licenses") if c != text])
-    known = F.broadcast(known_digests(docs.sparkSession))
+    known = known_digests(docs.sparkSession, more).filter(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256))
+    known = F.broadcast(known) if more is None else known
     names = [c for c in docs.columns if c != text]
     t1, t2 = hash128(F.col(text))
     lines = (

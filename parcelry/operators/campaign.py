@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import score_bucket, with_running
+from .prefix import with_running
 
 
 def schedule(threshold_init: float = 0.9, threshold_increment: float = 0.1, min_digs: int = 1, min_digs_increment: int = 1) -> list[tuple[float, int]]:
@@ -46,16 +46,17 @@ def cells(df: DataFrame, keys: Sequence[str], falling: list[float], choose: str,
     return df.groupBy(*keys, band(choose).alias("a"), band(prob).alias("b")).agg(F.count("*").alias("n"))
 
 
-def with_sweep(df: DataFrame, by: Sequence[str], sweeps: list[tuple[float, int]], prob: str = "prob", choose: str | None = None) -> DataFrame:
-    """df with _sweep, from 0, and _want. Tiles are chosen by the scores `choose` (default: the same), parcels in them dug by prob.
+def with_sweep(df: DataFrame, by: Sequence[str], sweeps: list[tuple[float, int]], prob: str = "prob", choose: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """df with _sweep, from 0; and the visits (*by, tile_id, _sweep, _want) that the fold made, or None where each follows from its digs.
 
-    _want: the parcels of the tile, still undug, whose choosing score was over the threshold; null where that is the number dug.
-    The fold goes over counts by the thresholds that the two scores are over, (sweeps + 1) squared of them at most, however large a tile is.
+    Tiles are chosen by the scores `choose` (default: the same), parcels in them dug by prob. _want: the parcels of the tile, still
+    undug, whose choosing score was over the threshold. The fold goes over counts by the thresholds that the two scores are
+    over, (sweeps + 1) squared of them at most, however large a tile is.
     """
     limits = [float(t) for t, _ in sweeps]
     if all(m <= 1 for _, m in sweeps) and choose is None:
         first = F.filter(F.sequence(F.lit(0), F.lit(len(limits) - 1)), lambda k: F.get(F.array(*[F.lit(t) for t in limits]), k) < F.col(prob))
-        return df.withColumn("_sweep", F.element_at(first, 1)).withColumn("_want", F.lit(None).cast("bigint"))
+        return df.withColumn("_sweep", F.element_at(first, 1)), None
     keys = [*by, "tile_id"]
     falling = sorted(set(limits), reverse=True)
     steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(falling.index(float(t))).alias("t"), F.lit(m).alias("m")) for k, (t, m) in enumerate(sweeps)])
@@ -73,7 +74,8 @@ def with_sweep(df: DataFrame, by: Sequence[str], sweeps: list[tuple[float, int]]
     fired = tile.select(*keys, F.aggregate(steps, start, fold)["fired"].alias("_fired"))
     values = F.array(*[F.lit(t) for t in limits])
     mine = F.get(F.filter("_fired", lambda f: F.get(values, f["k"]) < F.col(prob)), F.lit(0))
-    return df.join(fired, keys).withColumn("_sweep", mine["k"]).withColumn("_want", mine["want"]).drop("_fired")
+    visits = fired.select(*keys, F.explode("_fired").alias("f")).select(*keys, F.col("f.k").alias("_sweep"), F.col("f.want").alias("_want"))
+    return df.join(fired, keys).withColumn("_sweep", mine["k"]).drop("_fired"), visits
 
 
 def campaign(
@@ -90,15 +92,20 @@ def campaign(
 ) -> DataFrame:
     """df (pid, tile_id, prob, label, *by) in digging order: dig_batch, dig_threshold, dig_index and hit_rate.
 
-    Visits of tiles go by sweep, then most digs first, then `tie` ('id' or 'hash'). Visits are few beside parcels: they are
-    ranked first, and parcels numbered inside their visit, so no task sorts a whole experiment.
+    Visits of tiles go by sweep, then most digs first, then `tie` ('id' or 'hash'). A tile chosen by another score takes a batch
+    number also where nothing in it is over the threshold. Visits are few beside parcels: they are ranked first, and
+    parcels numbered inside their visit, so no task sorts a whole experiment.
     """
     by = list(by)
     sweeps = schedule(threshold_init, threshold_increment, min_digs, min_digs_increment)
-    dug = with_sweep(checked(df, prob), by, sweeps, prob, choose)
+    dug, fired = with_sweep(checked(df, prob), by, sweeps, prob, choose)
     tie_key = F.col("tile_id") if tie == "id" else F.xxhash64(F.lit(seed), F.col("_sweep"), F.col("tile_id"))
-    visits = dug.groupBy(*by, "_sweep", "tile_id").agg(F.count("*").alias("_digs"), F.sum("label").alias("_hits"), F.max("_want").alias("_want"))
-    order = Window.partitionBy(*by).orderBy("_sweep", F.desc(F.coalesce("_want", "_digs")), tie_key, "tile_id")
+    visits = dug.groupBy(*by, "_sweep", "tile_id").agg(F.count("*").alias("_digs"), F.sum("label").alias("_hits"))
+    if fired is None:
+        visits = visits.withColumn("_want", F.col("_digs"))
+    else:
+        visits = fired.join(visits, [*by, "_sweep", "tile_id"], "left").fillna(0, subset=["_digs", "_hits"])
+    order = Window.partitionBy(*by).orderBy("_sweep", F.desc("_want"), tie_key, "tile_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     visits = visits.select(
         *by, "_sweep", "tile_id",
@@ -121,7 +128,7 @@ def campaign(
 
 def hit_rate_curve(df: DataFrame, by: Sequence[str] = (), prob: str = "prob", order: Sequence[Column] | None = None) -> DataFrame:
     """Parcels by falling score: pos (from 0) and hit_rate; ties by pid."""
-    running = with_running(df, by, score_bucket(prob), order or [F.desc(prob), F.col("pid")], ["label"])
+    running = with_running(df, by, order or [F.desc(prob), F.col("pid")], ["label"])
     return running.select(*df.columns, (F.col("pos") - 1).alias("pos"), (F.col("cum_label") / F.col("pos")).alias("hit_rate"))
 
 

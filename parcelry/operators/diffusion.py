@@ -1,6 +1,8 @@
 """Smoothing of scores over a neighbour graph, for any number of experiments at once.
 
-Each parcel's scores are packed into arrays of PACKED experiments, so that an edge moves few rows a step, and a step sums few columns.
+A step is linear: v' = lam v + (1 - lam) sum(w v_neighbour) / sum(w). Its coefficients are laid out once, a parcel's own as an edge to
+itself, so that a step reads the values once: one join on the neighbour, one weighted sum. A parcel's scores of PACKED
+experiments are one row, so that an edge moves few rows a step, and a step sums few columns.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.store import held
+
 PACKED = 16
 
 
@@ -25,46 +29,66 @@ def initial_values(nodes: DataFrame, predictions: DataFrame, by: Sequence[str],
     return grid.join(predictions.select(*by, "pid", score.alias("_score")), [*by, "pid"], "left").select(*by, "pid", F.coalesce("_score", "_median").alias("v"))
 
 
+def coefficients(edges: DataFrame, nodes: DataFrame, lam: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """(*keys, src, dst, coef) of a step; a node's own share is an edge to itself, all of it where the node has no neighbour.
+
+    edges: (*keys, src, dst, w); nodes: (*keys, pid), those that have a value: others are nobody's neighbours. lam may use keys.
+    """
+    keys = list(keys)
+    known = edges.filter(F.col("w").isNotNull()).select(*keys, "src", "dst", "w")
+    for end in ("src", "dst"):
+        known = known.join(nodes.select(*keys, F.col("pid").alias(end)), [*keys, end], "left_semi")
+    known = held(known)  # read twice
+    totals = known.groupBy(*keys, "src").agg(F.sum("w").alias("_total")).filter("_total <> 0")
+    near = known.join(totals, [*keys, "src"]).select(*keys, "src", "dst", ((1 - lam) * F.col("w") / F.col("_total")).alias("coef"), F.lit(False).alias("own"))
+    own = nodes.select(*keys, F.col("pid").alias("src")).join(totals, [*keys, "src"], "left")
+    return near.unionByName(own.select(*keys, "src", F.col("src").alias("dst"), F.when(F.col("_total").isNull(), 1.0).otherwise(lam).alias("coef"), F.lit(True).alias("own")))
+
+
+def one_step(now: DataFrame, coefs: DataFrame, keys: Sequence[str], shared: Sequence[str], freeze_certain: bool = False) -> DataFrame:
+    """now (*keys, pid, values) after a step. shared: the keys that coefs has as well."""
+    names = [c for c in now.columns if c not in (*keys, "pid")]
+    met = now.withColumnRenamed("pid", "dst").join(coefs, [*shared, "dst"])
+    sums = [F.sum(F.col("coef") * F.col(v)).alias(v) for v in names]
+    if not freeze_certain:
+        return met.groupBy(*keys, F.col("src").alias("pid")).agg(*sums)
+    before = [F.max(F.when(F.col("own"), F.col(v))).alias(f"_{v}") for v in names]
+    both = met.groupBy(*keys, F.col("src").alias("pid")).agg(*sums, *before)
+    return both.select(*keys, "pid", *[F.when(F.col(f"_{v}").isin(0.0, 1.0), F.col(f"_{v}")).otherwise(F.col(v)).alias(v) for v in names])
+
+
 def diffuse(values: DataFrame, edges: DataFrame, by: Sequence[str], lam: float = 0.5, n_iter: int = 1, freeze_certain: bool = False, cut_every: int = 5, trace: bool = False) -> DataFrame:
     """values (*by, pid, v) after n_iter steps of v' = lam v + (1 - lam) sum(w v_neighbour) / sum(w).
 
     edges: (src, dst, w). A node without neighbours keeps its value. freeze_certain keeps values of exactly 0 and 1.
-    trace: the values after each step from 0 on, with `iter`. Lineage is cut by checkpoints where a folder is set.
+    trace: the values after each step from 0 on, with `iter`. Every experiment must have a value for each of the nodes.
+    Values are written to the shared folder every cut_every steps, so that a lost executor costs few steps.
     """
     keys = values.select(*by).distinct()
-    listed = [tuple(r) for r in keys.orderBy(*by).collect()]
+    listed = [tuple(r) for r in keys.orderBy(*by).collect()]  # experiments, not rows
     numbered = values.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(listed)], T.StructType([*keys.schema.fields, T.StructField("_k", T.IntegerType())]))
     width = min(PACKED, len(listed)) or 1
-    packed = (
+    slots = [f"v{k}" for k in range(width)]
+    place = F.col("_k") % width
+    now = held(
         values.join(F.broadcast(numbered), list(by))
-        .groupBy("pid", F.floor(F.col("_k") / width).alias("_c"))
-        .agg(F.map_from_entries(F.collect_list(F.struct((F.col("_k") % width).alias("k"), "v"))).alias("m"))
-        .select("pid", "_c", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.element_at("m", k)).alias("v"))
+        .groupBy(F.floor(F.col("_k") / width).alias("_c"), "pid")
+        .agg(*[F.max(F.when(place == k, F.col("v"))).alias(s) for k, s in enumerate(slots)], F.count("v").alias("_n"))
     )
-    slim = edges.select("src", "dst", "w")
-    spark, steps = values.sparkSession, [packed]
-    durable = bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir())
-
-    def moved(own: Column, near: Column) -> Column:
-        new = F.lit(lam) * own + F.lit(1 - lam) * near
-        return F.when(own.isin(0.0, 1.0), own).otherwise(new) if freeze_certain else new
-
-    now = packed
+    seen = now.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.countDistinct("pid").alias("nodes")).first()
+    if seen["n"] != seen["nodes"] * len(listed):
+        raise ValueError("every experiment must have a value for each of the nodes")
+    now = now.drop("_n")
+    coefs = held(coefficients(edges, now.select("pid").distinct(), F.lit(float(lam))))
+    chosen = now.withColumn("iter", F.lit(0))
     for step in range(1, n_iter + 1):
-        flat = slim.join(now.select(F.col("pid").alias("dst"), "_c", "v"), "dst")
-        sums = flat.groupBy("src", "_c").agg(F.sum("w").alias("_w"), *[F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"_{k}") for k in range(width)])
-        mean = sums.select(F.col("src").alias("pid"), "_c", F.array(*[F.col(f"_{k}") / F.col("_w") for k in range(width)]).alias("_mean"))
-        now = now.join(mean, ["pid", "_c"], "left").select("pid", "_c", F.when(F.col("_mean").isNull(), F.col("v")).otherwise(F.zip_with("v", "_mean", moved)).alias("v"))
-        if durable and step % cut_every == 0:
-            now = now.checkpoint()
-        steps.append(now)
-    chosen = now
-    if trace:
-        chosen = steps[0].withColumn("iter", F.lit(0))
-        for k, s in enumerate(steps[1:], 1):
-            chosen = chosen.unionByName(s.withColumn("iter", F.lit(k)))
+        now = one_step(now, coefs, ["_c"], [], freeze_certain)
+        if trace or step % cut_every == 0:
+            now = held(now)
+        if trace:
+            chosen = chosen.unionByName(now.withColumn("iter", F.lit(step)))
     extra = ["iter"] if trace else []
-    opened = chosen.select("pid", "_c", *extra, F.posexplode("v").alias("_i", "v")).filter(F.col("v").isNotNull())
+    opened = (chosen if trace else now).select("pid", "_c", *extra, F.posexplode(F.array(*slots)).alias("_i", "v")).filter(F.col("v").isNotNull())
     return opened.withColumn("_k", (F.col("_c") * width + F.col("_i")).cast("int")).join(F.broadcast(numbered), "_k").select(*by, *extra, "pid", "v")
 
 
@@ -76,26 +100,40 @@ def tuning_grid(
     ks: Sequence[int],
     lams: Sequence[float],
     n_iter: int = 1,
+    by: Sequence[str] = ("split",),
+    cut_every: int = 5,
 ) -> DataFrame:
-    """(graph, weight, k, lam, split, pid, v): the values of every split diffused under every combination, in one plan.
+    """(graph, weight, k, lam, *by, pid, v): the values of every experiment diffused under every combination, in one plan.
 
-    edges: (graph, src, dst, dist, rank), neighbours ranked by graph up to the largest k. Combinations are rows; a parcel's
-    values of all splits are one array.
+    values: (*by, pid, v), every experiment with the same nodes. edges: (graph, src, dst, dist, rank), neighbours ranked by graph
+    up to the largest k. Combinations are rows; a parcel's values of all experiments are one row.
     """
-    spark = values.sparkSession
-    splits = sorted(r["split"] for r in values.select("split").distinct().collect())
+    spark, by = values.sparkSession, list(by)
+    keys = values.select(*by).distinct()
+    listed = [tuple(r) for r in keys.orderBy(*by).collect()]
+    slots = [f"v{k}" for k in range(len(listed))]
+    numbered = F.broadcast(spark.createDataFrame([(*k, i) for i, k in enumerate(listed)], T.StructType([*keys.schema.fields, T.StructField("_k", T.IntegerType())])))
     cells = [(i, *cell) for i, cell in enumerate((g, w, int(k), float(lam)) for g in graphs for w in weights for k in ks for lam in lams)]
     grid = F.broadcast(spark.createDataFrame(cells, "cell int, graph string, weight string, k int, lam double"))
     weight = F.coalesce(*[F.when(F.col("weight") == name, f(F.col("dist"))) for name, f in weights.items()])
-    slim = edges.join(grid, "graph").filter("rank <= k").select("cell", "src", "dst", weight.alias("w"))
-    packed = values.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("split", "v"))).alias("m"))
-    now = packed.select("pid", F.array(*[F.element_at("m", F.lit(s)) for s in splits]).alias("v")).crossJoin(grid.select("cell", "lam"))
-    for _ in range(n_iter):
-        flat = slim.join(now.select("cell", F.col("pid").alias("dst"), "v"), ["cell", "dst"])
-        sums = flat.groupBy("cell", "src").agg(F.sum("w").alias("_w"), *[F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"_{k}") for k in range(len(splits))])
-        mean = sums.select("cell", F.col("src").alias("pid"), F.array(*[F.col(f"_{k}") / F.col("_w") for k in range(len(splits))]).alias("_mean"))
-        moved = F.zip_with("v", "_mean", lambda own, near: F.col("lam") * own + (1 - F.col("lam")) * near)
-        now = now.join(mean, ["cell", "pid"], "left").select("cell", "lam", "pid", F.when(F.col("_mean").isNull(), F.col("v")).otherwise(moved).alias("v"))
-    named = F.array(*[F.lit(s) for s in splits])
-    opened = now.select("cell", "pid", F.posexplode("v").alias("_i", "v")).withColumn("split", F.get(named, F.col("_i")))
-    return opened.join(grid, "cell").select("graph", "weight", "k", "lam", "split", "pid", "v")
+    slim = edges.join(grid, "graph").filter("rank <= k").select("cell", "lam", "src", "dst", weight.alias("w"))
+    packed = values.join(numbered, by).groupBy("pid").agg(*[F.max(F.when(F.col("_k") == k, F.col("v"))).alias(s) for k, s in enumerate(slots)])
+    now = held(packed.crossJoin(grid.select("cell", "lam")))
+    coefs = held(coefficients(slim, now.select("cell", "lam", "pid"), F.col("lam"), ["cell", "lam"]))
+    for step in range(1, n_iter + 1):
+        now = one_step(now, coefs, ["cell", "lam"], ["cell", "lam"])
+        now = held(now) if step % cut_every == 0 else now
+    opened = now.select("cell", "pid", F.posexplode(F.array(*slots)).alias("_k", "v"))
+    return opened.join(grid, "cell").join(numbered, "_k").select("graph", "weight", "k", "lam", *by, "pid", "v")
+
+
+def best_cells(grid: DataFrame, table: Sequence[str], loss_within: float = 0.0002, area_within: float = 0.5) -> DataFrame:
+    """Cells (.., log_loss, auhrc) whose loss or area is next to the best of their table, with best_loss and best_area."""
+    ends = grid.groupBy(*table).agg(F.min("log_loss").alias("_l"), F.max("auhrc").alias("_a"))
+    flagged = grid.join(ends, list(table)).withColumn("best_loss", F.col("log_loss") - F.col("_l") <= loss_within).withColumn("best_area", F.col("_a") - F.col("auhrc") <= area_within)
+    return flagged.filter("best_loss OR best_area").drop("_l", "_a")
+
+
+def laid_out(grid: DataFrame, table: Sequence[str], ks: Sequence[int], metrics: Sequence[str] = ("log_loss", "auhrc")) -> DataFrame:
+    """Tables of lambda by K: a row for each lambda, columns <metric>_<k>."""
+    return grid.groupBy(*table, "lam").agg(*[F.max(F.when(F.col("k") == k, F.col(m))).alias(f"{m}_{k}") for m in metrics for k in ks])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import haversine_km
+from ..sources.store import held
 
 KM_PER_DEGREE = 111.194
 
@@ -24,14 +25,15 @@ def with_cells(points: DataFrame, limit_km: float) -> DataFrame:
     )
 
 
-def radius_join(points: DataFrame, limit_km: float = 0.5, include_self: bool = False, others: DataFrame | None = None) -> DataFrame:
+def radius_join(points: DataFrame, limit_km: float = 0.5, include_self: bool = False, others: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """(src, dst, dist_km) with dist < limit_km, by an equi-join on grid cells: each source looks into its 3 x 3 cells.
 
-    The pairs of a cell grow with its density, as the result does; a dense cell's join partition is split by AQE.
+    sources, others: the pids that may be src, or dst; all by default. The pairs of a cell grow with its density, as the result does; a dense cell's join partition is split by AQE.
     """
     around = F.sequence(F.lit(-1), F.lit(1))
     slim = with_cells(points.select("pid", "lat", "lon"), limit_km)
-    src = slim.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
+    src = slim if sources is None else slim.join(sources.select("pid"), "pid", "left_semi")
+    src = src.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
     src = src.select(F.col("pid").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.col("cx") + F.col("_i")).alias("cx"), (F.col("cy") + F.col("_j")).alias("cy"))
     dst = slim.select(F.col("pid").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "cx", "cy")
     if others is not None:
@@ -94,24 +96,26 @@ def nearest(edges: DataFrame, k: int, dist: str = "dist_km", drop_zero: bool = F
     return kept.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def nearest_any(points: DataFrame, k: int, start_km: float = 0.5, rounds: int = 6) -> DataFrame:
-    """k nearest of every point however sparse: nodes that found k within the radius are final; the others look on with
-    twice the radius; the few left after `rounds` are compared with all points."""
-    found, left, radius = None, points, start_km
-    for _ in range(rounds):
-        near = nearest(radius_join(points, radius).join(left.select(F.col("pid").alias("src")), "src", "left_semi"), k)
+def nearest_any(points: DataFrame, k: int, start_km: float = 0.5) -> DataFrame:
+    """k nearest of every point however sparse; fewer only where there are fewer points.
+
+    Points that found k within the radius are final; only the others look on, with twice the radius, until it covers the extent.
+    A point that goes on has fewer than k neighbours within the last radius, so that a round's pairs stay in proportion.
+    """
+    ends = points.agg(*[f(c) for c in ("lat", "lon") for f in (F.min, F.max)]).first()
+    extent = 0.0 if ends[0] is None else KM_PER_DEGREE * ((ends[1] - ends[0]) ** 2 + (ends[3] - ends[2]) ** 2) ** 0.5
+    found, left, radius = None, points.select("pid"), start_km
+    while True:
+        near = held(nearest(radius_join(points, radius, sources=left), k))
+        if radius > 1.01 * extent:
+            return near if found is None else found.unionByName(near)
         done = near.groupBy("src").count().filter(F.col("count") >= k).select(F.col("src").alias("pid"))
         final = near.join(done.withColumnRenamed("pid", "src"), "src", "left_semi")
         found = final if found is None else found.unionByName(final)
-        left = left.join(done, "pid", "left_anti")
+        left = held(left.join(done, "pid", "left_anti"))
         if left.isEmpty():
             return found
         radius *= 2
-    few = left.select(F.col("pid").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    far = F.broadcast(few) if few.count() <= 1000 else few
-    pairs = points.select(F.col("pid").alias("dst"), "lat", "lon").crossJoin(far).filter("src <> dst")
-    rest = pairs.select("src", "dst", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")).alias("dist_km"))
-    return found.unionByName(nearest(rest, k))
 
 
 def weighted(edges: DataFrame, weight: Callable[[Column], Column], dist: str = "dist_km") -> DataFrame:

@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import half_even
-from .prefix import score_bucket, with_running
-
-KEPT_BUCKETS = 1000
+from .prefix import with_running
 
 
 def hit_rate(df: DataFrame, by: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
@@ -20,20 +18,21 @@ def hit_rate(df: DataFrame, by: Sequence[str] = (), threshold: float = 0.5) -> D
 
 
 def curve_by_threshold(curve: DataFrame, by: Sequence[str] = (), n: int = 500) -> DataFrame:
-    """(*by, threshold, pos, hit_rate) for thresholds k / n, k = 1 .. n - 1: the hit rate at the last position with prob > threshold,
-    else at position 0. curve: pos, prob, hit_rate in any order of digging.
+    """(*by, threshold, pos, hit_rate) for n evenly spaced thresholds from 1 down to 0 without the first: the hit rate at the last
+    position with prob > threshold, else at position 0. curve: pos, prob, hit_rate in any order of digging.
 
     A row counts for all thresholds below its score: it goes to the highest of them, and maxima run down from there.
     """
-    keys = list(by)
-    top = F.least(F.ceil(F.col("prob") * n) - 1, F.lit(n - 1))
-    top = F.when(top / n < F.col("prob"), top).otherwise(top - 1)
-    last = curve.withColumn("_k", top).filter("_k >= 1").groupBy(*keys, "_k").agg(F.max(F.struct("pos", "hit_rate")).alias("_last"))
+    keys, step = list(by), F.lit(1.0 / (n - 1))
+    near = F.floor(F.col("prob") / step)
+    below = lambda k: k * step < F.col("prob")
+    top = F.least(F.when(below(near + 1), near + 1).when(below(near), near).otherwise(near - 1), F.lit(n - 2))
+    last = curve.withColumn("_k", top).filter("_k >= 0").groupBy(*keys, "_k").agg(F.max(F.struct("pos", "hit_rate")).alias("_last"))
     first = curve.filter("pos = 0").select(*keys, F.struct("pos", "hit_rate").alias("_first"))
-    grid = first.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(n - 1))))
+    grid = first.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 2))))
     down = Window.partitionBy(*keys).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
     found = grid.join(last, [*keys, "_k"], "left").withColumn("_at", F.coalesce(F.max("_last").over(down), F.col("_first")))
-    return found.select(*keys, (F.col("_k") / n).alias("threshold"), F.col("_at.pos").alias("pos"), F.col("_at.hit_rate").alias("hit_rate"))
+    return found.select(*keys, (F.col("_k") * step).alias("threshold"), F.col("_at.pos").alias("pos"), F.col("_at.hit_rate").alias("hit_rate"))
 
 
 def with_axes(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -50,7 +49,7 @@ def _distinct_scores(df: DataFrame, by: Sequence[str]) -> DataFrame:
 def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rank-sum area under the ROC curve; tied scores share their mean rank; null for a single class."""
     scores = _distinct_scores(df, by)
-    ranked = with_running(scores, by, F.floor(F.col("prob") * KEPT_BUCKETS), [F.col("prob")], ["_c"])
+    ranked = with_running(scores, by, [F.col("prob")], ["_c"])
     mean_rank = F.col("cum__c") - (F.col("_c") - 1) / 2
     sums = ranked.groupBy(*by).agg(F.sum(mean_rank * F.col("_p")).alias("_r"), F.sum("_p").alias("_np"), F.sum(F.col("_c") - F.col("_p")).alias("_nn"))
     area = (F.col("_r") - F.col("_np") * (F.col("_np") + 1) / 2) / F.nullif(F.col("_np") * F.col("_nn"), F.lit(0))
@@ -68,30 +67,32 @@ def calibration(df: DataFrame, by: Sequence[str] = (), n_bins: int = 10, strateg
     return binned.groupBy(*by, "bin").agg(F.avg("label").alias("mean_label"), F.avg("prob").alias("mean_prob"), F.count("*").alias("n"))
 
 
+def _ranked_scores(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Distinct scores from the highest, with positives and rows up to each, and all positives; and those alone by group."""
+    scores = _distinct_scores(df, by)
+    ranked = with_running(scores, by, [F.desc("prob")], ["_p", "_c"])
+    totals = ranked.groupBy(*by).agg(F.sum("_p").alias("_all"))
+    return (ranked.join(totals, list(by)) if by else ranked.crossJoin(F.broadcast(totals))), totals
+
+
 def precision_recall(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(*by, threshold, precision, recall) at each distinct score, and the end point (1, 0) with a null threshold."""
-    scores = _distinct_scores(df, by)
-    ranked = with_running(scores, by, score_bucket("prob", KEPT_BUCKETS), [F.desc("prob")], ["_p", "_c"])
-    totals = scores.groupBy(*by).agg(F.sum("_p").alias("_all"))
-    joined = ranked.join(totals, list(by)) if by else ranked.crossJoin(F.broadcast(totals))
-    points = joined.select(*by, F.col("prob").alias("threshold"), (F.col("cum__p") / F.col("cum__c")).alias("precision"), (F.col("cum__p") / F.nullif(F.col("_all"), F.lit(0))).alias("recall"))
+    ranked, totals = _ranked_scores(df, by)
+    points = ranked.select(*by, F.col("prob").alias("threshold"), (F.col("cum__p") / F.col("cum__c")).alias("precision"), (F.col("cum__p") / F.nullif(F.col("_all"), F.lit(0))).alias("recall"))
     end = totals.select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return points.unionByName(end)
 
 
 def precision_recall_area(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Trapezoid area under the precision-recall curve.
+    """Trapezoid area under the precision-recall curve, from the end point (1, 0) on.
 
-    Neighbours are found inside score buckets; the first of a bucket has the last of the bucket above as its neighbour.
+    The point before a score's follows from the score's own counts and the sums up to it.
     """
-    points = precision_recall(df, by).withColumn("_b", F.coalesce(score_bucket("threshold", KEPT_BUCKETS), F.lit(-(KEPT_BUCKETS + 1))))
-    inside = Window.partitionBy(*by, "_b").orderBy(F.desc("threshold"))
-    edge = points.groupBy(*by, "_b").agg(F.min_by(F.struct("precision", "recall"), F.coalesce("threshold", F.lit(2.0))).alias("_last"))
-    above = edge.select(*by, "_b", F.lag("_last").over(Window.partitionBy(*by).orderBy("_b")).alias("_above"))
-    here = F.struct("precision", "recall")
-    joined = points.withColumn("_prev", F.lag(here).over(inside)).join(above, [*by, "_b"]).withColumn("_prev", F.coalesce("_prev", "_above"))
-    step = (F.col("recall") - F.col("_prev.recall")) * (F.col("precision") + F.col("_prev.precision")) / 2
-    return joined.groupBy(*by).agg(F.sum(step).alias("area"))
+    ranked, _ = _ranked_scores(df, by)
+    p0, c0 = F.col("cum__p") - F.col("_p"), F.col("cum__c") - F.col("_c")
+    before = F.coalesce(p0 / F.nullif(c0, F.lit(0)), F.lit(1.0))
+    step = F.col("_p") / F.nullif(F.col("_all"), F.lit(0)) * (F.col("cum__p") / F.col("cum__c") + before) / 2
+    return ranked.groupBy(*by).agg(F.sum(step).alias("area"))
 
 
 def log_loss(df: DataFrame, by: Sequence[str] = (), eps: float = 1e-15) -> DataFrame:

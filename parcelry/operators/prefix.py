@@ -1,7 +1,8 @@
 """Positions and running sums over a whole order, without putting the order into one task.
 
-The order is cut into buckets by a monotone function of its leading key. Bucket totals are small; their prefix sums are
-added to positions and sums inside each bucket.
+The rows are dealt by ranges of the order itself, sampled by Spark, so that equal scores, however many, spread over tasks
+as the later keys of the order tell them apart. Totals of the ranges are small; their prefix sums are added to
+positions and sums inside each range.
 """
 
 from __future__ import annotations
@@ -11,15 +12,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import held
 
-def with_running(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[Column], sums: Sequence[str] = (), position: str = "pos") -> DataFrame:
+
+def with_running(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Sequence[str] = (), position: str = "pos") -> DataFrame:
     """df with `position` (from 1) and cum_<c> for c in sums, in each group of `by`.
 
-    bucket must not decrease along `order`. Only one row per bucket and group meets in the window over buckets.
+    order should tell all rows of a group apart. The ranges are written to the shared folder first, since a range's bounds
+    may differ when they are sampled again; only one row for each range and group meets in the window over ranges.
     """
     by = list(by)
-    held = df.withColumn("_bucket", bucket)
-    totals = held.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in sums])
+    ranges = held(df.repartitionByRange(*by, *order).withColumn("_bucket", F.spark_partition_id()))
+    totals = ranges.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_sum_{c}") for c in sums])
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         *by,
@@ -29,13 +33,8 @@ def with_running(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequen
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = held.withColumn("_rank", F.row_number().over(inside))
+    out = ranges.withColumn("_rank", F.row_number().over(inside))
     for c in sums:
         out = out.withColumn(f"_run_{c}", F.sum(c).over(running))
     out = out.join(starts, [*by, "_bucket"])
     return out.select(*df.columns, (F.col("_n0") + F.col("_rank")).alias(position), *[(F.col(f"_s0_{c}") + F.col(f"_run_{c}")).alias(f"cum_{c}") for c in sums])
-
-
-def score_bucket(prob: str, buckets: int = 1000) -> Column:
-    """Buckets of a score in [0, 1], highest first."""
-    return -F.floor(F.col(prob) * buckets)

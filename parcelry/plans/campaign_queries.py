@@ -51,13 +51,33 @@ def e4_dig_metadata(spark, d):
     return campaigns(spark, d)
 
 
-@query()
+def fold_sql(choose: str, least: int) -> str:
+    """A campaign with a minimum of digs, or with tiles chosen by another score, sweep after sweep: what each tile has left is all up to `low`."""
+    sweeps = c.schedule(min_digs=least)
+    parts = ["src AS MATERIALIZED (SELECT p.pid, t.tile_id, p.label, prob_a AS prob, prob_b FROM preds p JOIN tiles10 t ON p.pid = t.pid)"]
+    before = "(SELECT DISTINCT tile_id, 1e9 AS low FROM src)"
+    for k, (t, m) in enumerate(sweeps):
+        parts.append(
+            f"w{k} AS MATERIALIZED (SELECT tile_id, want, want >= greatest({m}, 1) AS fires, CASE WHEN want >= greatest({m}, 1) THEN least(low, {t!r}::DOUBLE) ELSE low END AS low "
+            f"FROM (SELECT b.tile_id, b.low, count(r.pid) AS want FROM {before} b LEFT JOIN src r ON r.tile_id = b.tile_id AND r.{choose} > {t!r}::DOUBLE AND r.prob <= b.low GROUP BY b.tile_id, b.low))"
+        )
+        before = f"w{k}"
+    fired = " UNION ALL ".join(f"SELECT {k} AS k, {t!r}::DOUBLE AS t, tile_id, want FROM w{k} WHERE fires" for k, (t, _) in enumerate(sweeps))
+    order = "(ORDER BY dig_batch, prob DESC, pid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    extra = ", prob_b AS tile_prob" if choose != "prob" else ""
+    return f"""WITH {", ".join(parts)}, visits AS (SELECT *, row_number() OVER (ORDER BY k, want DESC, tile_id) - 1 AS dig_batch FROM ({fired})),
+mine AS (SELECT r.pid, min(k) AS k FROM src r JOIN visits v ON r.tile_id = v.tile_id AND r.prob > v.t GROUP BY r.pid),
+dug AS (SELECT r.*, v.dig_batch, v.t FROM src r JOIN mine USING (pid) JOIN visits v ON v.tile_id = r.tile_id AND v.k = mine.k)
+SELECT pid, tile_id, {R("prob")}, label{extra.replace("prob_b AS tile_prob", R("prob_b", "tile_prob"))}, dig_batch, {R("t", "dig_threshold")}, row_number() OVER {order} - 1 AS dig_index, {R("sum(label) OVER " + order + " / (row_number() OVER " + order + ")::DOUBLE", "hit_rate")} FROM dug"""
+
+
+@query(fold_sql("prob", 3))
 def e3_campaign_min_digs(spark, d):
     """The campaign with at least 3 digs a visit at first."""
     return c.campaign(joined(spark, d), min_digs=3)
 
 
-@query()
+@query(fold_sql("prob_b", 1))
 def e5_ablation(spark, d):
     """Tiles chosen by model b's scores, parcels in them dug by model a's."""
     other = fx.preds(spark, d).select("pid", F.col("prob_b").alias("tile_prob"))
@@ -70,7 +90,7 @@ def e6_visit_medians(spark, d):
     return c.visit_medians(dug, "prob_b").select("pid", "tile_id", "dig_batch", "dig_index", "prob_b", "median_prob")
 
 
-@query(f"""SELECT k / 500e0 AS threshold, pos, {R('h', 'hit_rate')} FROM (SELECT k, coalesce(max(dig_index), 0) AS pos FROM range(1, 500) t(k) LEFT JOIN campaign_a ON prob > k / 500e0 GROUP BY k)
+@query(f"""SELECT {R('k * (1e0/499)', 'threshold')}, pos, {R('h', 'hit_rate')} FROM (SELECT k, coalesce(max(dig_index), 0) AS pos FROM range(0, 499) t(k) LEFT JOIN campaign_a ON prob > k * (1e0/499) GROUP BY k)
 JOIN (SELECT dig_index AS pos, hit_rate AS h FROM campaign_a) USING (pos)""")
 def e7_by_threshold(spark, d):
     curve = c.campaign(joined(spark, d)).withColumn("pos", F.col("dig_index"))
@@ -197,16 +217,33 @@ def pooled(spark, d):
     return store.held(f5_pooling.__wrapped__(spark, d))
 
 
-@query(f"""WITH p AS (SELECT train_size, resolution, lead_digs, cost_avg AS y, lead_digs - min(lead_digs) OVER g AS i, count(*) OVER g AS n FROM pooled WINDOW g AS (PARTITION BY train_size, resolution)),
-k AS (SELECT *, least(greatest(2, floor(0.05e0*n + 0.5e0)), n)::BIGINT AS k FROM p), s AS (SELECT *, least(greatest(i - k // 2, 0), n - k)::BIGINT AS s FROM k),
-x AS (SELECT a.train_size, a.resolution, a.lead_digs, (b.i - a.i)::DOUBLE AS d, b.y, pow(1 - pow(least(abs(b.i - a.i) / (greatest(a.i - a.s, a.s + a.k - 1 - a.i, 1) * 1.0000001e0), 1e0), 3), 3) AS w
-  FROM s a JOIN p b ON a.train_size = b.train_size AND a.resolution = b.resolution AND b.i BETWEEN a.s AND a.s + a.k - 1),
-t AS (SELECT train_size, resolution, lead_digs, sum(w) AS a, sum(w*d) AS b, sum(w*d*d) AS c, sum(w*y) AS p, sum(w*d*y) AS q FROM x GROUP BY ALL)
-SELECT train_size, resolution, lead_digs::BIGINT AS lead_digs, {R('CASE WHEN abs(a*c - b*b) > 1e-12 THEN (p*c - q*b)/(a*c - b*b) ELSE p/a END', 'cost_avg_smooth')} FROM t""")
+def lowess_sql() -> str:
+    """Four rounds of local lines over the first 90 % of each pooled curve, residuals weighing the points of the next."""
+    g = "train_size, resolution"
+    on = "a.train_size = b.train_size AND a.resolution = b.resolution"
+    parts = [
+        f"z AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {g}) AS n0 FROM pooled) WHERE lead_digs <= floor(0.9e0*n0))",
+        f"p AS (SELECT {g}, lead_digs, cost_avg AS y, lead_digs - min(lead_digs) OVER g AS i, count(*) OVER g AS n FROM z WINDOW g AS (PARTITION BY {g}))",
+        "k AS (SELECT *, least(greatest(2, floor(0.05e0*n + 1e-10)), n)::BIGINT AS k FROM p)",
+        "s AS MATERIALIZED (SELECT *, least(greatest(i - k // 2, 0), n - k)::BIGINT AS s FROM k)",
+        f"x AS MATERIALIZED (SELECT a.train_size, a.resolution, a.i, b.i AS j, (b.i - a.i)::DOUBLE AS d, b.y, pow(1 - pow(abs(b.i - a.i) / greatest(a.i - a.s, a.s + a.k - 1 - a.i, 1)::DOUBLE, 3), 3) AS w FROM s a JOIN s b ON {on} AND b.i BETWEEN a.s AND a.s + a.k - 1)",
+        f"r0 AS (SELECT {g}, i AS j, 1e0 AS r FROM s)",
+    ]
+    for n in range(4):
+        parts += [
+            f"t{n} AS (SELECT {g}, i, sum(w*r) AS a, sum(w*r*d) AS b, sum(w*r*d*d) AS c, sum(w*r*y) AS p, sum(w*r*d*y) AS q FROM x JOIN r{n} USING ({g}, j) GROUP BY ALL)",
+            f"f{n} AS MATERIALIZED (SELECT {g}, i, lead_digs, y, CASE WHEN a > 0 THEN CASE WHEN a*c - b*b > 1e-12*a*a THEN (p*c - q*b)/(a*c - b*b) ELSE p/a END ELSE y END AS fit FROM s JOIN t{n} USING ({g}, i))",
+            f"r{n + 1} AS MATERIALIZED (SELECT {g}, i AS j, pow(1 - t*t, 2) AS r FROM (SELECT {g}, i, CASE WHEN m = 0 THEN (o > 0)::INT::DOUBLE ELSE least(o / (6*m), 1e0) END AS t FROM (SELECT *, abs(y - fit) AS o, quantile_cont(abs(y - fit), 0.5) OVER (PARTITION BY {g}) AS m FROM f{n})))",
+        ]
+    return "WITH " + ",\n".join(parts[:-1]) + f" SELECT {g}, lead_digs::BIGINT AS lead_digs, {R('fit', 'cost_avg_smooth')} FROM f3"
+
+
+@query(lowess_sql())
 def f7_lowess(spark, d):
-    return costs.lowess(pooled(spark, d), "lead_digs", "cost_avg", ["train_size", "resolution"])
+    by = ["train_size", "resolution"]
+    return costs.lowess(costs.zoomed(pooled(spark, d), by), "lead_digs", "cost_avg", by)
 
 
-@query(f"SELECT train_size, resolution, lead_digs::BIGINT AS lead_digs, {R('cost_avg')}, {R('100e0*lead_digs/n', 'percent_x')} FROM (SELECT *, count(*) OVER (PARTITION BY train_size, resolution) AS n FROM pooled) WHERE lead_digs <= 0.9e0*n")
+@query(f"SELECT train_size, resolution, lead_digs::BIGINT AS lead_digs, {R('cost_avg')}, {R('100e0*lead_digs/n', 'percent_x')} FROM (SELECT *, count(*) OVER (PARTITION BY train_size, resolution) AS n FROM pooled) WHERE lead_digs <= floor(0.9e0*n)")
 def f8_zoom(spark, d):
     return costs.zoomed(pooled(spark, d), ["train_size", "resolution"]).select("train_size", "resolution", "lead_digs", "cost_avg", "percent_x")

@@ -12,7 +12,7 @@ from ..operators.distance import radius_join
 from ..operators.splits import spatial_splits
 from ..operators.tiling import hexagons
 
-RESOLUTIONS, TENTHS, SPLITS, LIMIT_KM = [5, 10], [1, 4], 3, 0.5
+RESOLUTIONS, TENTHS, SPLITS = [5, 10], [1, 4], 3
 
 PARCELS = [
     "cast(c_custkey as bigint) AS pid",
@@ -85,8 +85,13 @@ def labels(spark: SparkSession, d: str) -> DataFrame:
     return preds(spark, d).select("pid", "label")
 
 
+def limit_km(spark: SparkSession, d: str) -> float:
+    """The radius of a neighbourhood: 2 km where a city has fewer than 1,000 parcels, else 0.5."""
+    return 2.0 if parcels(spark, d).count() < 1000 else 0.5
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return radius_join(parcels(spark, d), LIMIT_KM)
+    return radius_join(parcels(spark, d), limit_km(spark, d))
 
 
 def durations(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +155,8 @@ CTES: dict[str, str] = {
     "predictions": """
   SELECT m.model, s.train_size, s.resolution, s.split, s.role, s.pid, m.p + ((s.pid + 13*s.split) % 7) * 0.001e0 AS prob
   FROM splits s JOIN (SELECT pid, 'a' AS model, prob_a AS p FROM preds UNION ALL SELECT pid, 'b', prob_b FROM preds) m ON s.pid = m.pid""",
-    "edges": f"SELECT * FROM (SELECT a.pid AS src, b.pid AS dst, {HAVERSINE} AS dist_km FROM parcels a JOIN parcels b ON a.pid <> b.pid AND abs(a.lat - b.lat) < 0.01e0) WHERE dist_km < {LIMIT_KM}e0",
+    "radius": "SELECT CASE WHEN count(*) < 1000 THEN 2e0 ELSE 0.5e0 END AS limit_km FROM parcels",
+    "edges": f"SELECT src, dst, dist_km FROM (SELECT a.pid AS src, b.pid AS dst, {HAVERSINE} AS dist_km FROM parcels a JOIN parcels b ON a.pid <> b.pid AND abs(a.lat - b.lat) < 0.02e0), radius WHERE dist_km < limit_km",
     "durations": "SELECT src, dst, dist_km/0.0013e0 * (1 + ((src+dst) % 7)/10e0) AS seconds FROM edges",
     "parcels_big": f"SELECT {', '.join(BIG)} FROM orders",
     "scores_big": f"SELECT {', '.join(SCORES)} FROM lineitem",
@@ -185,7 +191,7 @@ CTES["campaign_b"] = campaign_sql("SELECT s.pid, t.tile_id, s.prob_b AS prob, s.
 CTES["campaigns"] = campaign_sql("SELECT model, train_size, resolution, split, pid, tile_id, prob, label FROM test_a", ["model", "train_size", "resolution", "split"])
 CTES["curves"] = """
   SELECT *, cost / lead_digs AS cost_avg FROM (SELECT model, train_size, resolution, split, lead_digs, digs, prob_thres, lead_digs*5000e0 + (digs - lead_digs)*3000e0 AS cost FROM (
-    SELECT model, train_size, resolution, split, lead_digs, min(dig_index) + 1 AS digs, min(prob) AS prob_thres
+    SELECT model, train_size, resolution, split, lead_digs, min(dig_index) + 1 AS digs, min(dig_threshold) AS prob_thres
     FROM (SELECT *, sum(label) OVER (PARTITION BY model, train_size, resolution, split ORDER BY dig_index) AS lead_digs FROM campaigns) GROUP BY ALL) WHERE lead_digs > 0)"""
 CTES["savings"] = """
   SELECT s.*, b.cost - s.cost AS savings, b.cost_avg - s.cost_avg AS savings_avg FROM curves s JOIN curves b USING (train_size, resolution, split, lead_digs) WHERE s.model = 'b' AND b.model = 'a'"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import haversine_km, inverse_sqrt_weight, inverse_weight
 from ..operators import diffusion, distance, splits, tiling
-from ..operators.campaign import hit_rate_curve
+from ..operators.campaign import campaign
 from ..operators.metrics import curve_area, log_loss
 from ..operators.prepare import semi
 from ..sources.store import held
@@ -94,7 +94,7 @@ def c14_distance_summary(spark, d):
 
 @query(f"SELECT src, dst, {R('dist_km')} FROM edges UNION ALL SELECT pid, pid, 0e0 FROM parcels")
 def c15_radius_join(spark, d):
-    return distance.radius_join(fx.parcels(spark, d), fx.LIMIT_KM, include_self=True)
+    return distance.radius_join(fx.parcels(spark, d), fx.limit_km(spark, d), include_self=True)
 
 
 @query(f"SELECT * FROM (SELECT a.pid, a.tract, {R(fx.HAVERSINE, 'dist_km')} FROM parcels a, (SELECT lat, lon FROM parcels WHERE pid = 77) b) WHERE dist_km < 2")
@@ -220,46 +220,78 @@ def d5_freeze(spark, d):
 # the freeze oracle ranks all neighbours first and averages those that have a value, as the query does
 
 
-def tuning(spark, d):
-    """Mean log loss and hit-rate area over splits for graph, weight, K and lambda, beside the undiffused values."""
-    test = fx.predictions(spark, d).filter("role = 'test' AND model = 'a' AND train_size = 0.4e0 AND resolution = 10").select("split", "pid").join(fx.labels(spark, d), "pid")
-    values = start(spark, d).filter("model = 'a' AND train_size = 0.4e0 AND resolution = 10").select("split", "pid", "v")
+KS, LAMS = [5, 10, 50, 100], [0.5, 0.6, 0.7, 0.8, 0.9]
+CELL = ["graph", "resolution", "weight", "k", "lam"]
+
+
+def tuning(spark, d, ks=KS, lams=LAMS, n_iter=1):
+    """Mean log loss and area under the tile-ordered hit-rate curve over splits, for graph, resolution, weight, K and lambda, beside the undiffused values."""
+    chosen = "model = 'a' AND train_size = 0.4e0"
+    by = ["resolution", "split"]
+    test = fx.predictions(spark, d).filter(f"role = 'test' AND {chosen}").select(*by, "pid").join(fx.labels(spark, d), "pid")
+    test = test.join(fx.tiles(spark, d).select("resolution", "pid", "tile_id"), ["resolution", "pid"])
+    values = held(start(spark, d).filter(chosen).select(*by, "pid", "v"))
     road = fx.durations(spark, d).select(F.lit("road").alias("graph"), "src", "dst", F.col("seconds").alias("dist"))
     straight = fx.edges(spark, d).select(F.lit("haversine").alias("graph"), "src", "dst", F.col("dist_km").alias("dist"))
     rank = F.row_number().over(Window.partitionBy("graph", "src").orderBy("dist", "dst"))
-    ranked = straight.unionByName(road).withColumn("rank", rank).filter("rank <= 10")
+    ranked = straight.unionByName(road).withColumn("rank", rank).filter(F.col("rank") <= max(ks))
     weights = {"linear": inverse_weight, "sqrt": inverse_sqrt_weight}
-    out = diffusion.tuning_grid(values, ranked, ["haversine", "road"], weights, [5, 10], [0.5, 0.9]).withColumnRenamed("v", "prob")
-    base = values.select(F.lit("none").alias("graph"), F.lit("none").alias("weight"), F.lit(0).alias("k"), F.lit(1.0).alias("lam"), "split", "pid", F.col("v").alias("prob"))
-    rows = held(out.unionByName(base).join(test, ["split", "pid"]))
-    by = ["graph", "weight", "k", "lam"]
-    loss = log_loss(rows, [*by, "split"]).groupBy(*by).agg(F.avg("log_loss").alias("log_loss"))
-    area = curve_area(hit_rate_curve(rows, [*by, "split"]), [*by, "split"]).groupBy(*by).agg(F.avg("area").alias("auhrc"))
-    return loss.join(area, by)
+    out = diffusion.tuning_grid(values, ranked, ["haversine", "road"], weights, ks, lams, n_iter, by).withColumnRenamed("v", "prob")
+    base = values.select(F.lit("none").alias("graph"), F.lit("none").alias("weight"), F.lit(0).alias("k"), F.lit(1.0).alias("lam"), *by, "pid", F.col("v").alias("prob"))
+    rows = held(out.unionByName(base).join(test, [*by, "pid"]))
+    loss = log_loss(rows, [*CELL, "split"]).groupBy(*CELL).agg(F.avg("log_loss").alias("log_loss"))
+    dug = campaign(rows, [*CELL, "split"], threshold_init=0.9).withColumn("pos", F.col("dig_index"))
+    area = curve_area(dug, [*CELL, "split"]).groupBy(*CELL).agg(F.avg("area").alias("auhrc"))
+    return loss.join(area, CELL)
 
 
-def tuning_sql() -> str:
+def tuning_sql(ks=KS, lams=LAMS, n_iter=1) -> str:
     graph = "SELECT 'haversine' AS graph, src, dst, dist_km AS dist FROM edges UNION ALL SELECT 'road', src, dst, seconds FROM durations"
-    return f"""WITH ranked AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph, src ORDER BY dist, dst) AS rk FROM ({graph})) WHERE rk <= 10),
-s0 AS MATERIALIZED {START}, v AS MATERIALIZED (SELECT split, pid, v FROM s0 WHERE model = 'a' AND train_size = 0.4e0 AND resolution = 10),
-means AS (SELECT graph, weight, k, split, src, sum(w*v)/sum(w) AS m FROM (SELECT graph, weight, k, src, dst, CASE WHEN weight = 'linear' THEN 1/(1+dist) ELSE 1/(1+sqrt(dist)) END AS w FROM ranked, (VALUES ('linear'), ('sqrt')) a(weight), (VALUES (5), (10)) b(k) WHERE rk <= k) e JOIN v ON v.pid = e.dst GROUP BY ALL),
-grid AS (SELECT * FROM (VALUES ('haversine'), ('road')) g(graph), (VALUES ('linear'), ('sqrt')) a(weight), (VALUES (5), (10)) b(k), (VALUES (0.5e0), (0.9e0)) l(lam)),
-vals AS (SELECT g.*, v.split, v.pid, CASE WHEN m IS NULL THEN v ELSE lam*v + (1-lam)*m END AS prob FROM grid g CROSS JOIN v LEFT JOIN means ON means.graph = g.graph AND means.weight = g.weight AND means.k = g.k AND means.split = v.split AND means.src = v.pid UNION ALL SELECT 'none', 'none', 0, 1e0, split, pid, v FROM v),
-rows_ AS (SELECT vals.*, label FROM vals JOIN (SELECT split, pid FROM predictions WHERE role = 'test' AND model = 'a' AND train_size = 0.4e0 AND resolution = 10) USING (split, pid) JOIN labels USING (pid)),
-loss AS (SELECT graph, weight, k, lam, avg(x) AS log_loss FROM (SELECT graph, weight, k, lam, split, avg(-(label*ln(prob) + (1-label)*ln(1-prob))) AS x FROM rows_ GROUP BY ALL) GROUP BY ALL),
-curve AS (SELECT graph, weight, k, lam, split, row_number() OVER w AS pos, sum(label) OVER w / (row_number() OVER w)::DOUBLE AS h FROM rows_ WINDOW w AS (PARTITION BY graph, weight, k, lam, split ORDER BY prob DESC, pid ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-area AS (SELECT graph, weight, k, lam, avg(a) AS auhrc FROM (SELECT graph, weight, k, lam, split, sum(h) - (arg_min(h, pos) + arg_max(h, pos))/2 AS a FROM curve GROUP BY ALL) GROUP BY ALL),
-tuned AS (SELECT * FROM loss JOIN area USING (graph, weight, k, lam)) """
-
-
-@query(tuning_sql() + f"SELECT graph, weight, k, lam, {R('log_loss')}, {R('auhrc')} FROM tuned")
+    cell = "graph, weight, k, lam, resolution, split"
+    listed = lambda xs, kind="": ", ".join(f"({x!r}{kind})" for x in xs)
+    steps = "".join(
+        f"""means{n} AS MATERIALIZED (SELECT e.graph, e.weight, e.k, {"NULL" if n == 1 else "v.lam"} AS lam, v.resolution, v.split, e.src, sum(w*v)/sum(w) AS m FROM near e JOIN v{n - 1} v ON v.pid = e.dst {"AND v.graph = e.graph AND v.weight = e.weight AND v.k = e.k" if n > 1 else ""} GROUP BY ALL),
+v{n} AS MATERIALIZED (SELECT v.graph, v.weight, v.k, v.lam, v.resolution, v.split, v.pid, CASE WHEN m IS NULL THEN v ELSE v.lam*v + (1-v.lam)*m END AS v FROM {"v0g" if n == 1 else f"v{n - 1}"} v LEFT JOIN means{n} a ON a.graph = v.graph AND a.weight = v.weight AND a.k = v.k AND a.lam IS NOT DISTINCT FROM {"a.lam" if n == 1 else "v.lam"} AND a.resolution = v.resolution AND a.split = v.split AND a.src = v.pid),
+"""
+        for n in range(1, n_iter + 1)
+    )
+    return f"""WITH ranked AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph, src ORDER BY dist, dst) AS rk FROM ({graph})) WHERE rk <= {max(ks)}),
+near AS MATERIALIZED (SELECT graph, weight, k, src, dst, CASE WHEN weight = 'linear' THEN 1/(1+dist) ELSE 1/(1+sqrt(dist)) END AS w FROM ranked, (VALUES ('linear'), ('sqrt')) a(weight), (VALUES {listed(ks)}) b(k) WHERE rk <= k),
+s0 AS MATERIALIZED {START}, v0 AS MATERIALIZED (SELECT resolution, split, pid, v FROM s0 WHERE model = 'a' AND train_size = 0.4e0),
+v0g AS (SELECT graph, weight, k, lam, v0.* FROM v0, (VALUES ('haversine'), ('road')) g(graph), (VALUES ('linear'), ('sqrt')) a(weight), (VALUES {listed(ks)}) b(k), (VALUES {listed(lams, "::DOUBLE")}) l(lam)),
+{steps}
+rows_ AS MATERIALIZED (SELECT {cell}, pid, v AS prob, label, tile_id FROM (SELECT {cell}, pid, v FROM v{n_iter} UNION ALL SELECT 'none', 'none', 0, 1e0, resolution, split, pid, v FROM v0)
+  JOIN (SELECT resolution, split, pid FROM predictions WHERE role = 'test' AND model = 'a' AND train_size = 0.4e0) USING (resolution, split, pid) JOIN labels USING (pid) JOIN tiles USING (resolution, pid)),
+loss AS (SELECT graph, weight, k, lam, resolution, avg(x) AS log_loss FROM (SELECT {cell}, avg(-(label*ln(prob) + (1-label)*ln(1-prob))) AS x FROM rows_ GROUP BY ALL) GROUP BY ALL),
+dug AS ({fx.campaign_sql("rows_", ["graph", "weight", "k", "lam", "resolution", "split"])}),
+area AS (SELECT graph, weight, k, lam, resolution, avg(a) AS auhrc FROM (SELECT {cell}, sum(hit_rate) - (arg_min(hit_rate, dig_index) + arg_max(hit_rate, dig_index))/2 AS a FROM dug GROUP BY ALL) GROUP BY ALL),
+tuned AS (SELECT * FROM loss JOIN area USING (graph, weight, k, lam, resolution)) """
+
+
+CELLS = f"graph, resolution, weight, k, lam, {R('log_loss')}, {R('auhrc')}"
+
+
+@query(tuning_sql() + f"SELECT {CELLS} FROM tuned")
 def d6_tuning(spark, d):
     return tuning(spark, d)
 
 
-@query(tuning_sql() + f"SELECT graph, weight, k, lam, {R('log_loss')}, {R('auhrc')}, l <= 0.0002e0 AS best_loss, a <= 0.5e0 AS best_area FROM (SELECT *, log_loss - min(log_loss) OVER () AS l, max(auhrc) OVER () - auhrc AS a FROM tuned) WHERE l <= 0.0002e0 OR a <= 0.5e0")
+@query(tuning_sql([10], LAMS, 3) + f"SELECT {CELLS} FROM tuned")
+def d6_tuning_steps(spark, d):
+    """The same after three steps, with ten neighbours."""
+    return tuning(spark, d, [10], LAMS, 3)
+
+
+TABLE = ["graph", "resolution", "weight"]
+
+
+@query(tuning_sql() + f"SELECT {CELLS}, l <= 0.0002e0 AS best_loss, a <= 0.5e0 AS best_area FROM (SELECT *, log_loss - min(log_loss) OVER t AS l, max(auhrc) OVER t - auhrc AS a FROM tuned WHERE graph <> 'none' WINDOW t AS (PARTITION BY graph, resolution, weight)) WHERE l <= 0.0002e0 OR a <= 0.5e0")
 def d7_best_cells(spark, d):
-    grid = held(tuning(spark, d))
-    ends = grid.agg(F.min("log_loss").alias("_l"), F.max("auhrc").alias("_a"))
-    flagged = grid.crossJoin(F.broadcast(ends)).withColumn("best_loss", F.col("log_loss") - F.col("_l") <= 0.0002).withColumn("best_area", F.col("_a") - F.col("auhrc") <= 0.5)
-    return flagged.filter("best_loss OR best_area").drop("_l", "_a")
+    """In each table of graph, resolution and weight the cells next to its best ones."""
+    return diffusion.best_cells(held(tuning(spark, d).filter("graph <> 'none'")), TABLE)
+
+
+@query(tuning_sql() + f"SELECT graph, resolution, weight, lam, {', '.join(R(f'max({m}) FILTER (WHERE k = {k})', f'{m}_{k}') for m in ('log_loss', 'auhrc') for k in KS)} FROM tuned WHERE graph <> 'none' GROUP BY graph, resolution, weight, lam")
+def d7_table(spark, d):
+    """The tables laid out: a row for each lambda, a column for each K."""
+    return diffusion.laid_out(tuning(spark, d).filter("graph <> 'none'"), TABLE, KS)

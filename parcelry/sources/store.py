@@ -12,19 +12,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EXPERIMENT = ["train_size", "resolution"]
+#: Columns as the stores write them, partition columns last, so that a store without rows reads as an empty table.
+PREDICTIONS = "split int, role string, pid bigint, prob double, model string, train_size double, resolution int"
+EDGES = "src bigint, dst bigint, dist_km double"
+PARCEL_TILES = "pid bigint, q bigint, r bigint, tile_id bigint, resolution int"
+TILES = "resolution int, tile_id bigint, n_parcels bigint, cx double, cy double, area_km2 double, wkt string"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(base)
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share; a local one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def held(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, so that several uses share one computation."""
     path = scratch(df.sparkSession, "held")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
@@ -64,7 +80,7 @@ def save_predictions(predictions: DataFrame, path: str, mode: str = "append") ->
 
 def load_predictions(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
     """All predictions, or one model's folders."""
-    out = spark.read.schema("split int, role string, pid bigint, prob double, model string, train_size double, resolution int").parquet(path)
+    out = spark.read.schema(PREDICTIONS).parquet(path)
     return out.filter(F.col("model") == model) if model else out
 
 
@@ -77,7 +93,7 @@ def save_tiling(tiles: DataFrame, table: DataFrame, params: Mapping, path: str)
 
 
 def load_tiling(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    return spark.read.parquet(f"{path}/parcel_tiles"), spark.read.parquet(f"{path}/tiles"), json.loads(spark.read.text(f"{path}/params").first()["value"])
+    return spark.read.schema(PARCEL_TILES).parquet(f"{path}/parcel_tiles"), spark.read.schema(TILES).parquet(f"{path}/tiles"), json.loads(spark.read.text(f"{path}/params").first()["value"])
 
 
 def save_edges(edges: DataFrame, path: str, limit_km: float) -> str:
@@ -88,7 +104,7 @@ def save_edges(edges: DataFrame, path: str, limit_km: float) -> str:
 
 
 def load_edges(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
-    return spark.read.parquet(f"{path}/edges"), spark.read.parquet(f"{path}/limit").first()["limit_km"]
+    return spark.read.schema(EDGES).parquet(f"{path}/edges"), spark.read.parquet(f"{path}/limit").first()["limit_km"]
 
 
 def save_role_edges(edges: DataFrame, splits: DataFrame, path: str) -> str:
@@ -100,12 +116,10 @@ def save_role_edges(edges: DataFrame, splits: DataFrame, path: str) -> str:
 
 
 def load_role_edges(spark: SparkSession, path: str, role: str) -> DataFrame:
-    return spark.read.parquet(path).filter(F.col("role") == role)
+    """One role's edges: a filter on a partition column."""
+    return spark.read.schema(f"{EDGES}, split int, train_size double, resolution int, role string").parquet(path).filter(F.col("role") == role)
 
 
-def merge_shards(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Prediction files with equal columns, in any column order."""
-    out = spark.read.parquet(paths[0])
-    for p in paths[1:]:
-        out = out.unionByName(spark.read.parquet(p))
-    return out
+def merge_shards(spark: SparkSession, paths: Sequence[str], schema: str = PREDICTIONS) -> DataFrame:
+    """Prediction files with equal columns, in any column order, read as one table."""
+    return spark.read.schema(schema).parquet(*paths)

@@ -27,7 +27,7 @@ def simulate(rows, init=0.9, step=0.1, least=1, fall=1, choose=2):
                     break
                 dug = sorted((r for r in left if r[1] == tile and r[2] > limit), key=lambda r: (-r[2], r[0]))
                 order += [(r[0], visits, limit) for r in dug]
-                visits += bool(dug)
+                visits += 1
             done = {o[0] for o in order}
             left = [r for r in left if r[0] not in done]
         if at > 0:
@@ -92,14 +92,22 @@ def test_empty_table(spark):
 
 def test_curve_by_threshold_takes_the_last_position(spark):
     curve = spark.createDataFrame([(0, 0.4, 1.0), (1, 0.9, 0.5), (2, 0.2, 0.6), (3, 0.5, 0.7)], "pos bigint, prob double, hit_rate double")
-    got = {round(r["threshold"], 1): r["pos"] for r in curve_by_threshold(curve, n=10).collect()}
-    assert got == {0.1: 3, 0.2: 3, 0.3: 3, 0.4: 3, 0.5: 1, 0.6: 1, 0.7: 1, 0.8: 1, 0.9: 0}
+    got = {round(r["threshold"], 1): (r["pos"], r["hit_rate"]) for r in curve_by_threshold(curve, n=11).collect()}
+    assert got == {0.0: (3, 0.7), 0.1: (3, 0.7), 0.2: (3, 0.7), 0.3: (3, 0.7), 0.4: (3, 0.7), 0.5: (1, 0.5), 0.6: (1, 0.5), 0.7: (1, 0.5), 0.8: (1, 0.5), 0.9: (0, 1.0)}
+
+
+def test_curve_by_threshold_counts_the_last_down_to_zero(spark):
+    """Thresholds k / (n - 1) from n - 2 to 0: a score of exactly one isn't over it, a score of 0 is over none."""
+    curve = spark.createDataFrame([(0, 1 / 499, 1.0), (1, 2.5 / 499, 0.5), (2, 0.0, 0.3)], "pos bigint, prob double, hit_rate double")
+    got = {round(r["threshold"] * 499): r["pos"] for r in curve_by_threshold(curve).collect()}
+    assert len(got) == 499 and got == {k: 1 if k <= 2 else 0 for k in range(499)}
 
 
 def test_costs_by_hand(spark):
-    dug = spark.createDataFrame([(0, 0.9, 0.0), (1, 0.8, 0.5), (2, 0.85, 1 / 3), (3, 0.4, 0.5)], "dig_index bigint, prob double, hit_rate double")
-    got = {r["lead_digs"]: (r["digs"], r["prob_thres"], r["cost"]) for r in cost_curve(dug).collect()}
-    assert got == {1: (2, 0.8, 8000.0), 2: (4, 0.4, 16000.0)}
+    """Hits at digs 2 and 4; the threshold is the lowest sweep's from a hit to the dig before the next, whatever the scores."""
+    dug = spark.createDataFrame([(0, 0.95, 0.9, 0.0), (1, 0.85, 0.8, 0.5), (2, 0.83, 0.7, 1 / 3), (3, 0.72, 0.7, 0.5), (4, 0.71, 0.6, 0.4)], "dig_index bigint, prob double, dig_threshold double, hit_rate double")
+    got = {r["lead_digs"]: (r["digs"], r["prob_thres"], r["cost"], r["cost_avg"]) for r in cost_curve(dug).collect()}
+    assert got == {1: (2, 0.7, 8000.0, 8000.0), 2: (4, 0.6, 16000.0, 8000.0)}
 
 
 def test_pooling_stops_at_the_shortest_split(spark):

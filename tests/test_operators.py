@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelry.functions import inverse_weight
 from parcelry.operators import compare, costs, diffusion, distance, explore, metrics, models, prepare, splits, tiling
-from parcelry.operators.prefix import score_bucket, with_running
+from parcelry.operators.prefix import with_running
 from parcelry.plans import fixtures as fx
 
 DATA = "/root/testdata/sf0.001"
@@ -35,7 +35,7 @@ def test_nearest_any_finds_k_everywhere(spark, points):
     few = spark.createDataFrame([(p, *x) for p, x in at.items()] + [(10**6, 44.5, -80.0)], "pid bigint, lat double, lon double")
     at[10**6] = (44.5, -80.0)
     got = {}
-    for r in distance.nearest_any(few, 3, start_km=0.5, rounds=3).collect():
+    for r in distance.nearest_any(few, 3, start_km=0.5).collect():
         got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
     for p in at:
         want = sorted((haversine(at[p], at[q]), q) for q in at if q != p)[:3]
@@ -64,6 +64,32 @@ def test_diffusion_rules(spark):
     assert sorted(r["iter"] for r in trace.select("iter").distinct().collect()) == [0, 1, 2]
 
 
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_a_step_adds_a_constant_to_the_plan(spark):
+    edges = distance.weighted(spark.createDataFrame([(0, 1, 0.1), (1, 2, 1.0), (2, 0, 0.0)], "src bigint, dst bigint, dist_km double"), inverse_weight)
+    start = values(spark, [0.2, 1.0, 0.5])
+    counts = [exchanges(diffusion.diffuse(start, edges, ["e"], n_iter=n)) for n in (1, 2, 3, 4)]
+    assert counts[3] - counts[2] == counts[2] - counts[1] == counts[1] - counts[0] <= 3
+
+
+def test_diffusion_needs_every_value(spark):
+    edges = distance.weighted(spark.createDataFrame([(0, 1, 0.1)], "src bigint, dst bigint, dist_km double"), inverse_weight)
+    with pytest.raises(ValueError):
+        diffusion.diffuse(spark.createDataFrame([(0, 0, 0.1), (0, 1, 0.2), (1, 0, 0.3)], "e int, pid bigint, v double"), edges, ["e"])
+
+
+def test_best_cells_by_table(spark):
+    grid = spark.createDataFrame([("g", 5, 0.5, 0.30, 10.0), ("g", 10, 0.5, 0.3001, 11.0), ("g", 10, 0.9, 0.31, 9.0), ("h", 5, 0.5, 0.50, 1.0)], "graph string, k int, lam double, log_loss double, auhrc double")
+    got = {(r["graph"], r["k"], r["lam"]): (r["best_loss"], r["best_area"]) for r in diffusion.best_cells(grid, ["graph"]).collect()}
+    assert got == {("g", 5, 0.5): (True, False), ("g", 10, 0.5): (True, True), ("h", 5, 0.5): (True, True)}
+    wide = {(r["graph"], r["lam"]): (r["log_loss_5"], r["log_loss_10"]) for r in diffusion.laid_out(grid, ["graph"], [5, 10]).collect()}
+    assert wide == {("g", 0.5): (0.30, 0.3001), ("g", 0.9): (None, 0.31), ("h", 0.5): (0.50, None)}
+
+
 def test_initial_values(spark):
     preds = spark.createDataFrame([(0, 1, "train", 0.9, 1), (0, 2, "test", 0.2, 0), (0, 3, "test", 0.4, 0)], "e int, pid bigint, role string, prob double, label int")
     nodes = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "pid bigint")
@@ -84,7 +110,7 @@ def test_splits_are_disjoint_and_whole(spark, points):
 
 def test_running_sums_equal_the_plain_window(spark):
     rows = [(k, (k * 7919 % 97) / 97, k % 2) for k in range(300)]
-    got = with_running(spark.createDataFrame(rows, "pid bigint, prob double, label int"), [], score_bucket("prob", 10), [F.desc("prob"), F.col("pid")], ["label"]).collect()
+    got = with_running(spark.createDataFrame(rows, "pid bigint, prob double, label int"), [], [F.desc("prob"), F.col("pid")], ["label"]).collect()
     want, total = {}, 0
     for pos, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
         total += r[2]
@@ -92,6 +118,21 @@ def test_running_sums_equal_the_plain_window(spark):
     assert {r["pid"]: (r["pos"], r["cum_label"]) for r in got} == want
 
 
+def test_running_sums_of_equal_scores_spread_over_tasks(spark):
+    """Scores of 0 and 1 alone: ids tell the rows apart, and no range holds all rows of a score."""
+    df = spark.range(40_000).selectExpr("id AS pid", "cast(id % 2 AS double) AS prob", "cast(id % 3 = 0 AS int) AS label").repartition(4)
+    out = with_running(df, [], [F.desc("prob"), F.col("pid")], ["label"]).cache()
+    assert out.selectExpr("count(distinct pos)", "min(pos)", "max(pos)").first()[:] == (40_000, 1, 40_000)
+    last = out.filter("pid = 39998").first()
+    assert last["pos"] == 40_000 and last["cum_label"] == df.filter("label = 1").count()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so small a table would be one range
+    try:
+        dealt = df.repartitionByRange(F.desc("prob"), F.col("pid")).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in dealt) < 20_000
+
+
 def scored(spark, rows):
     return spark.createDataFrame([(k, float(p), y) for k, (p, y) in enumerate(rows)], "pid bigint, prob double, label int")
 
@@ -140,6 +181,40 @@ def test_lowess_keeps_a_line(spark):
     assert all(abs(r["y_smooth"] - (3.0 * r["x"] + 1)) < 1e-6 for r in costs.lowess(line, "x", "y", frac=0.1).collect())
 
 
+def plain_lowess(ys, frac, rounds=3):
+    """Written from the published method: local lines, tricube weights, bisquare weights of residuals."""
+    n = len(ys)
+    k = min(n, max(2, int(frac * n + 1e-10)))
+    robust, fit = [1.0] * n, [0.0] * n
+    for turn in range(rounds + 1):
+        left = 0
+        for i in range(n):
+            while left + k < n and i > (left + left + k) / 2:
+                left += 1
+            js = range(left, left + k)
+            radius = max(i - left, left + k - 1 - i)
+            w = [(1 - (abs(j - i) / radius) ** 3) ** 3 * robust[j] for j in js]
+            total = sum(w)
+            if total <= 0:
+                fit[i] = ys[i]
+                continue
+            mean = sum(a * j for a, j in zip(w, js)) / total
+            spread = sum(a * (j - mean) ** 2 for a, j in zip(w, js)) / total
+            tilt = [a / total * (1 + ((i - mean) * (j - mean) / spread if spread > 1e-12 else 0)) for a, j in zip(w, js)]
+            fit[i] = sum(a * ys[j] for a, j in zip(tilt, js))
+        off = [abs(a - b) for a, b in zip(ys, fit)]
+        middle = (sorted(off)[n // 2] + sorted(off)[(n - 1) // 2]) / 2
+        robust = [(1 - min(1.0, o / (6 * middle)) ** 2) ** 2 for o in off]
+    return fit
+
+
+def test_lowess_is_the_published_one(spark):
+    ys = [math.sin(k / 9) + (5.0 if k in (20, 41) else 0.1 * ((k * 7919 % 13) / 13)) for k in range(70)]
+    rows = spark.createDataFrame([(k + 1, y) for k, y in enumerate(ys)], "x bigint, y double")
+    got = [r["y_smooth"] for r in costs.lowess(rows, "x", "y", frac=0.15).orderBy("x").collect()]
+    assert got == pytest.approx(plain_lowess(ys, 0.15), abs=1e-9)
+
+
 def test_spearman_of_a_monotone_pair(spark):
     df = spark.createDataFrame([(float(k), float(k**3), None if k == 3 else -float(k)) for k in range(8)], "a double, b double, c double")
     got = {r["feature"]: (r["n"], r["rho"]) for r in compare.spearman(df, ["b", "c"], "a").collect()}

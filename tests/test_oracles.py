@@ -7,8 +7,8 @@ from parcelry.plans import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-#: Long plans; their parts are tested one by one.
-SLOW = {"d6_tuning", "d7_best_cells", "i1_boosted_trees", "i2_regularisation", "f8_zoom", "f6_compute_costs"}
+#: Queries over the neighbour graph, which must not be compared as empty tables.
+OVER_EDGES = {"a8", "a9", "a12", "b16", "b22", "c14", "c15", "c17", "c18", "c19", "c21", "c22", "c23", "c24", "c25", "d2", "d3", "d4", "d5", "d6", "d7"}
 
 
 @pytest.fixture(scope="module")
@@ -25,13 +25,14 @@ def plain(columns, rows):
     return sorted(columns), sorted(tuple(show(r[k]) for k in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, DATA)
     rows = df.collect()
     if name not in SQL:
         assert rows
         return
+    assert rows or name.split("_")[0] not in OVER_EDGES
     cursor = duck.execute(SQL[name])
     assert plain(df.columns, rows) == plain([c[0] for c in cursor.description], cursor.fetchall())
 

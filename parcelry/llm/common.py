@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
@@ -32,6 +34,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet and read back: later uses read the columns they need."""
+    path = fresh_path(df.sparkSession, "held")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fenced(df: DataFrame, new: Sequence[str] = (), keep: Sequence[str] = (), **made: Column) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """df with its columns under names (_u0, _u1, ...) that no operator gives, and the function that puts the names back.
+
+    Columns named as one of `new`, which the operator is to give, go; those in `keep` keep their names; columns made from df stand
+    beside. back(out, *more) selects df's columns, in their order, and more.
+    """
+    gone = {n.lower() for n in new}
+    names = {c: c if c in keep else f"_u{k}" for k, c in enumerate(df.columns) if c.lower() not in gone or c in keep}
+    inner = df.select(*[named(c).alias(a) for c, a in names.items()], *[c.alias(n) for n, c in made.items()])
+
+    def back(out: DataFrame, *more: str | Column) -> DataFrame:
+        stay = {c: a for c, a in names.items() if c.lower() not in gone}
+        given = out.select(*more).columns if more else []
+        return out.select(*stay.values(), *more).toDF(*stay, *given)  # renamed in a step of its own: an alias may be a name used in `more`
+
+    return inner, back
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed and kept in the shared folder; its lineage ends here."""
     shared_dir(df.sparkSession)

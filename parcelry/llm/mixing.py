@@ -4,8 +4,8 @@ Rows of a source are put in the order of a hash-random key. Blocks of that order
 prefix sums over the blocks and within each block give every row its place on the source's axis of words, and the
 source is cut at its budget. A budget beyond the source repeats whole epochs first.
 
-Only block sums (one row per some thousand documents) and one row per source meet in windows over blocks or sources;
-a source with a third of all rows is spread over its blocks.
+Only sums meet in windows: of a thousand blocks (one block per some thousand documents), of a source's thousands of blocks, and
+one row per source. A source with a third of all rows is spread over its blocks.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_digits, random_key
+from .common import fenced, hex_digits, random_key
 
 ROWS_PER_BLOCK = 2000
 
@@ -61,37 +61,38 @@ def mix_sources(
     ids feed the random key. A document goes in whole or not at all: the one on the cut goes in if more than half of
     it lies before the cut, so that a source's sum is within half a document of its target. Null sources are one
     source, the last; null sizes are 0; rows equal in key, id and size are interchangeable; an empty table gives an
-    empty one. Columns of df named as the new ones are replaced.
+    empty one. Columns of df named as the new ones are replaced; others of any name stay as they are.
+
+    size is evaluated twice, for the sums and for the places: give a column that is read, not worked out, where that is dear.
     """
-    df = df.drop(*[c for c in ("size", "source_size", "target", "copies", "taken") if c in df.columns and c != source])
-    rows = df.count()
-    digits = hex_digits(rows, rows_per_block, 8)
     ids = list(ids)
-    base = (
-        df.withColumn("size", F.coalesce(size.cast("long"), F.lit(0)))
-        .withColumn("_skey", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t")))
-        .withColumn("_key", random_key(seed, *ids))
-        .withColumn("_block", F.substring("_key", 1, digits))
+    keys = [f"_id{k}" for k in range(len(ids))]
+    skey = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("t"))
+    inner, back = fenced(
+        df, ["size", "source_size", "target", "copies", "taken"], size=F.coalesce(size.cast("long"), F.lit(0)), _skey=skey, _key=random_key(seed, *ids), **dict(zip(keys, ids, strict=True))
     )
-    blocks = base.groupBy("_skey", "_block").agg(F.sum("size").alias("_block_size"))
-    sources = blocks.groupBy("_skey").agg(F.sum("_block_size").alias("source_size"))
-    targets = source_targets(sources, weights, share, cap)
-    earlier = Window.partitionBy("_skey").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_block_size").over(earlier), F.lit(0))).join(targets, "_skey")
-    inside = Window.partitionBy("_skey", "_block").orderBy("_key", *ids, "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
-        offsets.drop("_block_size"), ["_skey", "_block"]
+    digits = max(1, hex_digits(df.count(), rows_per_block, 8))
+    base = inner.withColumn("_block", F.substring("_key", 1, digits))
+    blocks = base.groupBy("_skey", "_block").agg(F.sum("size").alias("_block_size")).withColumn("_range", F.substring("_block", 1, max(0, digits - 3)))
+    ranges = blocks.groupBy("_skey", "_range").agg(F.sum("_block_size").alias("_range_size"))
+    sources = ranges.groupBy("_skey").agg(F.sum("_range_size").alias("source_size"))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.withColumn("_start", F.coalesce(F.sum("_range_size").over(earlier("_skey").orderBy("_range")), F.lit(0))).drop("_range_size")
+    offsets = (
+        blocks.withColumn("_offset", F.coalesce(F.sum("_block_size").over(earlier("_skey", "_range").orderBy("_block")), F.lit(0)))
+        .join(starts, ["_skey", "_range"])
+        .join(source_targets(sources, weights, share, cap), "_skey")
+        .drop("_block_size", "_range")
     )
+    inside = earlier("_skey", "_block").orderBy("_key", *keys, "size")
+    placed = base.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["_skey", "_block"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - epochs * F.col("source_size")
-    middle = F.col("_offset") + F.col("_inside") + F.col("size") * F.lit(0.5)
-    return (
-        placed.withColumn("copies", (epochs + F.when(middle < rest, 1).otherwise(0)).cast("long"))
-        .withColumn("taken", F.col("size") * F.col("copies"))
-        .drop("_skey", "_block", "_key", "_offset", "_inside")
-    )
+    middle = F.col("_start") + F.col("_offset") + F.col("_inside") + F.col("size") * F.lit(0.5)
+    cut_in = placed.withColumn("copies", (epochs + F.when(middle < rest, 1).otherwise(0)).cast("long"))
+    return back(cut_in, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def repeat_rows(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
+def repeat_rows(mixed: DataFrame, columns: Sequence[str], copies: str = "copies") -> DataFrame:
     """The mix itself: each row as often as its copies say."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
+    return mixed.filter(F.col(copies) > 0).select(*columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias("_copy")).select(*columns)

@@ -1,18 +1,20 @@
 """Quality rules whose thresholds keep the risk of rejecting a good document under control.
 
-Each rule compares one figure of a text with a cutoff. For every stratum and rule a fixed ladder of cutoffs, from loose
-to strict, is tested on labelled holdout documents: with x of n good ones beyond a cutoff, the exact binomial
-probability of x or fewer at the allowed rate must be at most the error level. Testing stops at the first cutoff that
-fails, so the ladder costs no correction; the level is divided by the number of rules and strata (Bonferroni), and
-the allowed rate by the number of rules. All passed cutoffs are valid at once; the loosest is taken that rejects
-nearly as many bad documents as the strictest passed.
+Each rule compares one figure of a text with a cutoff. A setting is a cutoff for every rule; the settings from loose to strict, fixed
+before any label is seen, form one ladder. For every stratum the ladder is tested on labelled holdout documents: with x of n
+good ones rejected by a setting, the exact binomial probability of x or fewer at the allowed rate must be at most the error
+level. Testing stops at the first setting that fails, so that rules and settings cost no correction; the level is divided
+among the strata (Bonferroni). Within the strictest setting passed each rule is loosened, or left out, as far as nearly as many bad
+documents are still rejected: what is rejected then is a part of what was certified.
+
+Strata with fewer than LEAST_GOOD good labels, which could hardly certify anything, are one stratum together.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,17 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut, fenced, slices
+
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
-#: Of each rule its figure and its cutoffs from loose to strict, both fixed before any label is seen.
+#: Of each rule its figure and its cutoffs from loose to strict, one for each setting of the ladder: fixed before any label is seen.
 RULES = {
-    "symbols": ("n_symbols / greatest(n_words, 1)", [3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05]),
+    "symbols": ("n_symbols / greatest(n_words, 1)", [3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2]),
     "repeats": ("n_repeat_words / greatest(n_words, 1)", [0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05]),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1]),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.2, 0.1]),
     "capitals": ("n_capitals / greatest(word_chars, 1)", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1]),
 }
+STEPS = 10
+LEAST_GOOD = 100
+#: More strata than this aren't broadcast.
+MOST_STRATA = 10_000
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -70,12 +78,16 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 
 def add_counts(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with COUNTS (columns of those names are replaced), without the text unless keep_text."""
+    """docs with COUNTS, without the text unless keep_text.
+
+    Null and empty texts count 0 everywhere; repeated rows count alike; an empty table gives an empty one. Columns of docs
+    named as the new ones are replaced.
+    """
     docs = docs.drop(*COUNTS)
     fields = [f for f in docs.schema.fields if keep_text or f.name != text]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             found = np.array([text_counts(t.as_py()) for t in batch.column(text)], np.int64).reshape(-1, len(COUNTS))
             columns = [batch.column(f.name) for f in fields] + [pa.array(found[:, k]) for k in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + COUNTS)
@@ -112,48 +124,82 @@ def binomial_tail(x: int, n: int, rate: float) -> float:
     return min(1.0, total if below else 1 - total)
 
 
-def fit_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang", allowed: float = 0.05, error: float = 0.05, enough: float = 0.99, id_col: str = "doc_id") -> DataFrame:
-    """(_stratum, symbols, repeats, ...): of each stratum the certified cutoff of each rule, null if there is none.
+def certified(good: Sequence[int], allowed: float, level: float) -> int:
+    """How many settings of the ladder pass. good[k]: good documents whose first rejecting setting is k; the last, those that none rejects."""
+    n, rejected = sum(good), 0
+    for k, first in enumerate(good[:-1]):
+        rejected += first
+        if not n or binomial_tail(rejected, n, allowed) > level:
+            return k
+    return len(good) - 1
+
+
+def loosened(cells: Sequence[tuple[tuple[int, ...], int]], passed: int, enough: float) -> list[int | None]:
+    """Of each rule the loosest setting (None: the rule isn't needed) such that `enough` of the bad documents rejected at the last setting
+    passed still are. cells: (by rule the first setting that rejects, documents); rules are loosened from the last to the first."""
+    chosen: list[int | None] = [passed - 1] * (len(cells[0][0]) if cells else 0)
+    caught = lambda at: sum(n for firsts, n in cells if any(k is not None and f <= k for f, k in zip(firsts, at, strict=True)))
+    best = caught(chosen) if passed else 0
+    if not best:
+        return [None] * len(chosen)
+    for r in reversed(range(len(chosen))):
+        for k in [None, *range(passed)]:
+            if caught([*chosen[:r], k, *chosen[r + 1 :]]) >= enough * best:
+                chosen[r] = k
+                break
+    return chosen
+
+
+def stratum_key(stratum: str) -> F.Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col(stratum).cast("string")), F.lit("null"))
+
+
+def fit_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang", allowed: float = 0.05, error: float = 0.05, enough: float = 0.99, id_col: str = "doc_id", least_good: int = LEAST_GOOD) -> DataFrame:
+    """(_stratum, n_good, n_certified, symbols, repeats, ...): of each stratum the good labels it was tested on, the settings certified, and the
+    cutoff of each rule, null where it has none. The row `rest` is of the small strata together, and of those without labels.
 
     Holdout: labelled documents that the base rules keep. A document labelled twice counts by its lowest label; null
     ids and labels count for nothing; null is a stratum. With too few labels nothing is certified and nothing rejected.
+    What is gathered of a stratum are counts by the rules' first rejecting settings, (STEPS + 1) to the number of rules at most.
     """
-    label = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg(F.min("quality").alias("_good"))
-    held = counts.filter(~base_failed()).select(
-        F.col(id_col), F.coalesce(F.concat(F.lit("s"), F.col(stratum)), F.lit("null")).alias("_stratum"), *[F.expr(v).alias(r) for r, (v, _) in RULES.items()]
-    )
-    beyond = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{k}") for r, (_, cs) in RULES.items() for k, c in enumerate(cs)]
-    sums = held.join(label, id_col).groupBy("_stratum", "_good").agg(F.count("*").alias("_n"), *beyond)
-    strata = counts.sparkSession.range(1).select(F.lit(1).alias("_all")).crossJoin(sums.agg(F.countDistinct("_stratum").alias("_strata")))
-    flat = sums.crossJoin(F.broadcast(strata.select("_strata")))
+    label = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(id_col).agg((F.min("quality") == 1).alias("_good"))
+    first = lambda v, cs: F.coalesce(F.array_min(F.transform(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for k, c in enumerate(cs)]), lambda x: v > x["c"]), lambda x: x["k"])), F.lit(STEPS))
+    held_out = counts.filter(~base_failed()).select(F.col(id_col), stratum_key(stratum).alias("_own"), *[first(F.expr(v), cs).alias(r) for r, (v, cs) in RULES.items()])
     rules = list(RULES)
+    cells = cut(held_out.join(label, id_col).groupBy("_own", "_good", *rules).agg(F.count("*").alias("_n")))
+    large = cells.groupBy("_own").agg(F.sum(F.when(F.col("_good"), F.col("_n")).otherwise(0)).alias("_size")).filter(F.col("_size") >= least_good)
+    strata = large.count() + 1
+    pooled = cells.join(large.select("_own", F.col("_own").alias("_stratum")), "_own", "left").withColumn("_stratum", F.coalesce("_stratum", F.lit("rest")))
 
     def certify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        good, bad = rows[rows["_good"] == 1], rows[rows["_good"] != 1]
-        n, level = int(good["_n"].sum()), error / (len(rules) * int(rows["_strata"].iloc[0]))
-        out = {"_stratum": [key[0]]}
-        for r in rules:
-            passed = []
-            for k, c in enumerate(RULES[r][1]):
-                if not n or binomial_tail(int(good[f"{r}_{k}"].sum()), n, allowed / len(rules)) > level:
-                    break
-                passed.append((c, int(bad[f"{r}_{k}"].sum())))
-            best = max((b for _, b in passed), default=0)
-            out[r] = [next((c for c, b in passed if b >= enough * best and b), None)]
+        good, bad = rows[rows["_good"]], rows[~rows["_good"]]
+        firsts = [0] * (STEPS + 1)
+        for k, n in zip(good[rules].min(axis=1), good["_n"], strict=True):
+            firsts[int(k)] += int(n)
+        passed = certified(firsts, allowed, error / strata)
+        table = bad.groupby(rules)["_n"].sum()
+        at = loosened([(tuple(map(int, k)), int(n)) for k, n in table.items()], passed, enough) or [None] * len(rules)
+        out = {"_stratum": [key[0]], "n_good": [sum(firsts)], "n_certified": [passed]}
+        out |= {r: [None if k is None else RULES[r][1][k]] for r, k in zip(rules, at, strict=True)}
         return pd.DataFrame(out).astype({r: "float64" for r in rules})
 
-    return flat.groupBy("_stratum").applyInPandas(certify, "_stratum string, " + ", ".join(f"{r} double" for r in rules))
+    schema = "_stratum string, n_good bigint, n_certified bigint, " + ", ".join(f"{r} double" for r in rules)
+    return cut(pooled.groupBy("_stratum").applyInPandas(certify, schema))
 
 
 def judge(counts: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """counts with base_failed, failed_rules (names) and kept. A stratum without cutoffs is judged by the base alone."""
-    counts = counts.drop("base_failed", "failed_rules", "kept")
-    named = cutoffs.select("_stratum", *[F.col(r).alias(f"_cut_{r}") for r in RULES])
-    keyed = counts.withColumn("_stratum", F.coalesce(F.concat(F.lit("s"), F.col(stratum)), F.lit("null"))).join(named, "_stratum", "left")
-    broken = F.array(*[F.when(F.expr(v) > F.col(f"_cut_{r}"), F.lit(r)) for r, (v, _) in RULES.items()])
-    return (
-        keyed.withColumn("base_failed", base_failed())
-        .withColumn("failed_rules", F.array_compact(broken))
-        .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-        .drop("_stratum", *[f"_cut_{r}" for r in RULES])
-    )
+    """counts with base_failed, failed_rules (names) and kept. Without cutoffs at all the base rules judge alone.
+
+    A null stratum is one; a stratum that was not certified by itself is judged as `rest`. Repeated rows are judged alike; an
+    empty table gives an empty one. Columns named as the new ones are replaced, others of any name stay as they are.
+    """
+    few = cutoffs.count() <= MOST_STRATA
+    own = cutoffs.filter("_stratum <> 'rest'").select("_stratum", F.lit(True).alias("_known"), *[F.col(r).alias(f"_cut_{r}") for r in RULES])
+    rest = cutoffs.filter("_stratum = 'rest'").agg(*[F.max(r).alias(r) for r in RULES]).first()
+    figures = {f"_figure_{r}": F.expr(v) for r, (v, _) in RULES.items()}
+    inner, back = fenced(counts, ["base_failed", "failed_rules", "kept"], _stratum=stratum_key(stratum), _base=base_failed(), **figures)
+    met = inner.join(F.broadcast(own) if few else own, "_stratum", "left")
+    limit = lambda r: F.when(F.col("_known"), F.col(f"_cut_{r}")).otherwise(F.lit(rest[r]).cast("double"))
+    broken = F.array_compact(F.array(*[F.when(F.col(f"_figure_{r}") > limit(r), F.lit(r)) for r in RULES]))
+    judged = met.withColumn("_broken", broken)
+    return back(judged, F.col("_base").alias("base_failed"), F.col("_broken").alias("failed_rules"), (~F.col("_base") & (F.size("_broken") == 0)).alias("kept"))

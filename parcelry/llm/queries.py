@@ -30,7 +30,7 @@ def text_id() -> F.Column:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"), text_id().alias("text_md5"))
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"), text_id().alias("text_md5")))
     mixed = mix_sources(docs, F.col("words"), ids=[F.col("doc_id"), F.col("text_md5")])
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -70,7 +70,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

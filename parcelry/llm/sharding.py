@@ -5,7 +5,8 @@ How many rows each partition sends to each shard is drawn exactly: the communica
 multivariate hypergeometric, row by row, given what the shards still lack. In each partition the rows, in random
 order, are dealt by the partition's row of the matrix; after the exchange each shard is put in a second random order.
 
-The driver draws partitions times shards numbers, at most MOST_PARTITIONS rows of them; it sees counts only.
+A partition is sized by bytes, so that long rows make more of them. The driver draws partitions times shards numbers, at most
+MOST_CELLS of them; it sees counts only.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex_digits, random_key
+from .common import fenced, hex_digits, named, random_key
 
-ROWS_PER_PARTITION = 20_000
+BYTES_PER_PARTITION = 8 << 20
 PARTITION_DIGITS = 4
-MOST_PARTITIONS = 16**PARTITION_DIGITS
+MOST_CELLS = 1 << 20
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
@@ -69,17 +70,28 @@ def communication_matrix(counts: Sequence[int], shards: int, seed: int) -> list[
     return matrix
 
 
-def shuffle_into_shards(df: DataFrame, shards: int, ids: Sequence[Column] = (), seed: int = 23, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in a shuffle: its strings, and 16 bytes for each other column."""
+    parts = [F.coalesce(F.octet_length(named(c)), F.lit(0)) if t in ("string", "binary") else F.lit(16) for c, t in df.dtypes]
+    return sum(parts, F.lit(32)).cast("long")
+
+
+def shuffle_into_shards(df: DataFrame, shards: int, ids: Sequence[Column] = (), seed: int = 23, bytes_per_partition: int = BYTES_PER_PARTITION) -> DataFrame:
     """df with shard (0 to shards - 1, row counts at most one apart) and slot (0, 1, ... in each shard).
 
     ids feed the random keys; rows equal in all ids are interchangeable. Nulls count as empty, texts may be of any
-    length, an empty table gives an empty one, and columns of df named shard or slot are replaced.
+    length, an empty table gives an empty one; columns of df named shard or slot are replaced, others of any name stay as they are.
     """
-    spark = df.sparkSession
-    df = df.drop("shard", "slot")
-    rows = df.count()
-    digits = hex_digits(rows, rows_per_partition, PARTITION_DIGITS)
-    keyed = df.withColumn("_key", random_key(seed, *ids)).withColumn("_part", F.substring("_key", 1, digits))
+    if not 0 < shards <= MOST_CELLS:
+        raise ValueError(f"shards must be from 1 to {MOST_CELLS}")
+    spark, ids = df.sparkSession, list(ids)
+    total = df.agg(F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()[0]
+    digits = max(1, hex_digits(total, bytes_per_partition, PARTITION_DIGITS))
+    while digits and 16**digits * shards > MOST_CELLS:
+        digits -= 1
+    keys = [f"_id{k}" for k in range(len(ids))]
+    inner, back = fenced(df, ["shard", "slot"], _key=random_key(seed, *ids), **dict(zip(keys, ids, strict=True)))
+    keyed = inner.withColumn("_part", F.substring("_key", 1, digits))
     counts = {r["_part"]: r["n"] for r in keyed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     parts = sorted(counts)
     matrix = communication_matrix([counts[p] for p in parts], shards, seed)
@@ -88,10 +100,10 @@ def shuffle_into_shards(df: DataFrame, shards: int, ids: Sequence[Column] = (),
         F.explode(F.from_json(F.lit(json.dumps([{"p": p, "e": e} for p, e in ends])), "array<struct<p string, e array<bigint>>>")).alias("x")
     )
     drawn = drawn.select(F.col("x.p").alias("_part"), F.col("x.e").alias("_ends"))
-    local = Window.partitionBy("_part").orderBy("_key", *ids)
+    local = Window.partitionBy("_part").orderBy("_key", *keys)
     dealt = (
         keyed.withColumn("_at", F.row_number().over(local) - 1)
-        .join(drawn, "_part")
+        .join(F.broadcast(drawn), "_part")
         .withColumn("shard", F.size(F.filter("_ends", lambda end: end <= F.col("_at"))))
         .withColumn("_key", F.substring("_key", 17, 16))
         .withColumn("_block", F.substring("_key", 1, digits))
@@ -100,10 +112,6 @@ def shuffle_into_shards(df: DataFrame, shards: int, ids: Sequence[Column] = (),
     blocks = dealt.groupBy("shard", "_block").agg(F.count("*").alias("_rows"))
     earlier = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("shard", "_block", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    again = Window.partitionBy("shard", "_block").orderBy("_key", *ids)
-    return (
-        dealt.withColumn("_inside", F.row_number().over(again) - 1)
-        .join(offsets, ["shard", "_block"])
-        .withColumn("slot", F.col("_offset") + F.col("_inside"))
-        .drop("_key", "_block", "_offset", "_inside")
-    )
+    again = Window.partitionBy("shard", "_block").orderBy("_key", *keys)
+    placed = dealt.withColumn("_inside", F.row_number().over(again) - 1).join(offsets, ["shard", "_block"])
+    return back(placed, "shard", (F.col("_offset") + F.col("_inside")).alias("slot"))

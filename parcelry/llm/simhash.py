@@ -3,12 +3,11 @@
 Fingerprints: a bit is 1 if more than half of the document's 3-word shingle hashes have it. Two fingerprints that
 differ in at most `bits` bits share at least 8 - bits of their 8 positional bytes.
 
-Search: an inverted index from positional bytes to fingerprints. Lists of a single byte would be 2048 whatever the
-size of the corpus, and their pairs its square; a posting is therefore a set of byte positions with their bytes. The
-position sets are chosen so that any pair sharing the guaranteed number of bytes meets in at least one list. For each
-pair the shared positional bytes are tallied, pairs under the guaranteed minimum are dropped, and the rest is verified
-bit by bit. A list longer than LONG_LIST isn't paired: each of its fingerprints looks up every value within `bits`
-bits instead, over the bits outside the list's key, which is exact and in proportion to the list.
+Search: an inverted index of positional bytes with count filtering. Lists of a single byte would be 2048 whatever the size of the
+corpus, and their pairs its square; a posting is therefore a set of positions with their bytes, and all sets of one
+size are posted. Each pair that meets is tallied over all lists: m equal positional bytes meet in C(m, size) of them, so pairs
+below the count that the guaranteed minimum of equal bytes gives are dropped, and the rest is verified bit by bit. Sets are
+as large as leaves the tally something to tell: one byte short of the guaranteed minimum.
 
 Documents fold into distinct fingerprints first, so a group of copies, however large, is one entry. Links between
 fingerprints are joined into components by large-star and small-star rounds of joins, each cut by a checkpoint.
@@ -18,17 +17,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices
+from .common import cut, fenced, slices
 
 BYTES = 8
-LONG_LIST = 800
 #: Shingles whose bits are in memory at once.
 CHUNK = 50_000
 
@@ -55,9 +54,9 @@ def text_fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def add_fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> DataFrame:
-    """docs with _fp, the fingerprint as a signed long; a text without words, or null, has 0."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "_fp"] + [T.StructField("_fp", T.LongType())])
-    held, at = [f.name for f in schema.fields[:-1]], None
+    """docs, without the text, with _fp, the fingerprint as a signed long; a text without words, or null, has 0."""
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("_fp", text)] + [T.StructField("_fp", T.LongType())])
+    held = [f.name for f in schema.fields[:-1]]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -65,22 +64,7 @@ def add_fingerprints(docs: DataFrame, text: str = "text", width: int = 3) -> Dat
             fps = pa.array(np.array(found, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in held] + [fps], names=[*held, "_fp"])
 
-    return docs.select(*held).mapInArrow(prints, schema)
-
-
-def covering_sets(bits: int) -> list[tuple[int, ...]]:
-    """Sets of byte positions of which, whatever `bits` positions differ, at least one has none of them.
-
-    Greedy over sets of four positions while those suffice (bits <= 2), of fewer for more bits.
-    """
-    size = {0: 8, 1: 4, 2: 4, 3: 2}.get(bits, 1)
-    sets = list(combinations(range(BYTES), size))
-    open_, chosen = set(combinations(range(BYTES), bits)), []
-    while open_:
-        best = max(sets, key=lambda s: sum(not set(s) & set(d) for d in open_))
-        chosen.append(best)
-        open_ = {d for d in open_ if set(best) & set(d)}
-    return chosen
+    return docs.select(*held, text).mapInArrow(prints, schema)
 
 
 def signed(x: int) -> int:
@@ -91,35 +75,18 @@ def mask_of(positions: tuple[int, ...]) -> int:
     return sum(0xFF << 8 * p for p in positions)
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many positional bytes are equal."""
-    differ = a.bitwiseXOR(b)
-    return sum(((differ.bitwiseAND(F.lit(signed(0xFF << 8 * p)))) == 0).cast("int") for p in range(BYTES))
-
-
-def links(fingerprints: DataFrame, bits: int = 2, long_list: int = LONG_LIST) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct _fp that differ in 1 to `bits` bits; a pair may come twice."""
-    spark = fingerprints.sparkSession
-    masks = [mask_of(s) for s in covering_sets(bits)]
-    posted = fingerprints.select(
-        "_fp", F.posexplode(F.array(*[F.col("_fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("_set", "_bytes")
-    )
-    lengths = posted.groupBy("_set", "_bytes").agg(F.count("*").alias("_n")).filter("_n > 1")
-    posted = posted.join(lengths, ["_set", "_bytes"])
-    short = posted.filter(F.col("_n") <= long_list)
-    left, right = short.select("_set", "_bytes", F.col("_fp").alias("a")), short.select("_set", "_bytes", F.col("_fp").alias("b"))
-    tally = shared_bytes(F.col("a"), F.col("b"))
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    paired = left.join(right, ["_set", "_bytes"]).filter((F.col("a") < F.col("b")) & (tally >= BYTES - bits)).filter(apart <= bits)
-    found = paired.select("a", "b")
-    long = lengths.filter(F.col("_n") > long_list)
-    if long.isEmpty():
-        return found
-    flips = [(k, signed(sum(c))) for k, mask in enumerate(masks) for n in range(1, bits + 1) for c in combinations([1 << i for i in range(64) if not mask >> i & 1], n)]
-    flips = F.broadcast(spark.createDataFrame(flips, "_set int, _flip bigint"))
-    looked = posted.filter(F.col("_n") > long_list).join(flips, "_set").select(F.col("_fp").alias("a"), F.col("_fp").bitwiseXOR(F.col("_flip")).alias("b")).filter("a < b")
-    near = looked.join(fingerprints.select(F.col("_fp").alias("b")), "b", "left_semi")
-    return found.unionByName(near.select("a", "b"))
+def links(fingerprints: DataFrame, bits: int = 2) -> DataFrame:
+    """(a, b), a < b: all pairs of the distinct _fp that differ in 1 to `bits` bits, once each."""
+    if not 0 <= bits < BYTES:
+        raise ValueError("bytes guarantee nothing for so many bits")
+    equal = BYTES - bits
+    size = max(1, equal - 1)
+    masks = [mask_of(s) for s in combinations(range(BYTES), size)]
+    posted = fingerprints.select("_fp", F.posexplode(F.array(*[F.col("_fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("_set", "_bytes"))
+    left, right = posted.withColumnRenamed("_fp", "a"), posted.withColumnRenamed("_fp", "b")
+    met = left.join(right, ["_set", "_bytes"]).filter("a < b")
+    tallied = met.groupBy("a", "b").agg(F.count("*").alias("_met")).filter(F.col("_met") >= comb(equal, size))
+    return tallied.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -148,22 +115,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select("v", "v").distinct().toDF("node", "root"))
 
 
-def near_duplicates(docs: DataFrame, bits: int = 2, width: int = 3, id_col: str = "doc_id", text: str = "text", long_list: int = LONG_LIST) -> DataFrame:
-    """docs with fingerprint (16 hex digits) and component_id (the smallest id reachable over links, itself included).
+def near_duplicates(docs: DataFrame, bits: int = 2, width: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, without the text, with fingerprint (16 hex digits) and component_id (the smallest id reachable over links, itself included).
 
     Null and empty texts have fingerprint zero and link like any other; null ids count for nothing in a component's
     smallest id (a component of null ids alone has a null one); repeated rows share everything; an empty table gives an
-    empty one. Columns of docs named as the new ones are replaced.
+    empty one. Columns of docs named as the new ones are replaced, others of any name stay as they are.
     """
-    docs = docs.drop("fingerprint", "component_id")
-    slim = cut(add_fingerprints(docs.select(id_col, text), text, width).select(id_col, "_fp"))
-    distinct = cut(slim.groupBy("_fp").agg(F.min(id_col).alias("_least")))
-    roots = components(links(distinct.select("_fp"), bits, long_list))
+    inner, back = fenced(docs, ["fingerprint", "component_id", text], _id=F.col(id_col), _text=F.col(text))
+    slim = cut(add_fingerprints(inner, "_text", width))
+    distinct = cut(slim.groupBy("_fp").agg(F.min("_id").alias("_least")))
+    roots = components(links(distinct.select("_fp"), bits))
     grouped = distinct.join(roots.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("_root", F.coalesce("root", "_fp"))
     least = grouped.groupBy("_root").agg(F.min("_least").alias("component_id"))
     named = grouped.join(least, "_root").select("_fp", "component_id")
-    if set(docs.columns) == {id_col} or docs.columns == [id_col, text]:
-        rows = slim
-    else:
-        rows = add_fingerprints(docs, text, width)
-    return rows.join(named, "_fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("_fp"), 16, "0"))).drop("_fp")
+    return back(slim.join(named, "_fp"), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parcelry.llm import queries
 from parcelry.llm.common import word_count
-from parcelry.llm.linededup import LineRuns, drop_frequent_lines
+from parcelry.llm.linededup import LineRuns, drop_frequent_lines, sorted_scans
 from parcelry.llm.mixing import mix_sources, repeat_rows
 from parcelry.llm.sharding import communication_matrix, hypergeometric, shuffle_into_shards
 
@@ -87,14 +87,14 @@ def test_shards_are_exact_and_random(spark):
     rows = [(k, f"t{k % 50}", "s") for k in range(900)] + AWKWARD
     df = spark.createDataFrame(rows, DOCS)
     ids = [F.col("doc_id"), F.col("text")]
-    got = shuffle_into_shards(df, 8, ids, rows_per_partition=30).collect()
+    got = shuffle_into_shards(df, 8, ids, bytes_per_partition=3000).collect()
     by = defaultdict(list)
     for r in got:
         by[r["shard"]].append(r["slot"])
     assert len(got) == len(rows) and set(by) == set(range(8))
     assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    again = shuffle_into_shards(df.repartition(5), 8, ids, rows_per_partition=30).collect()
+    again = shuffle_into_shards(df.repartition(5), 8, ids, bytes_per_partition=3000).collect()
     key = lambda r: (r["shard"], r["slot"], str(r["doc_id"]), str(r["text"]))
     assert sorted(map(key, got)) == sorted(map(key, again))
     place = [r["slot"] for r in sorted((r for r in got if r["doc_id"] is not None), key=lambda r: r["doc_id"])]
@@ -120,16 +120,44 @@ def test_line_dedup_is_brute_force(spark):
     rng = random.Random(8)
     pool = ["Header", " header\t", "ÉCOLE", "école", "", "  ", "once", "x" * 300, "A B"]
     rows = [(k, "\n".join(rng.choice([*pool, f"own {k} {j}"]) for j in range(rng.randrange(12))), "s") for k in range(80)] + AWKWARD
-    for batches, fanout in ((1, 2), (4, 2), (5, 3)):
-        got = drop_frequent_lines(spark.createDataFrame(rows, DOCS), 4, 1, batches, fanout).collect()
+    for batches in (1, 4, 5):
+        got = drop_frequent_lines(spark.createDataFrame(rows, DOCS), 4, 1, batches).collect()
         show = lambda r: (str(r[0]), *r[1:])
         assert sorted(show((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_text"])) for r in got) == sorted(map(show, dropped(rows, 4, 1)))
 
 
 def test_line_dedup_of_nothing_and_clashes(spark):
     assert drop_frequent_lines(spark.createDataFrame([], DOCS)).count() == 0
-    clash = spark.createDataFrame([(1, "a", 7)], "doc_id bigint, text string, n_lines int")
-    assert drop_frequent_lines(clash).first()["n_lines"] == 1
+    clash = spark.createDataFrame([(1, "a", 7, 8, 9, 10, 11)], "doc_id bigint, text string, n_lines int, _lost int, _t1 int, _lines int, _u0 int")
+    got = drop_frequent_lines(clash).first().asDict()
+    assert got == {"doc_id": 1, "text": "a", "n_lines": 1, "_lost": 8, "_t1": 9, "_lines": 10, "_u0": 11, "n_dropped": 0, "kept_text": "a"}
+
+
+def test_clashing_columns_stay(spark):
+    mine = {"_key": 1, "_offset": 2, "_skey": 3, "_block": 4, "_part": 5, "_u1": 6, "_at": 7, "size": 8, "Shard": 9, "a.b": 10}
+    df = spark.createDataFrame([(k, "some words here", "s", *mine.values()) for k in range(5)], DOCS + "".join(f", `{c}` int" for c in mine))
+    mixed = mix_sources(df, F.col("size"), ids=[F.col("doc_id")]).collect()
+    assert all({c: r[c] for c in mine} == mine for r in mixed) and all(r["size"] == 8 for r in mixed)
+    dealt = shuffle_into_shards(df, 2, [F.col("doc_id")])
+    assert "Shard" not in dealt.columns and dealt.columns.count("shard") == 1
+    assert all({c: r[c] for c in mine if c != "Shard"} == {c: v for c, v in mine.items() if c != "Shard"} for r in dealt.collect())
+
+
+def test_merges_and_anti_joins_use_the_order_of_runs(spark):
+    runs = LineRuns(spark, 3, buckets=4)
+    texts = spark.createDataFrame([(k, "\n".join(f"line {j}" for j in range(k, k + 50))) for k in range(40)], "k int, text string")
+    one, two, three = runs.batches(texts, F.col("k") % 3, 3)
+    runs.add_run(one)
+    runs.add_run(two)
+    with sorted_scans(spark):
+        runs.settled[0].count()
+        for plan in (runs.merged(two, three), runs.without_settled(three)):
+            shown = plan._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in shown and "Exchange" not in shown and "Sort [" not in shown, shown
+    runs.add_run(three)
+    count = Counter(j for k in range(40) for j in range(k, k + 50))
+    assert runs.frequent().distinct().count() == sum(n >= 3 for n in count.values())
+    runs.close()
 
 
 def test_runs_answer_what_is_new(spark):

@@ -38,12 +38,6 @@ def roots(nodes, linked):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("bits", [0, 1, 2, 3])
-def test_covering_sets(bits):
-    sets = simhash.covering_sets(bits)
-    assert all(any(not set(s) & set(d) for s in sets) for d in combinations(range(8), bits))
-
-
 def test_fingerprints_and_components(spark):
     rng = random.Random(5)
     words = [f"w{k}" for k in range(60)]
@@ -69,14 +63,23 @@ def test_fingerprints_and_components(spark):
     assert linked
 
 
-def test_long_lists_lose_no_link(spark):
+@pytest.mark.parametrize("bits", [0, 1, 2, 3])
+def test_links_are_brute_force(spark, bits):
+    """Fingerprints around one centre, so that lists are long, and some far from it."""
     rng = random.Random(2)
     base = rng.getrandbits(64)
-    fps = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for _ in range(300)}
+    fps = {base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)}
     df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "_fp bigint")
-    want = {tuple(sorted((simhash.signed(a), simhash.signed(b)))) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= 2}
-    for long_list in (1000, 5):
-        assert {(r["a"], r["b"]) for r in simhash.links(df, 2, long_list).collect()} == want
+    want = {tuple(sorted((simhash.signed(a), simhash.signed(b)))) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= bits}
+    got = [(r["a"], r["b"]) for r in simhash.links(df, bits).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_the_tally_drops_pairs(spark):
+    """Five equal bytes meet once, six meet six times: the pair below the guaranteed minimum isn't verified."""
+    met = simhash.links(spark.createDataFrame([(0,), (0x010101,), (0x0101,)], "_fp bigint"), 2)
+    assert {(r["a"], r["b"]) for r in met.collect()} == {(0, 0x0101), (0x0101, 0x010101)}
+    assert "_met" in met._jdf.queryExecution().optimizedPlan().toString() or ">= 6" in met._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_components_of_a_path_and_a_star(spark):
@@ -90,8 +93,9 @@ def test_near_duplicates_of_nothing(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     lone = simhash.near_duplicates(spark.createDataFrame([(None, "a b c")], DOCS)).first()
     assert lone["component_id"] is None
-    wide = spark.createDataFrame([(1, "a b c", "old", 3)], DOCS + ", fingerprint string, _fp int")
-    assert simhash.near_duplicates(wide).first()["component_id"] == 1
+    wide = spark.createDataFrame([(1, "a b c", "old", 3, 4, 5)], DOCS + ", fingerprint string, _fp int, _id int, _root int")
+    got = simhash.near_duplicates(wide).first().asDict()
+    assert got == {"doc_id": 1, "_fp": 3, "_id": 4, "_root": 5, "fingerprint": f"{fingerprint('a b c'):016x}", "component_id": 1}
 
 
 def leaks(text, items, window=10):
@@ -196,6 +200,57 @@ def test_cutoffs_spare_good_documents(spark):
     assert kept[1] >= 0.95 and kept[0] < 0.05
 
 
+def plain_ladder(stats, marks, allowed=0.05, error=0.05, enough=0.99, least=100):
+    """Cutoffs by stratum, document by document. stats: rows of counts with lang; marks: id to quality."""
+    figure = {"symbols": lambda r: r["n_symbols"] / max(r["n_words"], 1), "repeats": lambda r: r["n_repeat_words"] / max(r["n_words"], 1), "dup_lines": lambda r: r["n_dup_lines"] / max(r["n_lines"], 1), "capitals": lambda r: r["n_capitals"] / max(r["word_chars"], 1)}
+    held = [r for r in stats if r["doc_id"] in marks and r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]]
+    large = {x for x in {r["lang"] for r in held} if sum(r["lang"] == x and marks[r["doc_id"]] == 1 for r in held) >= least}
+    out = {}
+    for stratum in [*large, "rest"]:
+        own = [r for r in held if (r["lang"] if r["lang"] in large else "rest") == stratum]
+        good, bad = [r for r in own if marks[r["doc_id"]] == 1], [r for r in own if marks[r["doc_id"]] != 1]
+        gone = lambda r, at: any(k is not None and figure[n](r) > quality.RULES[n][1][k] for n, k in at.items())
+        passed = 0
+        while passed < quality.STEPS and good:
+            x = sum(gone(r, dict.fromkeys(figure, passed)) for r in good)
+            if sum(math.comb(len(good), k) * allowed**k * (1 - allowed) ** (len(good) - k) for k in range(x + 1)) > error / (len(large) + 1):
+                break
+            passed += 1
+        at = dict.fromkeys(figure, passed - 1 if passed else None)
+        best = sum(gone(r, at) for r in bad)
+        for n in reversed(figure):
+            for k in [None, *range(passed)]:
+                if sum(gone(r, at | {n: k}) for r in bad) >= enough * best:
+                    at[n] = k if best else None
+                    break
+        if own:
+            out[stratum] = {n: None if k is None else quality.RULES[n][1][k] for n, k in at.items()}
+    return out, large, lambda r, cut: [n for n in figure if cut.get(n) is not None and figure[n](r) > cut[n]]
+
+
+def test_ladder_is_brute_force(spark):
+    """One large language, two small ones, a null one; symbols tell bad documents, and some good ones repeat themselves."""
+    rng = random.Random(11)
+    rows, marks = [(10**6, None, None), (10**6 + 1, "xx", "")], {10**6: 1}
+    for k in range(700):
+        bad = k % 4 == 0
+        words = [f"w{rng.randrange(10**6)}" + ("##" if bad and rng.random() < 0.35 else "") for _ in range(60)]
+        if rng.random() < 0.05:
+            words[40:52] = words[20:32]
+        rows.append((k, "en" if k < 400 else rng.choice(["de", "fr", None]), "\n".join(words) if k % 9 == 0 else " ".join(words)))
+        marks[k] = 0 if bad else 1
+    stats = quality.add_counts(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), keep_text=False).cache()
+    cutoffs = quality.fit_cutoffs(stats, spark.createDataFrame(list(marks.items()), "doc_id bigint, quality int"))
+    want, large, broken = plain_ladder([r.asDict() for r in stats.collect()], marks)
+    got = {r["_stratum"].removeprefix("s"): {n: r[n] for n in quality.RULES} for r in cutoffs.collect()}
+    assert got == want and large == {"en"} and any(want["en"].values()) and any(want["rest"].values())
+    assert all(r["n_certified"] > 0 for r in cutoffs.collect())
+    for r in quality.judge(stats, cutoffs).collect():
+        failed = broken(r, want[r["lang"] if r["lang"] in large else "rest"])
+        base = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
+        assert (r["base_failed"], r["failed_rules"], r["kept"]) == (base, failed, not base and not failed)
+
+
 def test_few_labels_reject_nothing(spark):
     docs, marks = labelled(spark, 60)
     stats = quality.add_counts(docs.unionByName(spark.createDataFrame([(10**6, None, None), (None, "xx", "")], docs.schema)))
@@ -203,6 +258,15 @@ def test_few_labels_reject_nothing(spark):
     assert out.filter("kept = base_failed").count() == 0 and out.count() == 62
     nothing = quality.judge(stats.limit(0), quality.fit_cutoffs(stats.limit(0), marks))
     assert nothing.count() == 0
+    clash = quality.judge(stats.withColumn("_stratum", F.lit(7)).withColumn("_base", F.lit(8)), quality.fit_cutoffs(stats, marks)).first()
+    assert clash["_stratum"] == 7 and clash["_base"] == 8
+
+
+def test_the_smallest_tables_certify_something(spark):
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text")
+    cutoffs = quality.fit_cutoffs(quality.add_counts(docs, keep_text=False), spark.read.parquet(f"{d}/labels.parquet"))
+    assert cutoffs.filter("symbols IS NOT NULL").count() >= 1
 
 
 def test_language_of_held_out_documents(spark):

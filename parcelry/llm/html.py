@@ -1,14 +1,17 @@
 """Main text of web pages by tree scoring.
 
 Each block of text that reads like a paragraph gives points, for its length and its commas, to the elements around it: all to
-the parent, less to those above, discounted by the share of its text that is links. The best element is the article;
-siblings that score well, and headings beside it, are kept with it. Menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments, told by element, role or class, give no text.
+the parent, less to each of REACH above it, and all to every article and main element that holds it, discounted by the share
+of its text that is links. The best element is the article; siblings that score well, and headings beside it, are
+kept with it. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told by element, role or class,
+give no text; where names of classes would leave no text at all, they only cost points. A page takes time in
+proportion to its length, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -19,7 +22,7 @@ from pyspark.sql import types as T
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|title|select|math)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(?!svg\b[^>]*/>)(script|style|noscript|template|textarea|svg|iframe|title|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
@@ -28,7 +31,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 #: Elements that neither begin nor end a block of text.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mtable mtr mtd semantics annotation".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text isn't the article's.
@@ -40,34 +44,40 @@ BAD_WORDS = frozenset(
     "comment comments commentlist disqus respond reply replies discussion feedback share sharing social related recommended recommendations widget pagination pager search form skip".split()
 )
 GOOD_WORDS = frozenset("article body content entry main page post text blog story hentry".split())
-TAG_SCORE = {"article": 30, "main": 30, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "address": -3, "th": -5}
+#: Elements above a paragraph's parent that get a share of its points.
+REACH = 5
+ARTICLES = frozenset(("article", "main"))
+TAG_SCORE = {"article": 60, "main": 60, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "address": -3, "th": -5}
 #: What an opening element ends when it stands open: the element, and what that search stops at.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "bad", "score", "chars", "linked", "links", "good")
+    __slots__ = ("tag", "up", "bad", "named", "score", "full", "chars", "linked", "links", "good", "inside")
 
-    def __init__(self, tag: str, up: Node | None, bad: bool = False, score: float = 0.0):
-        self.tag, self.up, self.bad, self.score = tag, up, bad, score
+    def __init__(self, tag: str, up: Node | None, bad: bool = False, named: bool = False, score: float = 0.0):
+        self.tag, self.up, self.bad, self.named, self.score, self.full = tag, up, bad, named, score, 0.0
         self.chars = self.linked = self.links = 0
-        self.good = tag in ("article", "main") or (up is not None and up.good)
+        #: The nearest article or main element, itself included.
+        self.good = self if tag in ARTICLES else up.good if up is not None else None
+        self.inside = False
 
 
 def opened(tag: str, attributes: str, up: Node) -> Node:
-    bad, score = up.bad or tag in OUTSIDE or (tag == "header" and not up.good), float(TAG_SCORE.get(tag, 0))
+    """A new element: bad by its element, role or style, or named badly by a class or id."""
+    bad, named, score = tag in OUTSIDE or (tag == "header" and up.good is None), False, float(TAG_SCORE.get(tag, 0))
     if attributes and not bad:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
                 words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()))
-                if words & BAD_WORDS and tag not in ("body", "html", "article", "main"):
-                    bad = True
+                if words & BAD_WORDS and tag not in ("body", "html", *ARTICLES):
+                    named = True
                 score += 25 * bool(words & GOOD_WORDS)
             elif name == "hidden" or (name == "role" and value in ROLES) or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                 bad = True
-    return Node(tag, up, bad, score)
+    return Node(tag, up, bad, named, score - 25 * named)
 
 
 def parse(html: str) -> tuple[list[tuple[Node, str, int, int]], list[Node]]:
@@ -75,6 +85,7 @@ def parse(html: str) -> tuple[list[tuple[Node, str, int, int]], list[Node]]:
     root = Node("", None)
     nodes, blocks = [root], []
     stack, parts, linked, links, in_link, at = [root], [], 0, 0, 0, 0
+    standing: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal parts, linked, links
@@ -83,10 +94,14 @@ def parse(html: str) -> tuple[list[tuple[Node, str, int, int]], list[Node]]:
             blocks.append((stack[-1], text, min(linked, len(text)), links))
         parts, linked, links = [], 0, 0
 
-    def close_to(depth: int) -> None:
-        flush()
+    def drop(depth: int) -> None:
+        standing.subtract(n.tag for n in stack[depth:])
         del stack[depth:]
 
+    def last(tags: frozenset[str] | set[str]) -> int:
+        """Where in the stack the innermost of the tags stands; 0 if none does."""
+        return next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in tags), 0) if any(standing[t] for t in tags) else 0
+
     for m in TOKEN.finditer(html):
         if m.start() > at:
             piece = html[at : m.start()]
@@ -104,12 +119,13 @@ def parse(html: str) -> tuple[list[tuple[Node, str, int, int]], list[Node]]:
                 if tag == "br":
                     parts.append(" ")
                 continue
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            close_to(depth) if depth else flush()
+            flush()
+            if depth := last({tag}):
+                drop(depth)
             continue
         if tag == "a":
             in_link, links = 1, links + 1
-        if tag in INLINE:
+        if tag in INLINE or tag == "svg":  # one that ends in itself; others are passed over whole
             continue
         if tag in VOID:
             if tag in ("hr",):
@@ -120,20 +136,18 @@ def parse(html: str) -> tuple[list[tuple[Node, str, int, int]], list[Node]]:
         flush()
         in_link = 0
         if stack[-1].tag == "p":
-            stack.pop()
+            drop(len(stack) - 1)
         if tag in ENDS:
             closing, barrier = ENDS[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in closing:
-                    del stack[k:]
-                    break
-                if stack[k].tag in barrier:
-                    break
-        if tag == "body" and any(n.tag == "head" for n in stack):
-            del stack[next(k for k, n in enumerate(stack) if n.tag == "head") :]
+            depth = last(closing)
+            if depth > last(barrier):
+                drop(depth)
+        if tag == "body" and (depth := last({"head"})):
+            drop(depth)
         node = opened(tag, m[4] or "", stack[-1])
         nodes.append(node)
         stack.append(node)
+        standing[tag] += 1
     if at < len(html):
         parts.append(html[at:])
         if in_link:
@@ -142,63 +156,68 @@ def parse(html: str) -> tuple[list[tuple[Node, str, int, int]], list[Node]]:
     return blocks, nodes
 
 
+def density(node: Node) -> float:
+    return node.linked / node.chars if node.chars else 0.0
+
+
+def points(text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, in page order, joined by newlines; empty if there is none."""
     if not html:
         return ""
     blocks, nodes = parse(html)
     for node, text, linked, links in blocks:
-        up: Node | None = node
-        while up is not None:
-            up.chars, up.linked, up.links = up.chars + len(text), up.linked + linked, up.links + links
-            up = up.up
-    for node in nodes[1:]:  # parents come before their children
-        menu = node.links >= 3 and node.linked > 0.67 * node.chars and node.tag not in ("body", "html", "article", "main")
+        node.chars, node.linked, node.links = node.chars + len(text), node.linked + linked, node.links + links
+    for node in reversed(nodes[1:]):  # children come after their parents
+        node.up.chars, node.up.linked, node.up.links = node.up.chars + node.chars, node.up.linked + node.linked, node.up.links + node.links
+    for node in nodes[1:]:
+        menu = node.links >= 3 and node.linked > 0.67 * node.chars and node.tag not in ("body", "html", *ARTICLES)
         node.bad = node.bad or node.up.bad or menu
+        node.named = node.named or node.up.named
     blocks = [b for b in blocks if not b[0].bad]
+    blocks = [b for b in blocks if not b[0].named] or blocks
+    if not blocks:
+        return ""
     for node, text, linked, _ in blocks:
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+        own = points(text, linked)
         up, share = (node.up if node.tag in ("p", "pre", "li", "td") or node.tag in HEADINGS else node), 1.0
-        while up is not None:
-            up.score += points * share
+        for _ in range(REACH + 1):
+            if up is None:
+                break
+            if up.tag not in ARTICLES:
+                up.score += own * share
             up, share = up.up, share / 2 if share == 1 else share * 2 / 3
-    if not blocks:
-        return ""
-    holders = {}
-    for node, _, _, _ in blocks:
-        up = node
-        while up is not None and id(up) not in holders:
-            holders[id(up)] = up
-            up = up.up
-    density = lambda n: n.linked / n.chars if n.chars else 0.0
-    pool = [n for n in nodes if id(n) in holders and n.up is not None and n.tag not in ("p", "html", *HEADINGS)] or [nodes[0]]
+        if node.good is not None:
+            node.good.full += own
+        node.inside = True
+    holding = {id(nodes[0])}
+    for node in reversed(nodes[1:]):
+        if node.inside:
+            holding.add(id(node))
+            node.up.inside = True
+        if node.good is node:
+            node.score += node.full
+            if node.up.good is not None:
+                node.up.good.full += node.full
+    pool = [n for n in nodes if id(n) in holding and n.up is not None and n.tag not in ("p", "html", *HEADINGS)] or [nodes[0]]
     best = max(pool, key=lambda n: n.score * (1 - density(n)))
-    up = best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            best = up
-        up = up.up
-    kept = {id(best)}
     for node in nodes:
-        if node is not best and node.up is best.up and id(node) in holders:
+        node.inside = node is best or (node.up is not None and node.up.inside)
+        if node.up is best.up and id(node) in holding and not node.inside:
             worth = node.score * (1 - density(node)) >= max(10, 0.2 * best.score) or (node.tag == "p" and node.chars > 80 and density(node) < 0.25)
-            if worth or (node.tag in HEADINGS and density(node) < 0.25):
-                kept.add(id(node))
-    out = []
-    for node, text, _, _ in blocks:
-        up = node
-        while up is not None and id(up) not in kept:
-            up = up.up
-        if up is not None:
-            out.append(text)
-    return "\n".join(out)
+            node.inside = worth or (node.tag in HEADINGS and density(node) < 0.25)
+    return "\n".join(text for node, text, _, _ in blocks if node.inside)
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages, without the html column, with main_text and n_chars (its code points).
 
-    Null and empty pages, and pages without text, have an empty main_text; cut-off pages are read as far as they go.
-    Columns of pages named as the new ones are replaced.
+    Null and empty pages, and pages without text, have an empty main_text; cut-off pages are read as far as they go. Of elements with
+    equal scores the outermost, then the first is the article; repeated rows are read alike; an empty table gives an empty
+    one. Columns of pages named as the new ones are replaced.
     """
     pages = pages.drop(*[c for c in ("main_text", "n_chars") if c != html])
     fields = [f for f in pages.schema.fields if f.name != html]

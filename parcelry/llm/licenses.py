@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fenced
 from .linededup import hash128, lines_of
 
 _AS_IS = (
@@ -63,7 +64,7 @@ EQUIVALENT = {
     "authorisation": "authorization", "authorised": "authorized", "calibre": "caliber", "cancelled": "canceled", "capitalisations": "capitalizations", "catalogue": "catalog", "categorise": "categorize",
     "centre": "center", "favour": "favor", "favourite": "favorite", "fulfil": "fulfill", "fulfilment": "fulfillment", "honour": "honor", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling",
     "labour": "labor", "maximise": "maximize", "modelled": "modeled", "modelling": "modeling", "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice",
-    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful", "merchantable": "merchantable",
+    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "willful",
 }
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©(]*(?:copyright\b(?!\s+(?:notice|holder|owner|law))|©|\(c\)|all rights reserved)[^\n]*$"
 
@@ -72,11 +73,19 @@ def canonical(text: Column) -> Column:
     """The canonical form; null stays null."""
     bare = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
     words = F.btrim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
-    other = {a: b for a, b in EQUIVALENT.items() if a != b}
-    spelled = words
-    for a, b in other.items():
-        spelled = F.regexp_replace(spelled, rf"\b{a}\b", b)
-    return F.when(words.rlike(rf"\b(?:{'|'.join(other)})\b"), spelled).otherwise(words)
+    # One pass over the words, each looked up; only where a text has any of the spellings.
+    spelling = F.create_map(*[F.lit(x) for pair in EQUIVALENT.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(words, " "), lambda w: F.coalesce(F.element_at(spelling, w), w)), " ")
+    return F.when(words.rlike(rf"\b(?:{'|'.join(EQUIVALENT)})\b"), spelled).otherwise(words)
+
+
+#: Two words and what is between them.
+TWO_WORDS = r"[\p{L}\p{N}]+[^\p{L}\p{N}]+[\p{L}\p{N}]+"
+
+
+def head(line: Column) -> Column:
+    """The first two words of a line's canonical form (empty for a line of fewer): a line that is no known text mostly shows so here already."""
+    return canonical(F.regexp_extract(F.lower(line), TWO_WORDS, 0))
 
 
 #: Whole texts in licenses_data: file name to SPDX identifier.
@@ -106,11 +115,13 @@ def known_texts() -> list[tuple[str, str]]:
 
 
 def known_digests(spark: SparkSession, more: DataFrame | None = None) -> DataFrame:
-    """(digest, license): one row per digest of the known texts and of those in `more` (license, text), the least license of each."""
+    """(digest, license, head): one row per digest of the known texts and of those in `more` (license, text), the least license of each."""
     texts = spark.createDataFrame(known_texts(), "license string, text string")
     if more is not None:
         texts = texts.unionByName(more.select("license", "text"))
-    return texts.filter("text is not null").select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    forms = texts.filter("text is not null").select(canonical(F.col("text")).alias("form"), "license")
+    first_two = F.concat_ws(" ", F.slice(F.split("form", " "), 1, 2))
+    return forms.select(F.sha2("form", 256).alias("digest"), "license", F.when(F.contains("form", F.lit(" ")), first_two).otherwise("").alias("head")).groupBy("digest", "head").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", more: DataFrame | None = None) -> DataFrame:
@@ -121,22 +132,19 @@ def scan_licenses(docs: DataFrame, text: str = "text", more: DataFrame | None =
     replaced. Lines are matched by the hash of the text they stand in, so that copies fold together and ids need not be
     present or unique.
     """
-    docs = docs.drop(*[c for c in ("digest", "license", "line_licenses") if c != text])
+    inner, back = fenced(docs, ["digest", "license", "line_licenses", text], _text=F.col(text), **dict(zip(("_t1", "_t2"), hash128(F.col(text)), strict=True)))
     known = known_digests(docs.sparkSession, more).filter(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256))
     known = F.broadcast(known) if more is None else known
-    names = [c for c in docs.columns if c != text]
-    t1, t2 = hash128(F.col(text))
     lines = (
-        docs.select(t1.alias("_t1"), t2.alias("_t2"), F.explode(F.array_distinct(lines_of(F.col(text)))).alias("_line"))
+        inner.select("_t1", "_t2", F.explode(F.array_distinct(lines_of(F.col("_text")))).alias("_line"))
         .filter(F.length("_line") > 0)
+        .withColumn("head", head(F.col("_line")))
+        .join(F.broadcast(known.select("head").distinct()) if more is None else known.select("head").distinct(), "head", "left_semi")
         .select("_t1", "_t2", F.sha2(canonical(F.col("_line")), 256).alias("digest"))
         .join(known, "digest")
         .groupBy("_t1", "_t2")
         .agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("line_licenses"))
     )
-    slim = docs.select(*names, F.sha2(canonical(F.col(text)), 256).alias("digest"), t1.alias("_t1"), t2.alias("_t2"))
-    return (
-        slim.join(known, "digest", "left")
-        .join(lines, ["_t1", "_t2"], "left")
-        .select(*names, "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
-    )
+    slim = inner.withColumn("digest", F.sha2(canonical(F.col("_text")), 256)).drop("_text")
+    met = slim.join(known.select("digest", "license"), "digest", "left").join(lines, ["_t1", "_t2"], "left")
+    return back(met, "digest", "license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))

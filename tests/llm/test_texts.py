@@ -348,6 +348,21 @@ def test_licences(spark):
     assert got[3]["license"] is None and got[101]["digest"] is None and got[105]["line_licenses"] == ""
     assert licenses.scan_licenses(spark.createDataFrame(rows, DOCS)).count() == len(rows)
     assert licenses.scan_licenses(spark.createDataFrame([], DOCS)).count() == 0
+    clash = spark.createDataFrame([(5, mit, 1, 2, "x")], DOCS + ", _t1 int, _line int, head string")
+    assert licenses.scan_licenses(clash).first().asDict() | {"digest": ""} == {"doc_id": 5, "_t1": 1, "_line": 2, "head": "x", "digest": "", "license": "MIT", "line_licenses": "MIT"}
+
+
+def test_licence_lines_are_brute_force(spark):
+    """Every line of the documents in its canonical form, against the known ones, without the test of its first words."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    known = {r["digest"]: r["license"] for r in licenses.known_digests(spark).collect()}
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.sha2(licenses.canonical(F.col("line")), 256).alias("d")).filter(F.col("line") != "")
+    want = {}
+    for r in lines.collect():
+        if r["d"] in known and r["d"] != "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855":
+            want.setdefault(r["doc_id"], set()).add(known[r["d"]])
+    got = {r["doc_id"]: r["line_licenses"] for r in licenses.scan_licenses(docs).collect()}
+    assert want and {i: ",".join(sorted(want.get(i, ()))) for i in got} == got
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="menu-open">
@@ -370,6 +385,47 @@ def test_main_text_without_article_element():
     assert html.main_text("Just text &amp; no tags") == "Just text & no tags"
 
 
+def sentences(n, tag="p"):
+    return "".join(f"<{tag}>Sentence number {k}, with some commas, and enough words to count as prose here.</{tag}>" for k in range(n))
+
+
+def test_the_score_decides_between_containers():
+    """No article element and no telling class: the container with the paragraphs wins, however deep; short lists and teasers lose."""
+    teaser = "<div><div><p>Short.</p></div><div><p>Also short, this.</p></div></div>"
+    page = f"<body>{teaser}<div><div><div><section>{sentences(6)}</section></div></div></div>{teaser}</body>"
+    assert html.main_text(page).split("\n") == [f"Sentence number {k}, with some commas, and enough words to count as prose here." for k in range(6)]
+    two = f"<article>{sentences(1)}</article><article><div>{sentences(5)}</div></article>"
+    assert len(html.main_text(f"<body><div>{two}</div></body>").split("\n")) >= 5
+
+
+def test_a_badly_named_article_is_kept():
+    assert len(html.main_text(f'<body><nav><a>x</a></nav><div class="post-share">{sentences(4)}</div></body>').split("\n")) == 4
+    assert html.main_text(f'<body><div id="main">{sentences(2)}</div><div class="comments">{sentences(9)}</div></body>').count("\n") == 1
+
+
+def test_svg_and_formulas():
+    assert html.main_text('<article><svg class="i"/><p>Text of the article</p></article>') == "Text of the article"
+    assert html.main_text("<article><svg><text>no</text></svg><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>") == "So x=1 holds"
+
+
+def test_nesting_costs_time_in_proportion():
+    import time
+
+    def took(n):
+        start = time.perf_counter()
+        assert html.main_text("<div>" * n + "deep, and deeper" + "</div>" * n) == "deep, and deeper"
+        assert html.main_text("<div><ul>" * n + "<li>one</li>" * n) != ""
+        return time.perf_counter() - start
+
+    took(500)
+    assert took(8000) < 3
+
+
+def test_points_by_hand():
+    """A paragraph's points, all to the parent, half to the next, a third of it above; links discount."""
+    assert html.points("a, b, c", 0) == pytest.approx(3 + 0.07) and html.points("x" * 1000, 500) == pytest.approx(2.0)
+
+
 @pytest.mark.parametrize("page", [None, "", "<html></html>", "<p", "<script>", "<nav><p>x</p></nav>", "<!--"])
 def test_pages_without_text(page):
     assert html.main_text(page) == ""

@@ -4,13 +4,16 @@ The automaton's letters are words. A document's words stream through it; at each
 longest run, ending here, that some item holds. A run of `window` words or more covers windows; an item shorter than a
 window counts when it occurs whole. Covered words are hit; spans of hit words over the limits are removed.
 
-Items go to the tasks in blocks of at most BLOCK_WORDS words, which bounds what is broadcast and what a worker holds;
-a larger benchmark has more blocks, and each batch of documents meets them one after the other.
+Items are dealt into blocks of about BLOCK_WORDS words, an item longer than that in overlapping pieces. Each block's automaton is built
+once, in a task, and kept in the shared folder; one block at a time is broadcast, which bounds what the driver and a worker
+hold. A benchmark of one block takes one pass over the documents; of more, a pass for each, which keeps the hits alone, and
+one that joins them to the documents by the text's hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 from itertools import groupby
@@ -21,14 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import cut, fenced, held, lower_ascii, slices
+from .linededup import hash128
 
 #: ASCII letters and digits and everything beyond ASCII make words; A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TABLE = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 BLOCK_WORDS = 200_000
-#: Bytes of text that a worker holds as words at once; more where each piece meets several blocks.
-PIECE, BLOCK_PIECE = 2 << 20, 16 << 20
+SPAN = "array<struct<first: bigint, last: bigint>>"
+NEW = f"n_words bigint, n_hit bigint, hit_items array<string>, spans {SPAN}, clean_text string, coverage double"
 
 
 def plain(text: str | None) -> bytes:
@@ -169,16 +173,43 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def item_blocks(items: DataFrame, id_col: str, text: str, block_words: int) -> list[list[tuple[str, str]]]:
-    """Items that have a word, as (id, normalised text), in blocks of about block_words words, dealt by hash."""
-    words = F.regexp_count(F.lower(F.col(text)), F.lit(WORD))
-    sized = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text).alias("t"), words.alias("n")).filter("n > 0")
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    if total <= block_words:
-        return [[(r["id"], r["t"]) for r in sized.collect()]] if total else []
-    blocks = -(-total // block_words)
-    placed = sized.withColumn("b", F.pmod(F.xxhash64("id", "t"), F.lit(blocks)))
-    return [block for k in range(blocks) if (block := [(r["id"], r["t"]) for r in placed.filter(F.col("b") == k).collect()])]
+def item_pieces(items: DataFrame, id_col: str, text: str, window: int, block_words: int) -> DataFrame:
+    """(id, t, n): items that have a word; one of more than block_words words in pieces that share window - 1 words with the next."""
+    words = F.regexp_extract_all(lower_ascii(F.col(text)), F.lit(f"({WORD})"))
+    split = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), words.alias("w")).filter(F.size("w") > 0)
+    most = max(block_words, window)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1), F.lit(most - window + 1))
+    pieces = split.withColumn("at", F.explode(F.when(F.size("w") > most, starts).otherwise(F.array(F.lit(1)))))
+    part = F.when(F.size("w") > most, F.slice("w", F.col("at"), F.lit(most))).otherwise(F.col("w"))
+    return pieces.select("id", F.array_join(part, " ").alias("t"), F.size(part).cast("long").alias("n"))
+
+
+def build_automata(items: DataFrame, id_col: str, text: str, window: int, block_words: int) -> tuple[DataFrame, int]:
+    """(block, automaton) in the shared folder, and how many: each built once, from items dealt by hash."""
+    pieces = item_pieces(items, id_col, text, window, block_words)
+    blocks = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // block_words)
+
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        own = ItemAutomaton([(i, plain(t).split()) for i, t in sorted(zip(rows["id"].to_pylist(), rows["t"].to_pylist(), strict=True))], window)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "automaton": pa.array([pickle.dumps(own, protocol=5)], pa.binary())})
+
+    placed = pieces.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(max(blocks, 1))))
+    built = cut(placed.groupBy("block").applyInArrow(build, "block bigint, automaton binary"))
+    return built, built.count()
+
+
+def found_in(automaton: ItemAutomaton, text: str | None) -> tuple[list[tuple[int, int]], set[str]]:
+    words = plain(text).split()
+    return automaton.scan(words) if len(words) >= automaton.shortest else ([], set())
+
+
+def columns_of(text: str | None, stretches: Iterable[tuple[int, int]], names: Iterable[str], span_limit: int, coverage_limit: float) -> tuple:
+    """The values of NEW."""
+    n_words, spans = len(plain(text).split()), merged(stretches)
+    n_hit = sum(b - a for a, b in spans)
+    cover = n_hit / n_words if n_words else 0.0
+    gone = [x for x in spans if x[1] - x[0] >= span_limit or cover > coverage_limit]
+    return n_words, n_hit, sorted(names), [{"first": a, "last": b - 1} for a, b in spans], without(text, gone) if gone else text, cover
 
 
 def scan_benchmark(
@@ -196,44 +227,62 @@ def scan_benchmark(
 
     clean_text lacks the spans of span_limit words or more; beyond coverage_limit of all words it lacks every span. A null text
     has no words and a null clean_text; an item without words, or null, matches nothing; items with one id are one
-    item, a null id is the id ''; no item at all leaves documents as they are. Columns of docs named as the new ones are replaced.
+    item, a null id is the id ''; no item at all leaves documents as they are; repeated rows are scanned alike, an empty table gives
+    an empty one. Columns of docs named as the new ones are replaced, others of any name stay as they are.
     """
     spark = docs.sparkSession
-    new = "n_words bigint, n_hit bigint, hit_items array<string>, spans array<struct<first: bigint, last: bigint>>, clean_text string, coverage double"
-    new_fields = T.StructType.fromDDL(new).fields
-    names = [f.name for f in new_fields]
-    docs = docs.drop(*names)
-    held = docs.columns
-    shared = [spark.sparkContext.broadcast(b) for b in item_blocks(items, item_id, item_text, block_words)]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        build = lambda block: ItemAutomaton([(i, plain(t).split()) for i, t in block.value], window)
-        single = [build(shared[0])] if len(shared) == 1 else None
-        for batch in slices(batches, text, PIECE if single else BLOCK_PIECE):
-            texts = batch.column(text).to_pylist()
-            words = [plain(t).split() for t in texts]
-            stretches: list[list[tuple[int, int]]] = [[] for _ in texts]
-            found: list[set[str]] = [set() for _ in texts]
-            for automaton in single or map(build, shared):
-                for k, some in enumerate(words):
-                    if len(some) >= automaton.shortest:
-                        hits, names_hit = automaton.scan(some)
-                        if hits:
-                            stretches[k] += hits
-                            found[k] |= names_hit
-            spans = [merged(s) for s in stretches]
-            n_hit = [sum(b - a for a, b in s) for s in spans]
-            n_words = [len(w) for w in words]
-            cover = [h / n if n else 0.0 for h, n in zip(n_hit, n_words, strict=True)]
-            clean = []
-            for t, s, c in zip(texts, spans, cover, strict=True):
-                gone = [x for x in s if x[1] - x[0] >= span_limit or c > coverage_limit]
-                clean.append(without(t, gone) if gone else t)
-            columns = [n_words, n_hit, [sorted(f) for f in found], [[{"first": a, "last": b - 1} for a, b in s] for s in spans], clean, cover]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), batch.schema.field(text).type, pa.float64()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=[*held, *names])
-
-    return docs.mapInArrow(scan, T.StructType([*docs.schema.fields, *new_fields]))
+    automata, blocks = build_automata(items, item_id, item_text, window, block_words)
+    inner, back = fenced(docs, [f.name for f in T.StructType.fromDDL(NEW).fields], _text=F.col(text))
+    schema = T.StructType([*inner.schema.fields[:-1], *T.StructType.fromDDL(NEW).fields])
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.string(), pa.float64()]
+    names = schema.names
+
+    def finished(batch: pa.RecordBatch, held_columns: int, hits: Iterable[tuple]) -> pa.RecordBatch:
+        rows = [columns_of(t, *h, span_limit, coverage_limit) for t, h in zip(batch.column("_text").to_pylist(), hits, strict=True)]
+        made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:held_columns], *made], names=names)
+
+    def shared(block: int):
+        return spark.sparkContext.broadcast(automata.orderBy("block").offset(block).first()["automaton"])
+
+    if blocks <= 1:
+        only = shared(0) if blocks else None
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = pickle.loads(only.value) if only else ItemAutomaton([], window)
+            for batch in slices(batches, "_text"):
+                yield finished(batch, len(batch.columns) - 1, (found_in(automaton, t.as_py()) for t in batch.column("_text")))
+
+        return back(inner.mapInArrow(scan, schema), *[f.name for f in T.StructType.fromDDL(NEW).fields])
+
+    keyed = docs.select(F.col(text).alias("_text"), *[h.alias(n) for h, n in zip(hash128(F.col(text)), ("_t1", "_t2"), strict=True)])
+    hit_schema = "_t1 bigint, _t2 bigint, _hits array<struct<a: bigint, b: bigint>>, _names array<string>"
+    passes = None
+    for block in range(blocks):
+        one = shared(block)
+
+        def hits_of(batches: Iterator[pa.RecordBatch], one=one) -> Iterator[pa.RecordBatch]:
+            automaton = pickle.loads(one.value)
+            for batch in slices(batches, "_text"):
+                found = [found_in(automaton, t.as_py()) for t in batch.column("_text")]
+                at = [k for k, (hits, _) in enumerate(found) if hits]
+                some = batch.take(pa.array(at, pa.int64()))
+                hits = pa.array([[{"a": a, "b": b} for a, b in found[k][0]] for k in at], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([some.column("_t1"), some.column("_t2"), hits, pa.array([sorted(found[k][1]) for k in at], pa.list_(pa.string()))], names=["_t1", "_t2", "_hits", "_names"])
+
+        kept = held(keyed.mapInArrow(hits_of, hit_schema).groupBy("_t1", "_t2").agg(F.any_value(F.struct("_hits", "_names")).alias("_x")))
+        one.destroy()
+        passes = kept if passes is None else passes.unionByName(kept)
+    together = passes.groupBy("_t1", "_t2").agg(F.flatten(F.collect_list("_x._hits")).alias("_hits"), F.array_distinct(F.flatten(F.collect_list("_x._names"))).alias("_names"))
+    met = inner.withColumns(dict(zip(("_t1", "_t2"), hash128(F.col("_text")), strict=True))).join(together, ["_t1", "_t2"], "left")
+    wide = met.select(*inner.columns[:-1], "_text", "_hits", "_names")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text"):
+            hits = zip(batch.column("_hits").to_pylist(), batch.column("_names").to_pylist(), strict=True)
+            yield finished(batch, len(batch.columns) - 3, (([(x["a"], x["b"]) for x in h or ()], n or ()) for h, n in hits))
+
+    return back(wide.mapInArrow(finish, schema), *[f.name for f in T.StructType.fromDDL(NEW).fields])
 
 
 def items_digest(hit_items: Column) -> Column:

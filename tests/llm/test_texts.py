@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from parcelry.llm import html, langid, licenses, quality, queries, simhash, tokencount
-from parcelry.llm.decontam import ItemAutomaton, plain, scan_benchmark
+from parcelry.llm.decontam import ItemAutomaton, build_automata, plain, scan_benchmark
 
 DOCS = "doc_id bigint, text string"
 AWKWARD = [(101, None), (102, ""), (103, "\n \t"), (104, "word " * 30000), (105, "same text here now"), (105, "same text here now"), (None, "no id at all"), (106, "ÀÉ ß x 漢字"), (107, "one")]
@@ -131,6 +131,20 @@ def test_leaks_are_brute_force(spark, block):
         assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], ",".join(r["hit_items"])) for r in got) == sorted(show(i, leaks(t, named)) for i, t in docs)
 
 
+def test_each_automaton_is_built_once(spark):
+    """Fifty blocks, fifty automata; the items of all of them, a long one in pieces, are found."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(str(k), " ".join(rng.choice(words) for _ in range(20 if k else 700))) for k in range(300)]
+    table = spark.createDataFrame(items, "item_id string, text string")
+    automata, blocks = build_automata(table, "item_id", "text", 10, 140)
+    assert automata.count() == blocks and 40 <= blocks <= 51 and automata.select("block").distinct().count() == blocks
+    docs = [(k, "before " + " ".join(t.split()[-12:]) + " after") for k, (_, t) in enumerate(items[:4])] + AWKWARD
+    got = scan_benchmark(spark.createDataFrame(docs, DOCS), table.limit(12), block_words=140).collect()
+    want = [(str(i), *leaks(t, items[:12])) for i, t in docs]
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["hit_items"]) for r in got) == sorted(want)
+
+
 def test_long_matches_need_no_alignment():
     rng = random.Random(9)
     items = [(str(k), [b"%d" % rng.randrange(3) for _ in range(40)]) for k in range(5)]

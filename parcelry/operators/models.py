@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import held
 from .metrics import log_loss
 
+KEY = ["train_size", "resolution", "split"]
+
 
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
@@ -41,33 +44,47 @@ def tree(**options) -> DecisionTreeClassifier:
     return DecisionTreeClassifier(featuresCol="features", labelCol="label", seed=7, **({"maxDepth": 10} | options))
 
 
-def per_experiment(splits: DataFrame, data: DataFrame, features: Sequence[str], estimator, name: str) -> DataFrame:
-    """One fit for each experiment of splits, train and test scores together. Experiments are few, a fit is a Spark job."""
-    key = ["train_size", "resolution", "split"]
-    rows = splits.join(data, "pid").cache()
-    out = None
-    for e in rows.select(*key).distinct().orderBy(*key).collect():
-        own = rows.filter((F.col("train_size") == e["train_size"]) & (F.col("resolution") == e["resolution"]) & (F.col("split") == e["split"]))
-        if own.filter("role = 'train'").select("label").distinct().count() < 2:
-            continue
-        _, scored = fit_and_score(own, features, estimator, [*key, "pid", "role"])
-        scored = scored.select(F.lit(name).alias("model"), *key, "role", "pid", "prob")
-        out = scored if out is None else out.unionByName(scored)
+def experiments(rows: DataFrame, by: Sequence[str]) -> list[tuple[dict, DataFrame, float | None]]:
+    """Of each experiment of rows (*by, role, label, ..) its key, its rows, and the label of its train rows where they have one class only."""
+    found = rows.filter("role = 'train'").groupBy(*by).agg(F.min("label").alias("_low"), F.max("label").alias("_high")).orderBy(*by).collect()
+    out = []
+    for e in found:  # experiments are few, a fit is a Spark job
+        key = {b: e[b] for b in by}
+        own = rows
+        for b, v in key.items():
+            own = own.filter(F.col(b).eqNullSafe(F.lit(v)))
+        out.append((key, own, float(e["_low"]) if e["_low"] == e["_high"] else None))
     return out
 
 
-def regularisation_path(df: DataFrame, features: Sequence[str], strengths: Sequence[float] = (0, 1, 10, 50, 100), penalties: Sequence[str] = ("l1", "l2")) -> DataFrame:
-    """(penalty, strength, log_loss): mean test loss over splits. Strengths are over the number of rows, as a penalty on the sum is."""
-    rows = assembled(df, features).cache()
-    n = rows.filter("role = 'train'").count()
-    out = None
-    for p in penalties:
-        for s in strengths:
-            model = logistic(regParam=s / max(1, n), elasticNetParam=1.0 if p == "l1" else 0.0).fit(rows.filter("role = 'train'"))
-            tested = scores(model, rows.filter("role = 'test'"), ["pid", "label"])
-            one = log_loss(tested).select(F.lit(p).alias("penalty"), F.lit(float(s)).alias("strength"), "log_loss")
-            out = one if out is None else out.unionByName(one)
-    return out
+def per_experiment(splits: DataFrame, data: DataFrame, features: Sequence[str], estimator, name: str, by: Sequence[str] = KEY) -> DataFrame:
+    """One fit for each experiment of splits, train and test scores together. Where the train rows have one class, its label is every score."""
+    rows = held(splits.join(data, "pid"))
+    scored = [
+        own.withColumn("prob", F.lit(single)) if single is not None else fit_and_score(own, features, estimator, [*by, "pid", "role"])[1] for _, own, single in experiments(rows, by)
+    ]
+    named = [s.select(F.lit(name).alias("model"), *by, "role", "pid", "prob") for s in scored]
+    return reduce(DataFrame.unionByName, named)
+
+
+def regularisation_path(
+    df: DataFrame, features: Sequence[str], strengths: Sequence[float] = (0, 1, 10, 50, 100), penalties: Sequence[str] = ("l1", "l2"), by: Sequence[str] = ("split",)
+) -> DataFrame:
+    """(penalty, strength, log_loss): mean test loss over the splits, one fit for each. Strengths are over the number of rows, as a penalty on the sum is."""
+    rows, losses = held(df), []
+    sizes = {tuple(r[b] for b in by): r["count"] for r in rows.filter("role = 'train'").groupBy(*by).count().collect()}
+    for key, own, single in experiments(rows, by):
+        laid = assembled(own, features)
+        for p in penalties:
+            for s in strengths:
+                test = laid.filter("role = 'test'")
+                if single is None:
+                    model = logistic(regParam=s / max(1, sizes[tuple(key.values())]), elasticNetParam=1.0 if p == "l1" else 0.0).fit(laid.filter("role = 'train'"))
+                    tested = scores(model, test, [*by, "label"])
+                else:
+                    tested = test.select(*by, "label", F.lit(single).alias("prob"))
+                losses.append(log_loss(tested, by).select(F.lit(p).alias("penalty"), F.lit(float(s)).alias("strength"), "log_loss"))
+    return reduce(DataFrame.unionByName, losses).groupBy("penalty", "strength").agg(F.avg("log_loss").alias("log_loss"))
 
 
 def importance(model, features: Sequence[str], spark, n: int = 10) -> DataFrame:
@@ -88,10 +105,21 @@ def calibrated(scored: DataFrame, fit_role: str = "calibration") -> DataFrame:
     return model.transform(rows).select("pid", "role", "label", "raw", vector_to_array("probability")[1].alias("prob"))
 
 
-def stacked(predictions: DataFrame, labels: DataFrame, models: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Logistic regression on several models' scores: (scores, coefficients)."""
-    wide = predictions.groupBy("pid", "role").pivot("model", list(models)).agg(F.first("prob")).join(labels, "pid")
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=list(models), outputCol="features"), logistic()]).fit(wide.filter("role = 'train'"))
-    coefficients = [(m, float(c)) for m, c in zip(models, fitted.stages[-1].coefficients.toArray(), strict=True)]
-    rows = predictions.sparkSession.createDataFrame([*coefficients, ("intercept", float(fitted.stages[-1].intercept))], "term string, coefficient double")
-    return fitted.transform(wide).select("pid", "role", "label", vector_to_array("probability")[1].alias("prob")), rows
+def stacked(predictions: DataFrame, labels: DataFrame, models: Sequence[str], by: Sequence[str] = KEY) -> tuple[DataFrame, DataFrame]:
+    """Logistic regression on several models' scores in each experiment: (*by, pid, role, label, prob) and (*by, term, coefficient).
+
+    Where the train rows have one class, its label is every score, and there are no coefficients.
+    """
+    by = list(by)
+    wide = held(predictions.groupBy(*by, "pid", "role").pivot("model", list(models)).agg(F.first("prob")).join(labels, "pid"))
+    scored, coefficients = [], []
+    for key, own, single in experiments(wide, by):
+        if single is not None:
+            scored.append(own.select(*by, "pid", "role", "label", F.lit(single).alias("prob")))
+            continue
+        model, found = fit_and_score(own, list(models), logistic(), [*by, "pid", "role", "label"])
+        scored.append(found)
+        terms = [*zip(models, model.coefficients.toArray().tolist(), strict=True), ("intercept", float(model.intercept))]
+        coefficients += [(*key.values(), term, value) for term, value in terms]
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in wide.select(*by).schema.fields], "term string", "coefficient double"])
+    return reduce(DataFrame.unionByName, scored), predictions.sparkSession.createDataFrame(coefficients, schema)

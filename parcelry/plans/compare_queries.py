@@ -191,26 +191,32 @@ def h11_shape(spark, d):
     return explore.shape(fx.parcels(spark, d))
 
 
-F8 = [f"f{k}" for k in range(8)]
+ALL = [f"f{k}" for k in range(fx.EMBEDDED)]
+PARCEL_FEATURES = ["year_built", "bldg_value", "lat"]
+
+
+def parcel_features(spark, d):
+    filled = fx.parcels(spark, d).select("pid", F.coalesce("year_built", F.lit(-1)).alias("year_built"), F.coalesce("bldg_value", F.lit(-1.0)).alias("bldg_value"), "lat", "lon")
+    return filled.join(fx.labels(spark, d), "pid")
 
 
 @query()
 def i1_boosted_trees(spark, d):
-    """One fit for each split of two tile resolutions; scores of both roles, in the columns of predictions."""
-    data = fx.parcels(spark, d).select("pid", F.coalesce("year_built", F.lit(-1)).alias("year_built"), F.coalesce("bldg_value", F.lit(-1.0)).alias("bldg_value"), "lat").join(fx.labels(spark, d), "pid")
-    some = fx.splits(spark, d).filter("train_size = 0.4e0 AND resolution = 10")
-    return models.per_experiment(some, data, ["year_built", "bldg_value", "lat"], models.boosted_trees(), "trees")
+    """One fit for each train size, tile resolution and split; scores of both roles, in the columns of predictions."""
+    return models.per_experiment(fx.splits(spark, d), parcel_features(spark, d), PARCEL_FEATURES, models.boosted_trees(), "trees")
 
 
 @query()
 def i2_regularisation(spark, d):
-    return models.regularisation_path(fx.features(spark, d), F8)
+    """Mean over the three splits of one train size and resolution, which are this path's parameters."""
+    some = fx.splits(spark, d).filter("train_size = 0.4e0 AND resolution = 10").select("split", "pid", "role")
+    return models.regularisation_path(some.join(parcel_features(spark, d), "pid"), PARCEL_FEATURES)
 
 
 @query()
 def i3_importance(spark, d):
-    model, _ = models.fit_and_score(fx.features(spark, d), F8, models.boosted_trees())
-    return models.importance(model, F8, spark)
+    model, _ = models.fit_and_score(fx.features(spark, d), ALL, models.boosted_trees())
+    return models.importance(model, ALL, spark)
 
 
 @query("SELECT pid, coalesce((year_built <= 1935)::INT::DOUBLE, 0) AS prob FROM parcels")
@@ -221,7 +227,7 @@ def i4_one_rule(spark, d):
 @query()
 def i5_logistic(spark, d):
     one = models.fit_and_score(fx.features(spark, d), ["f0"], models.logistic())[1].withColumn("features_used", F.lit(1))
-    return one.unionByName(models.fit_and_score(fx.features(spark, d), F8, models.logistic())[1].withColumn("features_used", F.lit(8)))
+    return one.unionByName(models.fit_and_score(fx.features(spark, d), ALL, models.logistic())[1].withColumn("features_used", F.lit(fx.EMBEDDED)))
 
 
 @query()
@@ -231,19 +237,19 @@ def i6_decision_tree(spark, d):
 
 @query()
 def i7_spatial_model(spark, d):
-    rows = fx.parcels(spark, d).select("pid", "lat", "lon", F.coalesce("year_built", F.lit(-1)).alias("year_built")).join(fx.labels(spark, d), "pid")
-    roles = fx.splits(spark, d).filter("train_size = 0.4e0 AND resolution = 10 AND split = 0").select("pid", "role")
-    return models.fit_and_score(rows.join(roles, "pid"), ["year_built", "lat", "lon"], models.boosted_trees())[1]
+    """Features and place, one fit for each split of one train size and resolution, which are this model's parameters."""
+    some = fx.splits(spark, d).filter("train_size = 0.4e0 AND resolution = 10")
+    return models.per_experiment(some, parcel_features(spark, d), ["year_built", "lat", "lon"], models.boosted_trees(), "spatial")
 
 
 @query()
 def i8_calibration(spark, d):
-    return models.calibrated(models.fit_and_score(fx.features(spark, d), F8, models.boosted_trees())[1])
+    return models.calibrated(models.fit_and_score(fx.features(spark, d), ALL, models.boosted_trees())[1])
 
 
 @query()
 def i9_stacking(spark, d):
-    some = fx.predictions(spark, d).filter("train_size = 0.4e0 AND resolution = 10 AND split = 0").select("model", "pid", "role", "prob")
-    scores, coefficients = models.stacked(some, fx.labels(spark, d), ["a", "b"])
-    named = coefficients.groupBy().pivot("term", ["a", "b", "intercept"]).agg(F.first("coefficient"))
-    return scores.crossJoin(F.broadcast(named.toDF("coef_a", "coef_b", "coef_intercept")))
+    """Both models' scores stacked in every experiment, with its coefficients beside each score."""
+    scores, coefficients = models.stacked(fx.predictions(spark, d), fx.labels(spark, d), ["a", "b"])
+    named = coefficients.groupBy(*models.KEY).pivot("term", ["a", "b", "intercept"]).agg(F.first("coefficient")).withColumnsRenamed({"a": "coef_a", "b": "coef_b", "intercept": "coef_intercept"})
+    return scores.join(F.broadcast(named), models.KEY, "left")

@@ -106,8 +106,11 @@ def scores_big(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").selectExpr(*SCORES)
 
 
-def features(spark: SparkSession, d: str, n: int = 8) -> DataFrame:
-    """pid, label, f0 ... of the embeddings; one row in four is test, one in four calibration."""
+EMBEDDED = 64
+
+
+def features(spark: SparkSession, d: str, n: int = EMBEDDED) -> DataFrame:
+    """pid, label, f0 ... f63 of the embeddings; one row in four is test, one in four calibration."""
     role = F.when(F.col("vec_id") % 4 == 0, "test").when(F.col("vec_id") % 4 == 1, "calibration").otherwise("train")
     return table(spark, d, "embeddings").select(
         F.col("vec_id").alias("pid"), (F.col("label") < 3).cast("int").alias("label"), role.alias("role"), *[F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(n)]

@@ -242,6 +242,24 @@ def test_models_give_probabilities(spark):
     assert out.filter("prob < 0 OR prob > 1").count() == 0 and out.count() == df.count()
 
 
+def test_fits_by_experiment(spark):
+    """Two splits: one with both classes, one whose train rows have one class, which is then every score."""
+    rows = [(s, k, "train" if k % 2 else "test", int(k % 3 == 0 or s == 1), float(k % 3), k / 40) for s in (0, 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "split int, pid bigint, role string, label int, x double, y double")
+    out = models.per_experiment(df.select("split", "pid", "role"), df.filter("split = 0").select("pid", "label", "x", "y"), ["x"], models.logistic(), "m", ["split"])
+    assert out.count() == 80 and out.filter("prob < 0 OR prob > 1").count() == 0
+    path = models.regularisation_path(df, ["x", "y"], (0, 10), ("l2",)).collect()
+    assert {(r["penalty"], r["strength"]) for r in path} == {("l2", 0.0), ("l2", 10.0)} and all(r["log_loss"] >= 0 for r in path)
+    scores = df.select("split", "pid", "role", F.explode(F.create_map(F.lit("a"), F.col("x") / 3, F.lit("b"), F.col("y"))).alias("model", "prob"))
+    labels = df.filter("split = 0").select("pid", "label")
+    stacked, terms = models.stacked(scores, labels, ["a", "b"], ["split"])
+    assert stacked.count() == 80 and sorted((r["split"], r["term"]) for r in terms.collect()) == [(s, t) for s in (0, 1) for t in ("a", "b", "intercept")]
+    c = {r["term"]: r["coefficient"] for r in terms.filter("split = 0").collect()}
+    for r in stacked.filter("split = 0").collect():
+        x, y = r["pid"] % 3 / 3, r["pid"] / 40
+        assert r["prob"] == pytest.approx(1 / (1 + math.exp(-(c["intercept"] + c["a"] * x + c["b"] * y))), abs=1e-9)
+
+
 def test_travel_times_by_a_function(spark):
     pairs = spark.createDataFrame([(1, 2)], "src bigint, dst bigint")
 

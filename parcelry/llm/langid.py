@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 #: Bytes of ASCII letters lower-cased, other ASCII as a space, the rest as it is.
 TABLE = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-#: The model learns from about so many documents of each language, chosen by hash; fewer if there are fewer.
+#: The model learns from about so many distinct texts of each language, chosen by hash; fewer if there are fewer.
 SAMPLE_DOCS = 2000
 SMOOTHING = 0.5
 ROUNDS = 12
@@ -188,16 +190,19 @@ def mixtures(logs: np.ndarray, sizes: np.ndarray) -> list[tuple[int, float, np.n
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text", lang: str = "lang") -> Model:
-    """Model of the labelled rows (null labels and texts left out). Each language's share of rows is chosen by the text's hash, so
-    that about sample_docs remain; the driver gets n-gram counts, languages times orders times BUCKETS at most."""
+    """Model of the labelled rows (null labels and texts left out). Each language's share of texts is chosen by their hash, so
+    that about sample_docs remain; the driver gets n-gram counts, languages times orders times BUCKETS at most.
+
+    Repeated texts count once, so that copies neither weigh more nor push others out; an empty table gives a model of no language.
+    """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
     langs = sorted(sizes)
     counts = np.zeros((len(langs), len(ORDERS), BUCKETS))
     if not langs:
         return Model([], counts)
-    share = F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(min(1.0, sample_docs / sizes[name])))])
-    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    share = F.create_map(*[x for name in langs for x in (F.lit(name), F.lit(min(1.0, sample_docs / max(1, sizes[name]))))])
+    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).dropDuplicates(["lang", "text"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -226,8 +231,9 @@ def has_letter(text: Column) -> Column:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs, without the text, with lang_pred, score and mixture (language to proportion, of the chosen set).
 
-    Texts that are null or have no letter, and all texts if nothing was learned, are `und` with score 0. Columns of docs
-    named as the new ones are replaced.
+    Texts that are null or have no letter, and all texts if nothing was learned, are `und` with score 0. Repeated rows
+    are predicted alike, of equal languages the first by name; an empty table gives an empty one. Columns of docs named as
+    the new ones are replaced.
     """
     docs = docs.drop(*[c for c in ("lang_pred", "score", "mixture") if c != text])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -235,7 +241,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches, text):
             worded = batch.column("_letters").to_pylist()
             found = infer(model, [letters(t) if w else PAD for t, w in zip(batch.column(text).to_pylist(), worded, strict=True)])
             single = model.langs[0] if model.langs else "und"

@@ -305,6 +305,15 @@ def test_language_mixtures_and_missing_texts(spark):
     assert {r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, DOCS), nobody).collect()} == {"und"}
 
 
+def test_language_of_copies_is_learned(spark):
+    copies = [(k, "zu", "umuntu ngumuntu ngabantu bonke abantu bazalwa bekhululekile") for k in range(4000)]
+    others = [(k, "en", f"the house number {k} stands by the river and the road {k * 7}") for k in range(200)]
+    docs = spark.createDataFrame(copies + others, "doc_id long, lang string, text string")
+    model = langid.train(docs, sample_docs=50)
+    got = langid.identify(docs, model).filter("doc_id < 200")
+    assert got.filter("lang_pred = 'zu'").count() == 200 and got.filter("lang_pred = 'en'").count() == 200
+
+
 def test_language_doesnt_depend_on_neighbours(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
     model = langid.train(docs)

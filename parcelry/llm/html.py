@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?!svg\b[^>]*/>)(script|style|noscript|template|textarea|svg|iframe|title|select)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
@@ -223,7 +225,7 @@ def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     fields = [f for f in pages.schema.fields if f.name != html]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, html):
             texts = [main_text(x.as_py()) for x in batch.column(html)]
             columns = [batch.column(f.name) for f in fields] + [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + ["main_text", "n_chars"])

@@ -83,7 +83,11 @@ class PieceCounter:
 
 
 def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], text: str = "text") -> DataFrame:
-    """docs with n_tokens (long). Null and empty texts have 0; a column of docs of that name is replaced."""
+    """docs with n_tokens (long).
+
+    Null and empty texts have 0; repeated rows count alike; an empty table gives an empty one. A column of docs of that
+    name is replaced, others of any name stay as they are.
+    """
     if len(vocabulary) > MOST_PIECES:
         raise ValueError(f"a vocabulary of more than {MOST_PIECES} pieces isn't broadcast")
     spark: SparkSession = docs.sparkSession

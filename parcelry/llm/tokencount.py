@@ -6,7 +6,8 @@ stays, as the tokenizer does it. Characters that no piece covers cost the lowest
 as their UTF-8 bytes where the vocabulary has byte pieces, else as one for each stretch of them.
 
 Words are split at white space and begin with the mark U+2581, so a word's count doesn't depend on its neighbours;
-each worker remembers the counts of at most REMEMBERED words.
+each worker remembers the counts of at most REMEMBERED words of REMEMBERED_BYTES bytes or less. A word of any
+length is searched in memory for the longest piece alone.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
-REMEMBERED = 300_000
+REMEMBERED, REMEMBERED_BYTES = 300_000, 64
 #: A vocabulary is broadcast; no public one is near this bound.
 MOST_PIECES = 2_000_000
 
@@ -47,37 +48,43 @@ class PieceCounter:
         if len(self.automaton):
             self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_COST
-        self.known: dict[str, int] = {}
+        self.longest = max((len(p) for p, _ in vocabulary), default=1)
+        self.known: dict[bytes, int] = {}
 
     def word(self, word: str) -> int:
         """Pieces of MARK + word."""
         text = MARK + word
-        size = len(text)
-        score, count, loose = [0.0] + [None] * size, [0] * (size + 1), [False] * (size + 1)
-        ending: dict[int, list[tuple[int, float]]] = {}
-        if len(self.automaton):
-            for at, piece in self.automaton.iter(text):
-                ending.setdefault(at + 1, []).append(piece)
+        size, ring = len(text), self.longest + 1
+        # Only the last `longest` places can begin a piece: the search holds no more, however long the word.
+        score, count, loose = [0.0] * ring, [0] * ring, [False] * ring
+        matches = self.automaton.iter(text) if len(self.automaton) else iter(())
+        match = next(matches, None)
         for end in range(1, size + 1):
-            single = False
-            for length, value in ending.get(end, ()):
+            best, pieces, single = None, 0, False
+            while match is not None and match[0] + 1 == end:
+                length, value = match[1]
                 single |= length == 1
-                start = end - length
-                if score[end] is None or score[start] + value > score[end]:
-                    score[end], count[end], loose[end] = score[start] + value, count[start] + 1, False
-            if not single and (score[end] is None or score[end - 1] + self.unknown > score[end]):
-                more = len(text[end - 1].encode()) if self.bytes else int(not loose[end - 1])
-                score[end], count[end], loose[end] = score[end - 1] + self.unknown, count[end - 1] + more, True
-        return count[size]
+                start = (end - length) % ring
+                if best is None or score[start] + value > best:
+                    best, pieces = score[start] + value, count[start] + 1
+                match = next(matches, None)
+            before, unknown = (end - 1) % ring, False
+            if not single and (best is None or score[before] + self.unknown > best):
+                more = len(text[end - 1].encode()) if self.bytes else int(not loose[before])
+                best, pieces, unknown = score[before] + self.unknown, count[before] + more, True
+            score[end % ring], count[end % ring], loose[end % ring] = best, pieces, unknown
+        return count[size % ring]
 
     def text(self, text: str | None) -> int:
         known, total = self.known, 0
         for word in (text or "").encode().split():
             n = known.get(word)
             if n is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                n = known[word] = self.word(word.decode())
+                n = self.word(word.decode())
+                if len(word) <= REMEMBERED_BYTES:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[word] = n
             total += n
         return total
 

@@ -344,6 +344,9 @@ def test_token_counts_equal_the_tokenizer():
         for _ in range(20):
             word = "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 12)))
             assert counter.word(word) == reference_count(vocabulary, word), (vocabulary, word)
+        word = "".join(rng.choice("abcdé") for _ in range(5000))
+        assert counter.text(word) == counter.text(f" {word}\n") == reference_count(vocabulary, word)
+        assert word.encode() not in counter.known
 
 
 def test_token_counts_of_whole_texts(spark):

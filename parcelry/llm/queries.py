@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, held, lower_ascii, word_count
 from .decontam import items_digest, scan_benchmark
 from .html import extract_main_text
 from .langid import identify, train
 from .licenses import scan_licenses
 from .linededup import drop_frequent_lines
+from .merkle import fold, leaf_digest, merkle_manifest, proof_digest
 from .mixing import mix_sources
 from .quality import add_counts, fit_cutoffs, judge
 from .sharding import shuffle_into_shards
@@ -91,9 +92,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    changed = leaf_digest([lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in fields])
+    hashed = held(docs.select("doc_id", "source", leaf_digest([F.col(c) for c in fields]).alias("original"), F.when(tampered, changed).alias("changed")))
+    proved = merkle_manifest(hashed, F.col("original"))
+    folded = proved.withColumn("folded_root", fold(F.coalesce("changed", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_sharding, op3_language, op4_tokens, op5_licenses, op6_main_text, op7_simhash, op8_quality, op9_decontamination, op10_line_dedup)
+    for f in (op1_mixing, op2_sharding, op3_language, op4_tokens, op5_licenses, op6_main_text, op7_simhash, op8_quality, op9_decontamination, op10_line_dedup, op11_merkle)
 }
 
 MIX_SQL = r"""
@@ -142,4 +154,50 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(f.key)::BIGINT AS n_dropped,
 FROM k LEFT JOIN f ON k.key = f.key GROUP BY r, doc_id
 """
 
-ORACLES = {"op1_mixing": MIX_SQL, "op9_decontamination": LEAKS_SQL, "op10_line_dedup": LINES_SQL}
+#: CRC-32 of the decimal doc_id, bit by bit: a byte is mixed in where the list has one, a shift follows for each -1.
+CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(doc_id::VARCHAR, '')])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295::BIGINT)"""
+LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def merkle_sql(levels: int) -> str:
+    """The manifest in SQL, for trees of at most 16 ** levels leaves: nodes a<k> of the sources and b<k> of the sources' roots, level by level."""
+
+    def leaf(text: str) -> str:
+        parts = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(parts)})"
+
+    def nodes(t: str) -> list[str]:
+        out, window = [], "OVER (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN"
+        for k in range(levels):
+            out += [
+                f"s{t}{k} AS (SELECT tree, i, coalesce(string_agg(h, '') {window} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') {window} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {t}{k} WHERE n > 1)",
+                f"{t}{k + 1} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM (SELECT tree, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {t}{k} WHERE n > 1 GROUP BY tree, i // 16))",
+            ]
+        return out
+
+    def single(t: str) -> str:
+        return " UNION ALL ".join(f"SELECT tree, h FROM {t}{k} WHERE n = 1" for k in range(levels + 1))
+
+    ctes = [
+        f"d AS (SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {CRC_SQL} % 5 = 0 THEN {leaf(LOWER_SQL)} END AS changed FROM documents)",
+        "a AS (SELECT *, coalesce('s' || source, '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d)",
+        "a0 AS (SELECT tree, p AS i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM a)",
+        *nodes("a"),
+        f"sub AS (SELECT tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS i FROM ({single('a')}))",
+        "b0 AS (SELECT '' AS tree, i, h, count(*) OVER () AS n FROM sub)",
+        *nodes("b"),
+        f"top AS ({single('b')})",
+        "f AS (SELECT a.*, sub.h AS subroot, sub.i AS j, top.h AS root, coalesce(changed, leaf) AS f, '' AS s FROM a JOIN sub ON a.tree = sub.name, top)",
+    ]
+    last = "f"
+    for t, tree, at in (("a", "x.tree", "p"), ("b", "''", "j")):
+        for k in range(levels):
+            ctes.append(
+                f"f{t}{k} AS (SELECT x.* REPLACE (CASE WHEN y.l IS NULL THEN x.f ELSE sha256(y.l || x.f || y.r) END AS f, x.s || coalesce(y.l || y.r, '') AS s) FROM {last} x LEFT JOIN s{t}{k} y ON y.tree = {tree} AND y.i = x.{at} // {16**k})"
+            )
+            last = f"f{t}{k}"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, root, sha256(s) AS proof_sha256, f AS folded_root, f = root AS verified FROM {last}"
+
+
+ORACLES = {"op11_merkle": merkle_sql(6), "op1_mixing": MIX_SQL, "op9_decontamination": LEAKS_SQL, "op10_line_dedup": LINES_SQL}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,14 @@ from .licenses import scan_licenses
 from .linededup import drop_frequent_lines
 from .merkle import fold, leaf_digest, merkle_manifest, proof_digest
 from .mixing import mix_sources
+from .packing import pack
 from .quality import add_counts, fit_cutoffs, judge
 from .sharding import shuffle_into_shards
 from .simhash import near_duplicates
 from .tokencount import count_tokens, read_vocabulary
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 SHARDS = 8
 
 
@@ -103,9 +107,15 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = pack(docs, Path(TOKENIZER).read_text(), ids=[F.col("doc_id")])
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_sharding, op3_language, op4_tokens, op5_licenses, op6_main_text, op7_simhash, op8_quality, op9_decontamination, op10_line_dedup, op11_merkle)
+    for f in (op1_mixing, op2_sharding, op3_language, op4_tokens, op5_licenses, op6_main_text, op7_simhash, op8_quality, op9_decontamination, op10_line_dedup, op11_merkle, op12_packing)
 }
 
 MIX_SQL = r"""

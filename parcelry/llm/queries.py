@@ -11,6 +11,7 @@ from .common import cut, held, lower_ascii, word_count
 from .decontam import items_digest, scan_benchmark
 from .html import extract_main_text
 from .langid import identify, train
+from .lexical import rank_documents
 from .licenses import scan_licenses
 from .linededup import drop_frequent_lines
 from .merkle import fold, leaf_digest, merkle_manifest, proof_digest
@@ -113,9 +114,13 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_sharding, op3_language, op4_tokens, op5_licenses, op6_main_text, op7_simhash, op8_quality, op9_decontamination, op10_line_dedup, op11_merkle, op12_packing)
+    for f in (op1_mixing, op2_sharding, op3_language, op4_tokens, op5_licenses, op6_main_text, op7_simhash, op8_quality, op9_decontamination, op10_line_dedup, op11_merkle, op12_packing, op13_lexical)
 }
 
 MIX_SQL = r"""
@@ -154,6 +159,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
+SEARCH_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, text, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term FROM benchmark),
+a AS (SELECT count(*)::HUGEINT AS n, sum(len(w))::HUGEINT AS l FROM t WHERE len(w) > 0),
+f AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM t),
+c AS (SELECT r, doc_id, n, term, count(*)::HUGEINT AS tf FROM f WHERE term IN (SELECT term FROM i) GROUP BY r, doc_id, n, term),
+k AS (SELECT term, floor(1000 * ln((2 * (SELECT n FROM a)::DOUBLE + 2) / (2 * count(*) + 1)))::HUGEINT AS weight FROM c GROUP BY term),
+s AS (SELECT item_id, text, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * c.n::HUGEINT * a.n) // a.l)))) AS score
+      FROM c JOIN k USING (term) JOIN i USING (term), a GROUP BY item_id, text, r, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
 LINES_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 x AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
@@ -210,4 +228,4 @@ def merkle_sql(levels: int) -> str:
     return f"WITH {', '.join(ctes)} SELECT doc_id, leaf, subroot, root, sha256(s) AS proof_sha256, f AS folded_root, f = root AS verified FROM {last}"
 
 
-ORACLES = {"op11_merkle": merkle_sql(6), "op1_mixing": MIX_SQL, "op9_decontamination": LEAKS_SQL, "op10_line_dedup": LINES_SQL}
+ORACLES = {"op11_merkle": merkle_sql(6), "op1_mixing": MIX_SQL, "op9_decontamination": LEAKS_SQL, "op10_line_dedup": LINES_SQL, "op13_lexical": SEARCH_SQL}

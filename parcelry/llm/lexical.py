@@ -33,7 +33,7 @@ from .decontam import plain
 #: ASCII letters and digits and everything beyond ASCII make terms; A-Z are lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK_TERMS = 200_000
-SUBTREE_DOCS, SUBTREE_ENTRIES, LEAF_DOCS = 512, 1 << 20, 32
+SUBTREE_DOCS, SUBTREE_ENTRIES, LEAF_DOCS = 256, 1 << 19, 32
 STRETCH = 4 << 20
 
 
@@ -82,14 +82,19 @@ class Queries:
 
 
 class BallTree:
-    """Ball tree over sparse integer vectors, given as entries (terms, values) from start to start of each document."""
+    """Ball tree over sparse integer vectors, given as entries (terms, values) from start to start of each document.
+
+    Columns are numbered within the tree, and a centre is a mean rounded to single precision, since a tree is written and read: radii are those
+    around the rounded centre.
+    """
 
     def __init__(self, ids: Sequence, start: np.ndarray, terms: np.ndarray, values: np.ndarray, leaf: int = LEAF_DOCS):
         self.ids, self.start = list(ids), start
-        self.columns, self.local = np.unique(terms, return_inverse=True)
+        self.columns, local = np.unique(terms, return_inverse=True)
+        self.local = local.astype(np.uint16 if len(self.columns) <= 1 << 16 else np.uint32)
         self.values = values
         self.order = np.arange(len(self.ids))
-        #: (first, last, left child, right child, columns of the centroid, its values, radius); leaves have no children.
+        #: (first, last, left child, right child, columns of the centre, its values, radius); leaves have no children.
         self.nodes: list[tuple] = []
         lens = np.diff(start)
         self._real = values.astype(float)
@@ -117,9 +122,9 @@ class BallTree:
     def _grow(self, first: int, last: int, leaf: int) -> int:
         rows = self.order[first:last]
         at, e = self.entries(rows)
-        centroid = np.bincount(self.local[e], weights=self._real[e], minlength=len(self.columns)) / len(rows)
-        far, slack = self._distances(rows, at, e, centroid)
-        some = np.flatnonzero(centroid)
+        centroid = (np.bincount(self.local[e], weights=self._real[e], minlength=len(self.columns)) / len(rows)).astype(np.float32)
+        far, slack = self._distances(rows, at, e, centroid.astype(float))
+        some = np.flatnonzero(centroid).astype(self.local.dtype)
         number = len(self.nodes)
         self.nodes.append(())
         radius = math.sqrt(max(float(far.max()), 0.0) + slack)
@@ -133,13 +138,13 @@ class BallTree:
             self.order[first:last] = rows[nearer]
             left = self._grow(first, first + middle, leaf)
             right = self._grow(first + middle, last, leaf)
-        self.nodes[number] = (first, last, left, right, self.columns[some], centroid[some], radius)
+        self.nodes[number] = (first, last, left, right, some, centroid[some], radius)
         return number
 
     def bounds(self, number: int, queries: Queries) -> np.ndarray:
         """For each query more than any document below the node scores."""
-        *_, terms, values, radius = self.nodes[number]
-        return (queries.times(terms, values) + queries.norm * radius) * (1 + 1e-9) + 1
+        *_, columns, values, radius = self.nodes[number]
+        return (queries.times(self.columns[columns], values.astype(float)) + queries.norm * radius) * (1 + 1e-9) + 1
 
     def scores(self, number: int, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
         """Rows of a leaf, and their exact scores for each query."""

@@ -3,9 +3,12 @@
 Each block of text that reads like a paragraph gives points, for its length and its commas, to the elements around it: all to
 the parent, less to each of REACH above it, and all to every article and main element that holds it, discounted by the share
 of its text that is links. The best element is the article; siblings that score well, and headings beside it, are
-kept with it. Menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told by element, role or class,
-give no text; where names of classes would leave no text at all, they only cost points. A page takes time in
-proportion to its length, however deep it is nested.
+kept with it. Headers, footers, sidebars, notices, adverts, forms and the like, told by element or role, give no text.
+
+A name of a class or id decides nothing by itself: text below a name that such parts bear (comments, sidebar, share, ...) gives
+few points. Once the article is chosen, parts of it and beside it that are named so are cut, unless they hold the article or nearly all
+of its text. Lists of links are left out but where the article goes on after them. A page takes time in proportion to its length,
+however deep it is nested.
 """
 
 from __future__ import annotations
@@ -17,10 +20,9 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import fenced, named, slices
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -46,6 +48,10 @@ BAD_WORDS = frozenset(
     "comment comments commentlist disqus respond reply replies discussion feedback share sharing social related recommended recommendations widget pagination pager search form skip".split()
 )
 GOOD_WORDS = frozenset("article body content entry main page post text blog story hentry".split())
+#: Words after which a word of the same name says what the element has, not what it is.
+HAVING = frozenset("has have with without no not hide show toggle open".split())
+#: Share of its points that text below a badly named element gives, and the share of such an element's points that must be left without it.
+NAMED_SHARE, LEFT_SHARE = 0.2, 0.1
 #: Elements above a paragraph's parent that get a share of its points.
 REACH = 5
 ARTICLES = frozenset(("article", "main"))
@@ -56,16 +62,28 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "bad", "named", "score", "full", "chars", "linked", "links", "good", "inside")
+    __slots__ = ("tag", "up", "bad", "named", "menu", "cut", "score", "full", "own", "chars", "linked", "links", "good", "inside")
 
     def __init__(self, tag: str, up: Node | None, bad: bool = False, named: bool = False, score: float = 0.0):
         self.tag, self.up, self.bad, self.named, self.score, self.full = tag, up, bad, named, score, 0.0
+        self.menu = self.cut = False
+        self.own = 0.0
         self.chars = self.linked = self.links = 0
         #: The nearest article or main element, itself included.
         self.good = self if tag in ARTICLES else up.good if up is not None else None
         self.inside = False
 
 
+def name_words(names: str) -> set[str]:
+    """The words of class names or an id that say what the element is."""
+    out: set[str] = set()
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+        having = next((k for k, w in enumerate(words) if w in HAVING), len(words))
+        out.update(words[:having])
+    return out
+
+
 def opened(tag: str, attributes: str, up: Node) -> Node:
     """A new element: bad by its element, role or style, or named badly by a class or id."""
     bad, named, score = tag in OUTSIDE or (tag == "header" and up.good is None), False, float(TAG_SCORE.get(tag, 0))
@@ -73,7 +91,7 @@ def opened(tag: str, attributes: str, up: Node) -> Node:
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
-                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()))
+                words = name_words(m[2] or m[3] or m[4] or "")
                 if words & BAD_WORDS and tag not in ("body", "html", *ARTICLES):
                     named = True
                 score += 25 * bool(words & GOOD_WORDS)
@@ -175,16 +193,18 @@ def main_text(html: str | None) -> str:
         node.chars, node.linked, node.links = node.chars + len(text), node.linked + linked, node.links + links
     for node in reversed(nodes[1:]):  # children come after their parents
         node.up.chars, node.up.linked, node.up.links = node.up.chars + node.chars, node.up.linked + node.linked, node.up.links + node.links
+    below = set()  # elements that are, or lie below, badly named ones
     for node in nodes[1:]:
-        menu = node.links >= 3 and node.linked > 0.67 * node.chars and node.tag not in ("body", "html", *ARTICLES)
-        node.bad = node.bad or node.up.bad or menu
-        node.named = node.named or node.up.named
-    blocks = [b for b in blocks if not b[0].bad]
-    blocks = [b for b in blocks if not b[0].named] or blocks
+        node.bad = node.bad or node.up.bad
+        node.menu = node.up.menu or (node.links >= 3 and node.linked > 0.67 * node.chars and node.tag not in ("body", "html", *ARTICLES))
+        if node.named or id(node.up) in below:
+            below.add(id(node))
+    listed = [b for b in blocks if not b[0].bad]
+    blocks = [b for b in listed if not b[0].menu]
     if not blocks:
         return ""
     for node, text, linked, _ in blocks:
-        own = points(text, linked)
+        own = points(text, linked) * (NAMED_SHARE if id(node) in below else 1.0)
         up, share = (node.up if node.tag in ("p", "pre", "li", "td") or node.tag in HEADINGS else node), 1.0
         for _ in range(REACH + 1):
             if up is None:
@@ -211,7 +231,22 @@ def main_text(html: str | None) -> str:
         if node.up is best.up and id(node) in holding and not node.inside:
             worth = node.score * (1 - density(node)) >= max(10, 0.2 * best.score) or (node.tag == "p" and node.chars > 80 and density(node) < 0.25)
             node.inside = worth or (node.tag in HEADINGS and density(node) < 0.25)
-    return "\n".join(text for node, text, _, _ in blocks if node.inside)
+    above, up = set(), best
+    while up is not None:
+        above.add(id(up))
+        up = up.up
+    for node, text, linked, _ in blocks:
+        if node.inside:
+            node.own += points(text, linked)
+    clean = sum(n.own for n in nodes if id(n) not in below)
+    for node in reversed(nodes[1:]):
+        node.up.own += node.own
+    for node in nodes[1:]:
+        small = LEFT_SHARE * node.own <= clean
+        node.cut = node.up.cut or (node.named and id(node) not in above and small)
+    kept = [(k, b) for k, b in enumerate(listed) if b[0].inside and not b[0].cut]
+    prose = [k for k, b in kept if not b[0].menu]
+    return "\n".join(b[1] for k, b in kept if not b[0].menu or (prose and prose[0] < k < prose[-1]))
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -219,16 +254,16 @@ def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Null and empty pages, and pages without text, have an empty main_text; cut-off pages are read as far as they go. Of elements with
     equal scores the outermost, then the first is the article; repeated rows are read alike; an empty table gives an empty
-    one. Columns of pages named as the new ones are replaced.
+    one. A page of any length is read whole, in a worker's memory. Columns of pages named as the new ones are replaced, others of any name stay.
     """
-    pages = pages.drop(*[c for c in ("main_text", "n_chars") if c != html])
-    fields = [f for f in pages.schema.fields if f.name != html]
+    inner, back = fenced(pages, ["main_text", "n_chars", html], _html=named(html))
+    fields = inner.schema.fields[:-1]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, html):
-            texts = [main_text(x.as_py()) for x in batch.column(html)]
-            columns = [batch.column(f.name) for f in fields] + [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + ["main_text", "n_chars"])
+        for batch in slices(batches, "_html"):
+            texts = [main_text(x.as_py()) for x in batch.column("_html")]
+            columns = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*[f.name for f in fields], "main_text", "n_chars"])
 
-    schema = T.StructType(fields + [T.StructField("main_text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(*[f.name for f in fields], F.col(html)).mapInArrow(extract, schema)
+    schema = T.StructType([*fields, T.StructField("main_text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return back(inner.mapInArrow(extract, schema), "main_text", "n_chars")

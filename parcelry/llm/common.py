@@ -64,6 +64,11 @@ def fenced(df: DataFrame, new: Sequence[str] = (), keep: Sequence[str] = (), **m
     return inner, back
 
 
+def fenced_name(df: DataFrame, column: str) -> str:
+    """The name that fenced() gives a column of df that stays."""
+    return f"_u{df.columns.index(column)}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed and kept in the shared folder; its lineage ends here."""
     shared_dir(df.sparkSession)

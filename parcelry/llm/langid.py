@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import fenced, named, slices
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
@@ -233,23 +233,24 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Texts that are null or have no letter, and all texts if nothing was learned, are `und` with score 0. Repeated rows
     are predicted alike, of equal languages the first by name; an empty table gives an empty one. Columns of docs named as
-    the new ones are replaced.
+    the new ones are replaced, others of any name stay.
     """
-    docs = docs.drop(*[c for c in ("lang_pred", "score", "mixture") if c != text])
+    new = ["lang_pred", "score", "mixture"]
+    inner, back = fenced(docs, [*new, text], _text=named(text), _letters=has_letter(named(text)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f for f in docs.schema.fields if f.name != text]
+    fields = inner.schema.fields[:-2]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches, text):
+        for batch in slices(batches, "_text"):
             worded = batch.column("_letters").to_pylist()
-            found = infer(model, [letters(t) if w else PAD for t, w in zip(batch.column(text).to_pylist(), worded, strict=True)])
+            found = infer(model, [letters(t) if w else PAD for t, w in zip(batch.column("_text").to_pylist(), worded, strict=True)])
             single = model.langs[0] if model.langs else "und"
             names = [model.langs[m] if m >= 0 else single if w else "und" for (m, _, _), w in zip(found, worded, strict=True)]
             mixture = [[(model.langs[k], float(p)) for k, p in enumerate(mix) if p > 0] for _, _, mix in found]
             columns = [batch.column(f.name) for f in fields]
             columns += [pa.array(names, pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array(mixture, pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + ["lang_pred", "score", "mixture"])
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + new)
 
     out = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.MapType(T.StringType(), T.DoubleType()))])
-    return docs.select(*[f.name for f in fields], text, has_letter(F.col(text)).alias("_letters")).mapInArrow(predict, out)
+    return back(inner.mapInArrow(predict, out), *new)

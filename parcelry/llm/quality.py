@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fenced, slices
+from .common import cut, fenced, fenced_name, named, slices
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -81,18 +81,19 @@ def add_counts(docs: DataFrame, text: str = "text", keep_text: bool = True) -> D
     """docs with COUNTS, without the text unless keep_text.
 
     Null and empty texts count 0 everywhere; repeated rows count alike; an empty table gives an empty one. Columns of docs
-    named as the new ones are replaced.
+    named as the new ones are replaced, others of any name stay.
     """
-    docs = docs.drop(*COUNTS)
-    fields = [f for f in docs.schema.fields if keep_text or f.name != text]
+    inner, back = fenced(docs, COUNTS) if keep_text else fenced(docs, [*COUNTS, text], _text=named(text))
+    read = fenced_name(docs, text) if keep_text else "_text"
+    fields = [f for f in inner.schema.fields if f.name != "_text"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            found = np.array([text_counts(t.as_py()) for t in batch.column(text)], np.int64).reshape(-1, len(COUNTS))
+        for batch in slices(batches, read):
+            found = np.array([text_counts(t.as_py()) for t in batch.column(read)], np.int64).reshape(-1, len(COUNTS))
             columns = [batch.column(f.name) for f in fields] + [pa.array(found[:, k]) for k in range(len(COUNTS))]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields] + COUNTS)
 
-    return docs.mapInArrow(count, T.StructType(fields + [T.StructField(c, T.LongType()) for c in COUNTS]))
+    return back(inner.mapInArrow(count, T.StructType(fields + [T.StructField(c, T.LongType()) for c in COUNTS])), *COUNTS)
 
 
 def base_failed() -> F.Column:
@@ -170,6 +171,7 @@ def fit_cutoffs(counts: DataFrame, labels: DataFrame, stratum: str = "lang", all
     large = cells.groupBy("_own").agg(F.sum(F.when(F.col("_good"), F.col("_n")).otherwise(0)).alias("_size")).filter(F.col("_size") >= least_good)
     strata = large.count() + 1
     pooled = cells.join(large.select("_own", F.col("_own").alias("_stratum")), "_own", "left").withColumn("_stratum", F.coalesce("_stratum", F.lit("rest")))
+    pooled = pooled.groupBy("_stratum", "_good", *rules).agg(F.sum("_n").alias("_n"))  # however many small strata there are
 
     def certify(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         good, bad = rows[rows["_good"]], rows[~rows["_good"]]

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fenced, fenced_name
+
 MARK = "▁"
 UNKNOWN_COST = 10.0
 REMEMBERED, REMEMBERED_BYTES = 300_000, 64
@@ -98,16 +100,17 @@ def count_tokens(docs: DataFrame, vocabulary: Sequence[tuple[str, float]], text:
     if len(vocabulary) > MOST_PIECES:
         raise ValueError(f"a vocabulary of more than {MOST_PIECES} pieces isn't broadcast")
     spark: SparkSession = docs.sparkSession
-    docs = docs.drop("n_tokens")
-    shared, held = spark.sparkContext.broadcast(list(vocabulary)), docs.columns
+    (inner, back), read = fenced(docs, ["n_tokens"]), fenced_name(docs, text)
+    shared = spark.sparkContext.broadcast(list(vocabulary))
+    fields = inner.schema.fields
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter(shared.value)
         for batch in batches:
-            found = [counter.text(t.as_py()) for t in batch.column(text)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*held, "n_tokens"])
+            found = [counter.text(t.as_py()) for t in batch.column(read)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[*[f.name for f in fields], "n_tokens"])
 
-    return docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType())]))
+    return back(inner.mapInArrow(count, T.StructType([*fields, T.StructField("n_tokens", T.LongType())])), "n_tokens")
 
 
 def token_totals(counted: DataFrame, by: str = "source") -> DataFrame:

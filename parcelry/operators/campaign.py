@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import with_running
+from .quantiles import quantiles, with_quantiles
 
 
 def schedule(threshold_init: float = 0.9, threshold_increment: float = 0.1, min_digs: int = 1, min_digs_increment: int = 1) -> list[tuple[float, int]]:
@@ -135,5 +136,5 @@ def hit_rate_curve(df: DataFrame, by: Sequence[str] = (), prob: str = "prob", or
 def visit_medians(dug: DataFrame, score: str, by: Sequence[str] = ()) -> DataFrame:
     """dug with median_prob: the median of `score` over the parcel's visit (nulls and NaN left out)."""
     value = F.when(~F.isnan(score), F.col(score))
-    medians = dug.groupBy(*by, "dig_batch").agg(F.percentile(value, F.lit(0.5)).alias("median_prob"))
-    return dug.join(medians, [*by, "dig_batch"])
+    visit = [*by, "dig_batch"]
+    return with_quantiles(dug, quantiles(dug, value, [0.5], visit, "_q").select(*visit, F.col("_q")[0].alias("median_prob")), visit)

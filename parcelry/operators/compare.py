@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import bucketed
+from .quantiles import quantiles, with_quantiles
 
 
 def comparison(dug_a: DataFrame, dug_b: DataFrame, location: DataFrame | None = None) -> DataFrame:
@@ -43,7 +44,8 @@ def histogram(df: DataFrame, col: str, n_bins: int, by: Sequence[str] = (), kind
 
 
 def shift_summary(table: DataFrame, by: str = "label", change: str = "dig_change") -> DataFrame:
-    return table.groupBy(by).agg(F.avg(change).alias("mean_shift"), F.percentile(F.col(change), F.lit(0.5)).alias("median_shift"))
+    medians = quantiles(table, F.col(change), [0.5], [by], "_q").select(by, F.col("_q")[0].alias("median_shift"))
+    return with_quantiles(table.groupBy(by).agg(F.avg(change).alias("mean_shift")), medians, [by])
 
 
 def directions(table: DataFrame, by: str = "label", change: str = "dig_change") -> DataFrame:

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..sources.store import held
 from .campaign import campaign
+from .smooth import lowess
+
+__all__ = ["add_savings", "chosen_predictions", "compute_costs", "cost_curve", "dig_data", "lowess", "pooled", "zoomed"]
 
 EXPERIMENT = ["train_size", "resolution", "split"]
 HIT_COST, MISS_COST = 5000.0, 3000.0
@@ -54,40 +57,6 @@ def compute_costs(predictions: DataFrame, labels: DataFrame, tiles: DataFrame, b
     return pooled(add_savings(curves, baseline), ["cost", "cost_avg", "savings", "savings_avg"])
 
 
-def lowess(curve: DataFrame, x: str, y: str, by: Sequence[str] = (), frac: float = 0.05, robust: int = 3) -> DataFrame:
-    """Local linear smooth of y over evenly spaced x (numbered from its least value in each group), with `robust` reweighting rounds.
-
-    The k = frac n (truncated; at least 2) nearest points of point i are k in a row; each point is sent to the points it serves, once,
-    with its tricube weight, and the line is solved from weighted sums. After each round but the last a point's residual, over six
-    times the group's median, gives its bisquare weight in the next.
-    """
-    by = list(by)
-    stats = curve.groupBy(*by).agg(F.count("*").alias("_n"), F.min(x).alias("_x0"))
-    points = curve.join(stats, by) if by else curve.crossJoin(F.broadcast(stats))
-    k = F.greatest(F.lit(2), F.floor(F.lit(frac) * F.col("_n") + 1e-10)).cast("bigint")
-    points = held(points.select(*by, x, F.col(y).alias("_y"), (F.col(x) - F.col("_x0")).cast("bigint").alias("_i"), F.least(k, F.col("_n")).alias("_k"), "_n"))
-    start = F.least(F.greatest(F.col("_i") - F.floor(F.col("_k") / 2), F.lit(0)), F.col("_n") - F.col("_k"))
-    around = points.select(*by, "_i", "_k", start.alias("_s")).withColumn("_j", F.explode(F.sequence(F.col("_s"), F.col("_s") + F.col("_k") - 1)))
-    reach = F.greatest(F.col("_i") - F.col("_s"), F.col("_s") + F.col("_k") - 1 - F.col("_i"), F.lit(1)) * 1.0
-    d = (F.col("_j") - F.col("_i")) * 1.0
-    served = held(around.select(*by, "_i", "_j", d.alias("_d"), F.pow(1 - F.pow(F.abs(d) / reach, 3), 3).alias("_w")))
-    now = points.withColumn("_r", F.lit(1.0))
-    for left in range(robust, -1, -1):
-        met = served.join(now.select(*by, F.col("_i").alias("_j"), "_y", "_r"), [*by, "_j"])
-        w, dx, v = F.col("_w") * F.col("_r"), F.col("_d"), F.col("_y")
-        sums = met.groupBy(*by, "_i").agg(F.sum(w).alias("a"), F.sum(w * dx).alias("b"), F.sum(w * dx * dx).alias("c"), F.sum(w * v).alias("p"), F.sum(w * dx * v).alias("q"))
-        det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
-        line = F.when(det > 1e-12 * F.col("a") * F.col("a"), (F.col("p") * F.col("c") - F.col("q") * F.col("b")) / det).otherwise(F.col("p") / F.col("a"))
-        fit = held(points.join(sums, [*by, "_i"]).withColumn("_fit", F.when(F.col("a") > 0, line).otherwise(F.col("_y"))).drop("a", "b", "c", "p", "q"))
-        if not left:
-            return fit.select(*by, x, F.col("_fit").alias(f"{y}_smooth"))
-        off = fit.withColumn("_off", F.abs(F.col("_y") - F.col("_fit")))
-        medians = off.groupBy(*by).agg(F.percentile("_off", F.lit(0.5)).alias("_m"))
-        off = off.join(medians, by) if by else off.crossJoin(F.broadcast(medians))
-        t = F.when(F.col("_m") == 0, (F.col("_off") > 0).cast("double")).otherwise(F.least(F.col("_off") / (6 * F.col("_m")), F.lit(1.0)))
-        now = off.withColumn("_r", F.pow(1 - t * t, 2)).select(*points.columns, "_r")
-
-
 def zoomed(curve: DataFrame, by: Sequence[str] = (), zoom: float = 0.9, x: str = "lead_digs") -> DataFrame:
     """The first `zoom` of the points, with percent_x = 100 x / n."""
     totals = curve.groupBy(*by).agg(F.count("*").alias("_n"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.store import held
+from .quantiles import quantiles
 
 PACKED = 16
 
@@ -23,7 +24,7 @@ def initial_values(nodes: DataFrame, predictions: DataFrame, by: Sequence[str],
 
     init='label' starts train nodes at their label (column label of predictions).
     """
-    median = predictions.groupBy(*by).agg(F.percentile(F.when(F.col("role") == "test", F.col("prob")), F.lit(0.5)).alias("_median"))
+    median = quantiles(predictions, F.when(F.col("role") == "test", F.col("prob")), [0.5], by, "_q").select(*by, F.col("_q")[0].alias("_median"))
     score = F.when(F.col("role") == "train", F.col("label").cast("double")).otherwise(F.col("prob")) if init == "label" else F.col("prob")
     grid = nodes.select("pid").crossJoin(F.broadcast(median))
     return grid.join(predictions.select(*by, "pid", score.alias("_score")), [*by, "pid"], "left").select(*by, "pid", F.coalesce("_score", "_median").alias("v"))

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def missing(df: DataFrame, top: int = 20) -> DataFrame:
     """(column, n_missing), most first, counted in one pass."""
@@ -23,12 +25,10 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: count, mean, std, min, quartiles, max."""
     stats = {"count": F.count, "mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max}
-    aggs = []
-    for c in cols:
-        q = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        numbers = [f(c).cast("double").alias(n) if n != "count" else f(c).alias(n) for n, f in stats.items()]
-        aggs.append(F.struct(F.lit(c).alias("column"), *numbers, *[q[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))]).alias(c))
-    return df.agg(*aggs).select(F.explode(F.array(*[F.col(c) for c in cols])).alias("x")).select("x.*")
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("x")).select("x.*")
+    found = long.groupBy("column").agg(*[f("value").alias(n) for n, f in stats.items()])
+    quarters = quantiles(long, F.col("value"), [0.25, 0.5, 0.75], ["column"], "q")
+    return found.join(quarters, "column").select("column", *stats, *[F.col("q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))])
 
 
 def class_rate(df: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import half_even
 from .prefix import with_running
+from .quantiles import quantiles, with_quantiles
 
 
 def hit_rate(df: DataFrame, by: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
@@ -61,8 +62,7 @@ def calibration(df: DataFrame, by: Sequence[str] = (), n_bins: int = 10, strateg
     if strategy == "uniform":
         binned = df.withColumn("bin", F.least(F.floor(F.col("prob") * n_bins), F.lit(n_bins - 1)))
     else:
-        cuts = df.groupBy(*by).agg(F.percentile(F.col("prob"), F.array(*[F.lit(k / n_bins) for k in range(1, n_bins)])).alias("_cuts"))
-        joined = df.join(cuts, list(by)) if by else df.crossJoin(F.broadcast(cuts))
+        joined = with_quantiles(df, quantiles(df, F.col("prob"), [k / n_bins for k in range(1, n_bins)], by, "_cuts"), by)
         binned = joined.withColumn("bin", F.size(F.filter("_cuts", lambda c: c <= F.col("prob"))).cast("bigint"))
     return binned.groupBy(*by, "bin").agg(F.avg("label").alias("mean_label"), F.avg("prob").alias("mean_prob"), F.count("*").alias("n"))
 

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles, with_quantiles
+
 KM_PER_DEGREE = 111.194
 HEX_STEPS = ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))
 SQUARE_STEPS = ((1, 0), (-1, 0), (0, 1), (0, -1))
@@ -104,7 +106,14 @@ def tile_stats(tiles: DataFrame, data: DataFrame, target: str, features: Sequenc
     """Per tile: n, sum and rate of the target; of each feature mean, deviation, extremes and quartiles."""
     aggs = [F.count("*").alias("n"), F.sum(target).alias("sum"), F.avg(target).alias("rate")]
     for c in features:
-        q = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
-        aggs += [q[k].alias(f"{c}_{name}") for k, name in enumerate(("q25", "median", "q75"))]
-    return tiles.join(data, "pid").groupBy("resolution", "tile_id").agg(*aggs)
+    tile, rows = ["resolution", "tile_id"], tiles.join(data, "pid")
+    out = rows.groupBy(*tile).agg(*aggs)
+    if not features:
+        return out
+    values = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])
+    long = rows.select(*tile, F.explode(values).alias("x")).select(*tile, "x.*")
+    found = quantiles(long, F.col("value"), [0.25, 0.5, 0.75], [*tile, "feature"], "q")
+    wide = found.groupBy(*tile).agg(*[F.max(F.when(F.col("feature") == c, F.col("q"))).alias(f"_q_{c}") for c in features])
+    named = [F.col(f"_q_{c}")[k].alias(f"{c}_{name}") for c in features for k, name in enumerate(("q25", "median", "q75"))]
+    return with_quantiles(out, wide, tile).select(*out.columns, *named)

@@ -8,6 +8,7 @@ experiments are one row, so that an edge moves few rows a step, and a step sums
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,10 +66,8 @@ def diffuse(values: DataFrame, edges: DataFrame, by: Sequence[str], lam: float =
     trace: the values after each step from 0 on, with `iter`. Every experiment must have a value for each of the nodes.
     Values are written to the shared folder every cut_every steps, so that a lost executor costs few steps.
     """
-    keys = values.select(*by).distinct()
-    listed = [tuple(r) for r in keys.orderBy(*by).collect()]  # experiments, not rows
-    numbered = values.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(listed)], T.StructType([*keys.schema.fields, T.StructField("_k", T.IntegerType())]))
-    width = min(PACKED, len(listed)) or 1
+    numbered, n_experiments = numbered_experiments(values, by)
+    width = min(PACKED, n_experiments) or 1
     slots = [f"v{k}" for k in range(width)]
     place = F.col("_k") % width
     now = held(
@@ -77,7 +76,7 @@ def diffuse(values: DataFrame, edges: DataFrame, by: Sequence[str], lam: float =
         .agg(*[F.max(F.when(place == k, F.col("v"))).alias(s) for k, s in enumerate(slots)], F.count("v").alias("_n"))
     )
     seen = now.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.countDistinct("pid").alias("nodes")).first()
-    if seen["n"] != seen["nodes"] * len(listed):
+    if seen["n"] != seen["nodes"] * n_experiments:
         raise ValueError("every experiment must have a value for each of the nodes")
     now = now.drop("_n")
     coefs = held(coefficients(edges, now.select("pid").distinct(), F.lit(float(lam))))
@@ -93,6 +92,34 @@ def diffuse(values: DataFrame, edges: DataFrame, by: Sequence[str], lam: float =
     return opened.withColumn("_k", (F.col("_c") * width + F.col("_i")).cast("int")).join(F.broadcast(numbered), "_k").select(*by, *extra, "pid", "v")
 
 
+def numbered_experiments(values: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int]:
+    """(*by, _k): the experiments, not rows, numbered in their order; and how many."""
+    keys = values.select(*by).distinct()
+    listed = [tuple(r) for r in keys.orderBy(*by).collect()]
+    schema = T.StructType([*keys.schema.fields, T.StructField("_k", T.IntegerType())])
+    return values.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(listed)], schema), len(listed)
+
+
+def power_step(now: DataFrame, edges: DataFrame, weights: dict[str, Callable[[Column], Column]], ks: Sequence[int], width: int, before: str, after: str) -> DataFrame:
+    """now (graph, _c, pid, arrays) with the array `after`: the weighted mean of the neighbours' `before`, for each weight, k and slot.
+
+    One sweep over the edges serves all weights and all k: an edge counts for those k that its rank is within. `before` holds
+    either a value for each slot, or one for each weight, k and slot. A node without neighbours keeps its own.
+    """
+    cells = [(w, k) for w in weights for k in ks]
+    at = lambda source, c, s: source[s] if before == "p0" else source[c * width + s]
+    met = edges.join(now.select("graph", "_c", F.col("pid").alias("dst"), F.col(before).alias("_v")), ["graph", "dst"])
+    met = met.withColumns({f"_w{n}": f(F.col("dist")) for n, f in enumerate(weights.values())})
+    sums = []
+    for c, (w, k) in enumerate(cells):
+        weight = F.when(F.col("rank") <= k, F.col(f"_w{list(weights).index(w)}"))
+        sums += [F.sum(weight).alias(f"_t{c}"), *[F.sum(weight * at(F.col("_v"), c, s)).alias(f"_s{c}_{s}") for s in range(width)]]
+    means = met.groupBy("graph", "_c", F.col("src").alias("pid")).agg(*sums)
+    value = lambda c, s: F.when(F.col(f"_t{c}") != 0, F.col(f"_s{c}_{s}") / F.col(f"_t{c}")).otherwise(at(F.col(before), c, s))
+    made = F.array(*[value(c, s) for c in range(len(cells)) for s in range(width)])
+    return now.join(means, ["graph", "_c", "pid"], "left").select(*now.columns, made.alias(after))
+
+
 def tuning_grid(
     values: DataFrame,
     edges: DataFrame,
@@ -102,30 +129,38 @@ def tuning_grid(
     lams: Sequence[float],
     n_iter: int = 1,
     by: Sequence[str] = ("split",),
-    cut_every: int = 5,
 ) -> DataFrame:
     """(graph, weight, k, lam, *by, pid, v): the values of every experiment diffused under every combination, in one plan.
 
     values: (*by, pid, v), every experiment with the same nodes. edges: (graph, src, dst, dist, rank), neighbours ranked by graph
-    up to the largest k. Combinations are rows; a parcel's values of all experiments are one row.
+    up to the largest k. A step is v' = lam v + (1 - lam) P v, so n steps are a binomial sum over the powers of P on v: the powers are
+    made once for all lam, and one sweep over the edges makes a power for all weights and k. Edge rows moved don't depend on
+    how many of these there are. A parcel's values of PACKED experiments are one row.
     """
     spark, by = values.sparkSession, list(by)
-    keys = values.select(*by).distinct()
-    listed = [tuple(r) for r in keys.orderBy(*by).collect()]
-    slots = [f"v{k}" for k in range(len(listed))]
-    numbered = F.broadcast(spark.createDataFrame([(*k, i) for i, k in enumerate(listed)], T.StructType([*keys.schema.fields, T.StructField("_k", T.IntegerType())])))
-    cells = [(i, *cell) for i, cell in enumerate((g, w, int(k), float(lam)) for g in graphs for w in weights for k in ks for lam in lams)]
-    grid = F.broadcast(spark.createDataFrame(cells, "cell int, graph string, weight string, k int, lam double"))
-    weight = F.coalesce(*[F.when(F.col("weight") == name, f(F.col("dist"))) for name, f in weights.items()])
-    slim = edges.join(grid, "graph").filter("rank <= k").select("cell", "lam", "src", "dst", weight.alias("w"))
-    packed = values.join(numbered, by).groupBy("pid").agg(*[F.max(F.when(F.col("_k") == k, F.col("v"))).alias(s) for k, s in enumerate(slots)])
-    now = held(packed.crossJoin(grid.select("cell", "lam")))
-    coefs = held(coefficients(slim, now.select("cell", "lam", "pid"), F.col("lam"), ["cell", "lam"]))
-    for step in range(1, n_iter + 1):
-        now = one_step(now, coefs, ["cell", "lam"], ["cell", "lam"])
-        now = held(now) if step % cut_every == 0 else now
-    opened = now.select("cell", "pid", F.posexplode(F.array(*slots)).alias("_k", "v"))
-    return opened.join(grid, "cell").join(numbered, "_k").select("graph", "weight", "k", "lam", *by, "pid", "v")
+    numbered, n_experiments = numbered_experiments(values, by)
+    width = min(PACKED, n_experiments) or 1
+    place = F.col("_k") % width
+    slots = F.array(*[F.max(F.when(place == s, F.col("v"))) for s in range(width)])
+    packed = values.join(F.broadcast(numbered), by).groupBy(F.floor(F.col("_k") / width).alias("_c"), "pid").agg(slots.alias("p0"))
+    now = held(packed.select(F.explode(F.array(*[F.lit(g) for g in graphs])).alias("graph"), "_c", "pid", "p0"))
+    nodes = now.select("graph", "pid").distinct()
+    known = edges.filter(F.col("dist").isNotNull() & (F.col("rank") <= max(ks))).select("graph", "src", "dst", "dist", "rank")
+    for end in ("src", "dst"):
+        known = known.join(nodes.withColumnRenamed("pid", end), ["graph", end], "left_semi")
+    known = held(known)
+    for n in range(1, n_iter + 1):
+        now = held(power_step(now, known, weights, ks, width, f"p{n - 1}", f"p{n}"))
+
+    cells = [(w, int(k)) for w in weights for k in ks]
+    share = F.array(*[F.array(*[F.lit(comb(n_iter, n) * lam ** (n_iter - n) * (1 - lam) ** n) for n in range(n_iter + 1)]) for lam in map(float, lams)])
+    each = now.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(len(cells) * len(lams) * width - 1))))
+    slot, rest = F.col("_cell") % width, F.floor(F.col("_cell") / width).cast("int")
+    each = each.withColumn("_slot", slot).withColumn("_lam", (rest % len(lams)).cast("int")).withColumn("_combo", F.floor(rest / len(lams)).cast("int")).withColumn("_share", share[F.col("_lam")])
+    terms = [F.col("_share")[0] * F.col("p0")[F.col("_slot")], *[F.col("_share")[n] * F.col(f"p{n}")[F.col("_combo") * width + F.col("_slot")] for n in range(1, n_iter + 1)]]
+    opened = each.select("graph", "pid", (F.col("_c") * width + F.col("_slot")).cast("int").alias("_k"), "_combo", "_lam", sum(terms[1:], terms[0]).alias("v")).filter(F.col("v").isNotNull())
+    named = spark.createDataFrame([(c, i, w, k, float(lam)) for c, (w, k) in enumerate(cells) for i, lam in enumerate(lams)], "_combo int, _lam int, weight string, k int, lam double")
+    return opened.join(F.broadcast(named), ["_combo", "_lam"]).join(F.broadcast(numbered), "_k").select("graph", "weight", "k", "lam", *by, "pid", "v")
 
 
 def best_cells(grid: DataFrame, table: Sequence[str], loss_within: float = 0.0002, area_within: float = 0.5) -> DataFrame:

@@ -285,13 +285,18 @@ def d6_tuning_steps(spark, d):
 TABLE = ["graph", "resolution", "weight"]
 
 
+def tuned(spark, d):
+    """The tuning table, held: best cells and tables read it."""
+    return held(tuning(spark, d).filter("graph <> 'none'"))
+
+
 @query(tuning_sql() + f"SELECT {CELLS}, l <= 0.0002e0 AS best_loss, a <= 0.5e0 AS best_area FROM (SELECT *, log_loss - min(log_loss) OVER t AS l, max(auhrc) OVER t - auhrc AS a FROM tuned WHERE graph <> 'none' WINDOW t AS (PARTITION BY graph, resolution, weight)) WHERE l <= 0.0002e0 OR a <= 0.5e0")
 def d7_best_cells(spark, d):
     """In each table of graph, resolution and weight the cells next to its best ones."""
-    return diffusion.best_cells(held(tuning(spark, d).filter("graph <> 'none'")), TABLE)
+    return diffusion.best_cells(tuned(spark, d), TABLE)
 
 
 @query(tuning_sql() + f"SELECT graph, resolution, weight, lam, {', '.join(R(f'max({m}) FILTER (WHERE k = {k})', f'{m}_{k}') for m in ('log_loss', 'auhrc') for k in KS)} FROM tuned WHERE graph <> 'none' GROUP BY graph, resolution, weight, lam")
 def d7_table(spark, d):
     """The tables laid out: a row for each lambda, a column for each K."""
-    return diffusion.laid_out(tuning(spark, d).filter("graph <> 'none'"), TABLE, KS)
+    return diffusion.laid_out(tuned(spark, d), TABLE, KS)

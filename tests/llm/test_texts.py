@@ -468,3 +468,33 @@ def test_extract_columns(spark):
     got = {r["page_id"]: r for r in html.extract_main_text(pages).collect()}
     assert got[2]["main_text"] == "" and got[3]["n_chars"] == 1 and got[1]["url"] == "u"
     assert html.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_names_decide_nothing_by_themselves():
+    prose = "".join(f"<p>Sentence {k}, with commas, and words enough to read as prose.</p>" for k in range(6))
+    lines = [f"Sentence {k}, with commas, and words enough to read as prose." for k in range(6)]
+    for name in ("wrapper has-sidebar", "wrapper sidebar", "page-with-comments", "no-footer"):
+        assert html.main_text(f'<body><div class="{name}">{prose}</div><p>Copyright</p></body>').split("\n")[:6] == lines
+    inner = html.main_text(f'<article><h1>Title</h1><div class="text-sidebar">{prose}</div></article>').split("\n")
+    assert inner == ["Title", *lines]
+    assert html.main_text(f'<article>{prose}<div class="share"><p>Share this, if you like.</p></div></article>').split("\n") == lines
+
+
+def test_links_between_paragraphs_stay():
+    links = "".join(f'<li><a href="{k}">source {k}</a></li>' for k in range(3))
+    assert html.main_text(f"<article><p>First, of two.</p><ul>{links}</ul><p>Second, of two.</p></article>").split("\n") == ["First, of two.", "source 0", "source 1", "source 2", "Second, of two."]
+    assert html.main_text(f"<article><p>First, of two.</p><p>Second, of two.</p><ul>{links}</ul></article>").split("\n") == ["First, of two.", "Second, of two."]
+
+
+def test_columns_of_any_name_stay(spark):
+    names = "doc_id bigint, text string, `a.b` string, _letters string, _text string"
+    docs = spark.createDataFrame([(1, "Some words in a text.", "x", "y", "z"), (2, None, "x", "y", "z")], names)
+    model = langid.train(spark.createDataFrame([("words in a text", "en"), ("unas palabras", "es")], "text string, lang string"))
+    for got in (
+        langid.identify(docs, model),
+        tokencount.count_tokens(docs, [("▁", -1.0), ("a", -2.0)]),
+        quality.add_counts(docs),
+        quality.add_counts(docs, keep_text=False),
+        html.extract_main_text(docs.withColumnRenamed("text", "html")),
+    ):
+        assert [(r["a.b"], r["_letters"], r["_text"]) for r in got.collect()] == [("x", "y", "z")] * 2

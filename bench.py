@@ -42,7 +42,7 @@ def diffusion_grid(spark: SparkSession, d: str) -> DataFrame:
     parcels = fx.parcels_big(spark, d).select("pid")
     values = parcels.withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(89)))).select("e", "pid", hash_unit(1, F.col("pid"), F.col("e")).alias("v"))
     edges = distance.weighted(big_edges(spark, d), inverse_weight).select("src", "dst", "w")
-    return diffusion.diffuse(values, edges, ["e"], lam=0.6, n_iter=10)
+    return diffusion.diffuse(values, edges, ["e"], lam=0.6, n_iter=10, places=fx.parcels_big(spark, d))
 
 
 def score_metrics(spark: SparkSession, d: str) -> DataFrame:

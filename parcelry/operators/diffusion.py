@@ -1,23 +1,29 @@
 """Smoothing of scores over a neighbour graph, for any number of experiments at once.
 
 A step is linear: v' = lam v + (1 - lam) sum(w v_neighbour) / sum(w). Its coefficients are laid out once, a parcel's own as an edge to
-itself, so that a step reads the values once: one join on the neighbour, one weighted sum. A parcel's scores of PACKED
-experiments are one row, so that an edge moves few rows a step, and a step sums few columns.
+itself. Parcels lie in parts along a space-filling curve, so that most neighbours share a part; the edges of a part stay in their bucket, and a
+step moves values only, each to the parts that need it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.store import held
+from .prefix import with_running
 from .quantiles import quantiles
 
 PACKED = 16
+#: Edges of a part, each node counting as an edge more and as one for every eight experiments.
+PART_LOAD = 50_000
 
 
 def initial_values(nodes: DataFrame, predictions: DataFrame, by: Sequence[str], init: str = "prediction") -> DataFrame:
@@ -59,27 +65,70 @@ def one_step(now: DataFrame, coefs: DataFrame, keys: Sequence[str], shared: Sequ
     return both.select(*keys, "pid", *[F.when(F.col(f"_{v}").isin(0.0, 1.0), F.col(f"_{v}")).otherwise(F.col(v)).alias(v) for v in names])
 
 
-def diffuse(values: DataFrame, edges: DataFrame, by: Sequence[str], lam: float = 0.5, n_iter: int = 1, freeze_certain: bool = False, cut_every: int = 5, trace: bool = False) -> DataFrame:
+def diffuse(
+    values: DataFrame,
+    edges: DataFrame,
+    by: Sequence[str],
+    lam: float = 0.5,
+    n_iter: int = 1,
+    freeze_certain: bool = False,
+    cut_every: int = 5,
+    trace: bool = False,
+    places: DataFrame | None = None,
+    part_load: int = PART_LOAD,
+) -> DataFrame:
     """values (*by, pid, v) after n_iter steps of v' = lam v + (1 - lam) sum(w v_neighbour) / sum(w).
 
     edges: (src, dst, w). A node without neighbours keeps its value. freeze_certain keeps values of exactly 0 and 1.
     trace: the values after each step from 0 on, with `iter`. Every experiment must have a value for each of the nodes.
-    Values are written to the shared folder every cut_every steps, so that a lost executor costs few steps.
+    places: (pid, lat, lon), by which neighbours come to lie in the same part; without it nodes are dealt in the order of pid.
+
+    Nodes are dealt into parts of about part_load edges. A part's edges are written once, bucketed by part, and stay there. A step sends
+    a node's values, all experiments in one row, to its own part and to those with an edge to it; each part works out its nodes. Where a
+    node has more edges than a part may have, steps are joins with partial sums instead. Values are written to the shared
+    folder every cut_every steps, so that a lost executor costs few steps.
     """
+    spark = values.sparkSession
     numbered, n_experiments = numbered_experiments(values, by)
+    listed = F.sort_array(F.collect_list(F.struct("_k", "v")))
+    packed = values.join(F.broadcast(numbered), list(by)).filter(F.col("v").isNotNull()).groupBy("pid").agg(F.transform(listed, lambda x: x["v"]).alias("v"))
+    now = held(packed)
+    if not now.filter(F.size("v") != n_experiments).isEmpty():
+        raise ValueError("every experiment must have a value for each of the nodes")
+    coefs = held(coefficients(edges, now.select("pid"), F.lit(float(lam))))
+    degrees = held(coefs.groupBy(F.col("src").alias("pid")).agg(F.count("*").alias("load")))
+    if (degrees.agg(F.max("load")).first()[0] or 0) > part_load:
+        steps = _steps_by_joins(now, coefs, n_iter, n_experiments, freeze_certain, cut_every, trace)
+        return _opened(steps, numbered, by, trace)
+    table = f"parcelry_edges_{uuid.uuid4().hex}"
+    try:
+        parts = held(dealt(degrees.withColumn("load", F.col("load") + n_experiments // 8), places, part_load))
+        state = write_parts(now, coefs, parts, table)
+        chosen = state.withColumn("iter", F.lit(0))
+        for n in range(1, n_iter + 1):
+            state = part_step(state, spark.table(table), freeze_certain)
+            if trace or n == n_iter or n % cut_every == 0:
+                state = held(state)
+            if trace:
+                chosen = chosen.unionByName(state.withColumn("iter", F.lit(n)))
+        done = held((chosen if trace else state).filter("home").drop("part", "home"))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return _opened(done, numbered, by, trace)
+
+
+def _opened(rows: DataFrame, numbered: DataFrame, by: Sequence[str], trace: bool) -> DataFrame:
+    extra = ["iter"] if trace else []
+    opened = rows.select("pid", *extra, F.posexplode("v").alias("_k", "v"))
+    return opened.join(F.broadcast(numbered), "_k").select(*by, *extra, "pid", "v")
+
+
+def _steps_by_joins(now: DataFrame, coefs: DataFrame, n_iter: int, n_experiments: int, freeze_certain: bool, cut_every: int, trace: bool) -> DataFrame:
+    """(pid, v) after the steps, with iter if traced: rows of PACKED experiments, a join and a sum each step."""
     width = min(PACKED, n_experiments) or 1
     slots = [f"v{k}" for k in range(width)]
-    place = F.col("_k") % width
-    now = held(
-        values.join(F.broadcast(numbered), list(by))
-        .groupBy(F.floor(F.col("_k") / width).alias("_c"), "pid")
-        .agg(*[F.max(F.when(place == k, F.col("v"))).alias(s) for k, s in enumerate(slots)], F.count("v").alias("_n"))
-    )
-    seen = now.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.countDistinct("pid").alias("nodes")).first()
-    if seen["n"] != seen["nodes"] * n_experiments:
-        raise ValueError("every experiment must have a value for each of the nodes")
-    now = now.drop("_n")
-    coefs = held(coefficients(edges, now.select("pid").distinct(), F.lit(float(lam))))
+    wide = now.select("pid", F.posexplode("v").alias("_k", "v")).groupBy(F.floor(F.col("_k") / width).alias("_c"), "pid")
+    now = held(wide.agg(*[F.max(F.when(F.col("_k") % width == k, F.col("v"))).alias(s) for k, s in enumerate(slots)]))
     chosen = now.withColumn("iter", F.lit(0))
     for step in range(1, n_iter + 1):
         now = one_step(now, coefs, ["_c"], [], freeze_certain)
@@ -87,9 +136,79 @@ def diffuse(values: DataFrame, edges: DataFrame, by: Sequence[str], lam: float =
             now = held(now)
         if trace:
             chosen = chosen.unionByName(now.withColumn("iter", F.lit(step)))
-    extra = ["iter"] if trace else []
-    opened = (chosen if trace else now).select("pid", "_c", *extra, F.posexplode(F.array(*slots)).alias("_i", "v")).filter(F.col("v").isNotNull())
-    return opened.withColumn("_k", (F.col("_c") * width + F.col("_i")).cast("int")).join(F.broadcast(numbered), "_k").select(*by, *extra, "pid", "v")
+    rows, extra = (chosen, ["iter"]) if trace else (now, [])
+    lists = rows.groupBy("pid", *extra).agg(F.sort_array(F.collect_list(F.struct("_c", F.array_compact(F.array(*slots)).alias("v")))).alias("_x"))
+    return lists.select("pid", *extra, F.flatten(F.transform("_x", lambda x: x["v"])).alias("v"))
+
+
+def curve_key(lat: Column, lon: Column, low: Column, high: Column) -> Column:
+    """Place on a space-filling curve (Morton order, 16 bits a side) within the box from low to high, structs of lat and lon."""
+
+    def spread(x: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+        return x
+
+    side = lambda v, n: spread(F.coalesce(F.floor(F.least(F.try_divide(v - low[n], high[n] - low[n]), F.lit(1.0)) * 65535), F.lit(0)).cast("bigint"))
+    return side(lat, "lat").bitwiseOR(F.shiftleft(side(lon, "lon"), 1))
+
+
+def dealt(degrees: DataFrame, places: DataFrame | None, part_load: int) -> DataFrame:
+    """(pid, part) from (pid, load): runs of nodes along the curve, or by pid, with about part_load each."""
+    order = [F.col("pid")]
+    if places is not None:
+        box = places.agg(*[F.struct(f("lat").alias("lat"), f("lon").alias("lon")).alias(n) for n, f in (("_low", F.min), ("_high", F.max))])
+        keyed = places.select("pid", "lat", "lon").crossJoin(F.broadcast(box))  # one row
+        keyed = keyed.select("pid", curve_key(F.col("lat"), F.col("lon"), F.col("_low"), F.col("_high")).alias("_at"))
+        degrees = held(degrees.join(keyed, "pid", "left"))
+        order = [F.col("_at"), F.col("pid")]
+    return with_running(degrees, [], order, ["load"]).select("pid", F.floor((F.col("cum_load") - 1) / part_load).alias("part"))
+
+
+def write_parts(now: DataFrame, coefs: DataFrame, parts: DataFrame, table: str) -> DataFrame:
+    """The edges as a table bucketed by the part of their src, and the first values: a row for each part that needs the node.
+
+    A node's own edge lists the other parts that have an edge to it.
+    """
+    placed = held(coefs.join(parts.withColumnRenamed("pid", "src"), "src"))
+    abroad = placed.filter(~F.col("own")).select("dst", "part").distinct().join(parts.select(F.col("pid").alias("dst"), F.col("part").alias("_home")), "dst")
+    wanted = held(abroad.filter("part <> _home").groupBy("dst").agg(F.sort_array(F.collect_list("part")).alias("others")))
+    own = placed.filter("own").join(wanted.withColumnRenamed("dst", "src"), "src", "left").select("part", "src", "dst", "coef", "own", F.coalesce("others", F.expr("cast(array() as array<bigint>)")).alias("others"))
+    others = placed.filter("NOT own").select("part", "src", "dst", "coef", "own", F.lit(None).cast("array<bigint>").alias("others"))
+    buckets = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own.unionByName(others).repartition(buckets, "part").write.bucketBy(buckets, "part").saveAsTable(table)
+    first = now.join(parts, "pid").join(wanted.withColumnRenamed("dst", "pid"), "pid", "left")
+    to = F.explode(F.concat(F.array("part"), F.coalesce("others", F.expr("cast(array() as array<bigint>)"))))
+    return held(first.select("pid", "v", F.col("part").alias("_home"), to.alias("part")).select("part", "pid", "v", (F.col("part") == F.col("_home")).alias("home")))
+
+
+def part_step(state: DataFrame, edges: DataFrame, freeze_certain: bool) -> DataFrame:
+    """state (part, pid, v, home) after a step; the edges stay where they are."""
+
+    def step(key: tuple, values: pa.Table, edges: pa.Table) -> pa.Table:
+        pid = values["pid"].to_numpy()
+        width = len(values["v"][0]) if values.num_rows else 0
+        v = values["v"].combine_chunks().flatten().to_numpy().reshape(-1, width) if values.num_rows else np.zeros((0, 0))
+        by_pid = np.argsort(pid, kind="stable")
+        edges = edges.sort_by("src")
+        src, dst, coef = (edges[c].to_numpy() for c in ("src", "dst", "coef"))
+        place = lambda ids: by_pid[np.searchsorted(pid, ids, sorter=by_pid)]
+        nodes, first = np.unique(src, return_index=True)
+        after = np.add.reduceat(coef[:, None] * v[place(dst)], first, axis=0) if len(src) else v[:0]
+        if freeze_certain and len(src):
+            before = v[place(nodes)]
+            after = np.where((before == 0) | (before == 1), before, after)
+        own = edges.filter(edges["own"])  # one for each node, in their order
+        lists = own["others"].combine_chunks()
+        counts = np.diff(lists.offsets.to_numpy()) if len(nodes) else np.zeros(0, int)
+        at = np.concatenate((np.arange(len(nodes)), np.repeat(np.arange(len(nodes)), counts)))
+        part = np.concatenate((np.full(len(nodes), key[0].as_py()), lists.flatten().to_numpy().astype(np.int64) if len(nodes) else np.zeros(0, np.int64)))
+        flat = after[at]
+        offsets = pa.array(np.arange(len(at) + 1) * flat.shape[1], pa.int32())
+        made = {"part": part, "pid": pa.array(nodes).cast(values["pid"].type).take(pa.array(at)), "v": pa.ListArray.from_arrays(offsets, pa.array(flat.ravel(), pa.float64())), "home": np.arange(len(at)) < len(nodes)}
+        return pa.table(made)
+
+    return state.groupBy("part").cogroup(edges.groupBy("part")).applyInArrow(step, state.schema)
 
 
 def numbered_experiments(values: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int]:

@@ -7,38 +7,52 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import haversine_km
+from ..functions import EARTH_KM, haversine_km
 from ..sources.store import held
 
 KM_PER_DEGREE = 111.194
 
 
-def with_cells(points: DataFrame, limit_km: float) -> DataFrame:
-    """points with grid cells cx, cy at least limit_km wide everywhere (away from the poles and the 180th meridian)."""
-    widest = points.agg(F.max(F.abs("lat")).alias("_top"))
-    scale = F.cos(F.radians(F.col("_top"))) * KM_PER_DEGREE
-    return (
-        points.crossJoin(F.broadcast(widest))
-        .withColumn("cx", F.floor(F.col("lon") * scale / limit_km))
-        .withColumn("cy", F.floor(F.col("lat") * KM_PER_DEGREE / limit_km))
-        .drop("_top")
-    )
+def with_place(points: DataFrame) -> DataFrame:
+    """points with their place on the sphere, x, y, z in kilometres from its centre."""
+    lat, lon = F.radians("lat"), F.radians("lon")
+    return points.withColumns({"x": EARTH_KM * F.cos(lat) * F.cos(lon), "y": EARTH_KM * F.cos(lat) * F.sin(lon), "z": EARTH_KM * F.sin(lat)})
+
+
+def cell_of(size: Column | float) -> list[Column]:
+    """The cube of edge `size` that holds x, y, z."""
+    return [F.floor(F.col(c) / size) for c in ("x", "y", "z")]
+
+
+def cells_within(reach: Column | float, size: Column | float) -> Column:
+    """The cubes of edge `size` that come within `reach` of x, y, z and meet the sphere, as structs x, y, z."""
+    axis = lambda c: F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size))
+    gap = lambda i, c: F.greatest(i * size - F.col(c), F.col(c) - (i + 1) * size, F.lit(0.0))
+    least = lambda i: F.when(i < 0, -(i + 1) * size).otherwise(i * size)
+    most = lambda i: F.greatest(F.abs(i * size), F.abs((i + 1) * size))
+    square = lambda f, *xs: sum((f(x) * f(x) for x in xs[1:]), f(xs[0]) * f(xs[0]))
+    cubes = F.flatten(F.transform(axis("x"), lambda i: F.flatten(F.transform(axis("y"), lambda j: F.transform(axis("z"), lambda k: F.struct(i.alias("x"), j.alias("y"), k.alias("z")))))))
+    near = lambda c: gap(c["x"], "x") ** 2 + gap(c["y"], "y") ** 2 + gap(c["z"], "z") ** 2 <= reach * reach
+    meets = lambda c: (square(least, c["x"], c["y"], c["z"]) <= EARTH_KM**2 * (1 + 1e-9)) & (square(most, c["x"], c["y"], c["z"]) >= EARTH_KM**2 * (1 - 1e-9))
+    return F.filter(cubes, lambda c: near(c) & meets(c))
 
 
 def radius_join(points: DataFrame, limit_km: float = 0.5, include_self: bool = False, others: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
-    """(src, dst, dist_km) with dist < limit_km, by an equi-join on grid cells: each source looks into its 3 x 3 cells.
+    """(src, dst, dist_km) with dist < limit_km, by an equi-join on cubes in space: each source looks into the cubes its sphere reaches.
 
-    sources, others: the pids that may be src, or dst; all by default. The pairs of a cell grow with its density, as the result does; a dense cell's join partition is split by AQE.
+    Points closer than limit_km on the ground are closer still in a straight line, so that nothing is lost at the poles or across the
+    180th meridian. sources, others: the pids that may be src, or dst; all by default. The pairs of a cube grow with its density, as the
+    result does; a dense cube's join partition is split by AQE.
     """
-    around = F.sequence(F.lit(-1), F.lit(1))
-    slim = with_cells(points.select("pid", "lat", "lon"), limit_km)
+    size = min(limit_km, 2 * EARTH_KM) * (1 + 1e-9) + 1e-6
+    slim = with_place(points.select("pid", "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL"))
     src = slim if sources is None else slim.join(sources.select("pid"), "pid", "left_semi")
-    src = src.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
-    src = src.select(F.col("pid").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.col("cx") + F.col("_i")).alias("cx"), (F.col("cy") + F.col("_j")).alias("cy"))
-    dst = slim.select(F.col("pid").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "cx", "cy")
+    src = src.select(F.col("pid").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(cells_within(F.lit(size), F.lit(size))).alias("_c"))
+    src = src.select("src", "lat1", "lon1", *[F.col(f"_c.{c}").alias(f"c{c}") for c in "xyz"])
+    dst = slim.select(F.col("pid").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[c.alias(f"c{n}") for n, c in zip("xyz", cell_of(F.lit(size)), strict=True)])
     if others is not None:
         dst = dst.join(others.select(F.col("pid").alias("dst")), "dst", "left_semi")
-    pairs = src.join(dst, ["cx", "cy"]).withColumn("dist_km", haversine_km(*[F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]))
+    pairs = src.join(dst, ["cx", "cy", "cz"]).withColumn("dist_km", haversine_km(*[F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]))
     near = pairs.filter(F.col("dist_km") < limit_km)
     return (near if include_self else near.filter("src <> dst")).select("src", "dst", "dist_km")
 

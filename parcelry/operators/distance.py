@@ -110,6 +110,60 @@ def nearest(edges: DataFrame, k: int, dist: str = "dist_km", drop_zero: bool = F
     return kept.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def nearest_within(points: DataFrame, k: int, limit_km: float = 0.5, crowd: int = 16) -> DataFrame:
+    """(src, dst, dist_km, rank): nearest(radius_join(points, limit_km), k), from pairs that follow k and not the density.
+
+    Cubes are halved level by level. At each level a point meets of every cube within its reach the count and k + 1 of its points, those of
+    the lowest pid; the k-th of their distances is the reach it goes on with, into the occupied halves of the cubes that are left. A
+    point with no more than crowd (k + 1) points left in its cubes meets them all. Points in one place count as k + 1 of them.
+    """
+    size, most = min(limit_km, 2 * EARTH_KM) * (1 + 1e-9) + 1e-6, k + 1
+    places = held(with_place(points.select("pid", "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL")))
+    cube, own = ["cx", "cy", "cz"], ["src", "lat1", "lon1", "x", "y", "z"]
+    dist = lambda lat, lon: haversine_km(F.col("lat1"), F.col("lon1"), lat, lon)
+
+    def level(size: float) -> tuple[DataFrame, DataFrame]:
+        """The points with their cubes, of those in one place most, and the cubes: n, and the first points."""
+        inside = places.withColumns(dict(zip(cube, cell_of(F.lit(size)), strict=True)))
+        rank = F.row_number().over(Window.partitionBy(*cube).orderBy("pid"))
+        first = inside.withColumn("_r", rank).filter(F.col("_r") <= most).groupBy(*cube).agg(F.collect_list(F.struct("pid", "lat", "lon")).alias("first"))
+        ends = inside.groupBy(*cube).agg(F.count("*").alias("n"), *[f(c).alias(f"{n}{c}") for c in ("lat", "lon") for n, f in (("a", F.min), ("b", F.max))])
+        cubes = ends.join(first, cube).withColumn("one", (F.col("alat") == F.col("blat")) & (F.col("alon") == F.col("blon")))
+        cubes = held(cubes.select(*cube, F.when(F.col("one"), F.least("n", F.lit(most))).otherwise(F.col("n")).alias("n"), "one", "first"))
+        return inside, cubes
+
+    inside, cubes = level(size)
+    source = places.select(F.col("pid").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "x", "y", "z")
+    state = source.select(*own, F.explode(cells_within(F.lit(size), F.lit(size))).alias("_c")).select(*own, *[F.col(f"_c.{c}").alias(f"c{c}") for c in "xyz"])
+    pairs = None
+    while True:
+        met = held(state.join(cubes, cube).select(*own, *cube, "n", "one", "first"))
+        told = met.select(*own, F.explode("first").alias("_f")).filter(F.col("_f.pid") != F.col("src")).select("src", dist(F.col("_f.lat"), F.col("_f.lon")).alias("_d"))
+        nearest_ = told.groupBy("src").agg(F.sort_array(F.collect_list("_d")).alias("_d"))
+        reach = nearest_.select("src", F.least(F.when(F.size("_d") >= k, F.element_at("_d", F.least(F.size("_d"), F.lit(k)))), F.lit(float(limit_km))).alias("reach"))
+        gap = lambda c: F.greatest(F.col(f"c{c}") * size - F.col(c), F.col(c) - (F.col(f"c{c}") + 1) * size, F.lit(0.0))  # noqa: E731, B023
+        straight = F.sqrt(gap("x") * gap("x") + gap("y") * gap("y") + gap("z") * gap("z"))
+        left = met.drop("first").join(reach, "src").filter(straight <= F.col("reach") * (1 + 1e-9) + 1e-6)
+        totals = left.groupBy("src").agg(F.sum("n").alias("total"))
+        left = held(left.join(totals, "src"))
+        small = F.col("total") <= crowd * most
+        last = size < 1e-6
+        ready = left if last else left.filter(small)
+        dense = inside.withColumn("_r", F.row_number().over(Window.partitionBy(*cube).orderBy("pid"))).filter(F.col("_r") <= most).drop("_r")
+        slim = lambda d: d.select(F.col("pid").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *cube)
+        whole = ready.filter(~F.col("one")).join(slim(inside), cube).unionByName(ready.filter("one").join(slim(dense), cube))
+        made = held(whole.filter("src <> dst").select("src", "dst", dist(F.col("lat2"), F.col("lon2")).alias("dist_km")).filter(F.col("dist_km") < limit_km))
+        pairs = made if pairs is None else pairs.unionByName(made)
+        if last or left.filter(~small).isEmpty():
+            return nearest(pairs, k)
+        halves = F.array(F.lit(0), F.lit(1))
+        state = left.filter(~small).select(*own, *cube)
+        for c in cube:
+            state = state.withColumn("_h", F.explode(halves)).withColumn(c, F.col(c) * 2 + F.col("_h")).drop("_h")
+        size /= 2
+        inside, cubes = level(size)
+
+
 def nearest_any(points: DataFrame, k: int, start_km: float = 0.5) -> DataFrame:
     """k nearest of every point however sparse; fewer only where there are fewer points.
 

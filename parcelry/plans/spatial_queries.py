@@ -131,7 +131,7 @@ def c20_edge_list(spark, d):
 
 @query(f"SELECT src, dst, {R('dist_km')}, rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist_km, dst) AS rank FROM edges) WHERE rank <= 5")
 def c21_neighbours(spark, d):
-    return distance.nearest(fx.edges(spark, d), 5)
+    return distance.nearest_within(fx.parcels(spark, d), 5, fx.limit_km(spark, d))
 
 
 @query(f"SELECT src, dst, {R('dist_km')}, {R('1/(1+dist_km)', 'linear')}, {R('1/(1+sqrt(dist_km))', 'root')}, {R('exp(-dist_km/0.3e0)', 'fall')} FROM edges")

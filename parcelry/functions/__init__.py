@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -35,13 +36,20 @@ def hash_unit(seed: int, *cols: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def beta_score(kind: str, seed: int, *cols: Column) -> Column:
-    """Random scores with the Beta(1,1), Beta(2,2) or Beta(.5,.5) distribution: `flat`, `middle`, `ends`."""
-    u = hash_unit(seed, *cols)
+def arithmetic_unit(seed: int, key: Column) -> Column:
+    """A number in [0, 1) from a whole-number key by plain arithmetic, which SQL can follow: a fifth power modulo 1,000,003, which repeats no value."""
+    x = F.pmod(key * 7919 + seed * 104729 + 4074, F.lit(1_000_003))
+    square = F.pmod(x * x, F.lit(1_000_003))
+    return F.pmod(F.pmod(square * square, F.lit(1_000_003)) * x, F.lit(1_000_003)) / F.lit(1_000_003.0)
+
+
+def beta_score(kind: str, seed: int, *cols: Column, unit: Callable[..., Column] = hash_unit) -> Column:
+    """Random scores with the Beta(1,1), Beta(2,2) or Beta(.5,.5) distribution: `flat`, `middle`, `ends`. unit: the uniform numbers."""
+    u = unit(seed, *cols)
     if kind == "flat":
         return u
     if kind == "middle":  # the median of three uniforms
-        v, w = hash_unit(seed + 1, *cols), hash_unit(seed + 2, *cols)
+        v, w = unit(seed + 1, *cols), unit(seed + 2, *cols)
         return F.greatest(F.least(u, v), F.least(F.greatest(u, v), w))
     if kind == "ends":  # the arcsine law
         return F.pow(F.sin(F.lit(3.141592653589793) * u / 2), 2)

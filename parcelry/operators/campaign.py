@@ -95,7 +95,7 @@ def campaign(
 
     Visits of tiles go by sweep, then most digs first, then `tie` ('id' or 'hash'). A tile chosen by another score takes a batch
     number also where nothing in it is over the threshold. Visits are few beside parcels: they are ranked first, and
-    parcels numbered inside their visit, so no task sorts a whole experiment.
+    parcels numbered inside their visit by ranges, so no task sorts a whole experiment, nor a tile that holds most of one.
     """
     by = list(by)
     sweeps = schedule(threshold_init, threshold_increment, min_digs, min_digs_increment)
@@ -114,9 +114,9 @@ def campaign(
         F.coalesce(F.sum("_digs").over(before), F.lit(0)).alias("_digs0"),
         F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_hits0"),
     )
-    inside = Window.partitionBy(*by, "_sweep", "tile_id").orderBy(F.desc(prob), "pid")
-    held = dug.withColumn("_n", F.row_number().over(inside)).withColumn("_h", F.sum("label").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = held.join(visits, [*by, "_sweep", "tile_id"])
+    visit = [*by, "_sweep", "tile_id"]
+    numbered = with_running(dug, visit, [F.desc(prob), F.col("pid")], ["label"], position="_n").withColumnRenamed("cum_label", "_h")
+    joined = numbered.join(visits, visit)
     thresholds = F.array(*[F.lit(float(t)) for t, _ in sweeps])
     return joined.select(
         *df.columns,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import bucketed
+from .prefix import with_running
 from .quantiles import quantiles, with_quantiles
 
 
@@ -21,9 +22,12 @@ def comparison(dug_a: DataFrame, dug_b: DataFrame, location: DataFrame | None =
 
 def within_tile(table: DataFrame) -> DataFrame:
     """table with the parcel's rank in its tile under each strategy, the change, and the tile's size."""
-    rank = lambda s: F.row_number().over(Window.partitionBy("tile_id").orderBy(f"dig_{s}")) - 1
-    ranked = table.withColumn("tile_rank_a", rank("a")).withColumn("tile_rank_b", rank("b"))
-    return ranked.withColumn("tile_change", F.col("tile_rank_a") - F.col("tile_rank_b")).withColumn("tile_size", F.count("*").over(Window.partitionBy("tile_id")))
+    ranked = table
+    for s in ("a", "b"):
+        ranked = with_running(ranked, ["tile_id"], [F.col(f"dig_{s}"), F.col("pid")], position="_at").withColumn(f"tile_rank_{s}", F.col("_at") - 1).drop("_at")
+    sizes = table.groupBy("tile_id").agg(F.count("*").alias("tile_size"))
+    changed = ranked.withColumn("tile_change", F.col("tile_rank_a") - F.col("tile_rank_b")).join(sizes, "tile_id")
+    return changed.select(*ranked.columns, "tile_change", "tile_size")
 
 
 def mean_by(table: DataFrame, by: str, cols: Sequence[str]) -> DataFrame:

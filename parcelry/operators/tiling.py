@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import held
+from .prefix import with_running
 from .quantiles import quantiles, with_quantiles
 
 KM_PER_DEGREE = 111.194
@@ -68,12 +70,37 @@ def squares(points: DataFrame, resolutions: Sequence[int]) -> DataFrame:
 def ready_made(df: DataFrame, col: str, key: str = "pid") -> DataFrame:
     """(pid, tile_id) from any column; numbers from 0 in the order of its values."""
     values = df.select(col).distinct().filter(F.col(col).isNotNull())
-    from pyspark.sql import Window
-
-    numbered = values.withColumn("tile_id", (F.row_number().over(Window.orderBy(col)) - 1).cast("bigint"))
+    numbered = held(with_running(values, [], [F.col(col)]).select(col, (F.col("pos") - 1).alias("tile_id")))
     return df.select(key, col).join(F.broadcast(numbered) if numbered.count() < 100_000 else numbered, col).select(key, "tile_id")
 
 
+def square_table(tiles: DataFrame, points: DataFrame) -> DataFrame:
+    """One row per occupied square: parcels, centre, area and corners as WKT (degrees)."""
+    info = projected(points, [1]).select("w").limit(1).withColumnRenamed("w", "_extent").crossJoin(bounds(points))
+    cells = tiles.groupBy("resolution", "tile_id", "q", "r").agg(F.count("*").alias("n_parcels"))
+    flat = cells.crossJoin(F.broadcast(info)).withColumn("s", F.col("_extent") / F.col("resolution"))
+    scale = F.cos(F.radians((F.col("min_lat") + F.col("max_lat")) / 2))
+    lon = lambda k: F.col("min_lon") + (F.col("q") + k) * F.col("s") / scale
+    lat = lambda k: F.col("min_lat") + (F.col("r") + k) * F.col("s")
+    ring = F.concat_ws(", ", *[F.format_string("%.5f %.5f", lon(i), lat(j)) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    area = F.pow(F.col("s") * KM_PER_DEGREE, 2)
+    return flat.select("resolution", "tile_id", "n_parcels", lon(0.5).alias("cx"), lat(0.5).alias("cy"), area.alias("area_km2"), F.concat(F.lit("POLYGON (("), ring, F.lit("))")).alias("wkt"))
+
+
+def block_table(tiles: DataFrame, points: DataFrame) -> DataFrame:
+    """One row per ready-made tile: parcels, their mean place, and the box around them with its area."""
+    found = tiles.select("pid", "tile_id").join(points.select("pid", "lat", "lon"), "pid").groupBy("tile_id")
+    ends = [f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max))]
+    boxes = found.agg(F.count("*").alias("n_parcels"), F.avg("lon").alias("cx"), F.avg("lat").alias("cy"), *ends)
+    width = (F.col("max_lon") - F.col("min_lon")) * F.cos(F.radians((F.col("min_lat") + F.col("max_lat")) / 2))
+    return boxes.withColumn("area_km2", width * (F.col("max_lat") - F.col("min_lat")) * KM_PER_DEGREE**2)
+
+
+def with_tile_stats(tiles: DataFrame, stats: DataFrame) -> DataFrame:
+    """The statistics of its tile beside each parcel; tiles without statistics have nulls."""
+    return tiles.join(stats, ["resolution", "tile_id"], "left")
+
+
 def tile_table(tiles: DataFrame, points: DataFrame) -> DataFrame:
     """One row per occupied hexagon: parcels, centre and corners as WKT (degrees)."""
     info = projected(points, [1]).select("w").limit(1).withColumnRenamed("w", "_extent").crossJoin(bounds(points))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import beta_score
+from ..functions import arithmetic_unit, beta_score
 from ..operators import prepare as p
 from . import fixtures as fx
 from .registry import R, query
@@ -170,7 +170,13 @@ def b28_union(spark, d):
     return rows.filter("role = 'train'").unionByName(rows.filter("role = 'test'"))
 
 
-@query()
+def unit_sql(seed: int) -> str:
+    x = f"((pid*7919 + {seed}*104729 + 4074) % 1000003)"
+    return f"((((({x}*{x}) % 1000003) * (({x}*{x}) % 1000003)) % 1000003) * {x}) % 1000003 / 1000003e0"
+
+
+@query(f"""SELECT pid, {R('u', 'flat')}, {R('greatest(least(u, v), least(greatest(u, v), w))', 'middle')}, {R('pow(sin(3.141592653589793e0*u/2), 2)', 'ends')}
+FROM (SELECT pid, {unit_sql(3)} AS u, {unit_sql(4)} AS v, {unit_sql(5)} AS w FROM parcels)""")
 def b29_random_scores(spark, d):
     rows = fx.parcels(spark, d).select("pid")
-    return rows.select("pid", *[beta_score(k, 3, F.col("pid")).alias(k) for k in ("flat", "middle", "ends")])
+    return rows.select("pid", *[beta_score(k, 3, F.col("pid"), unit=arithmetic_unit).alias(k) for k in ("flat", "middle", "ends")])

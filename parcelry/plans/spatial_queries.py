@@ -42,6 +42,21 @@ def c5_tile_table(spark, d):
     return tiling.tile_table(fx.tiles(spark, d), fx.parcels(spark, d)).drop("wkt")
 
 
+@query(f"""SELECT resolution, (q + resolution + 2) * (4*resolution + 8) + (r + resolution + 2) AS tile_id, n_parcels, {R('min_lon + (q + 0.5e0) * s / k', 'cx')}, {R('min_lat + (r + 0.5e0) * s', 'cy')}, {R('pow(s*111.194e0, 2)', 'area_km2')}
+FROM (SELECT t.*, b.*, greatest((max_lon - min_lon)*k, max_lat - min_lat) / resolution AS s FROM (SELECT resolution, floor(x/w)::BIGINT AS q, floor(y/w)::BIGINT AS r, count(*) AS n_parcels FROM proj_parcels GROUP BY ALL) t,
+  (SELECT *, cos(radians((min_lat + max_lat) / 2)) AS k FROM (SELECT min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS min_lon, max(lon) AS max_lon FROM parcels)) b)""")
+def c5_square_table(spark, d):
+    points = fx.parcels(spark, d)
+    return tiling.square_table(tiling.squares(points, fx.RESOLUTIONS), points).drop("wkt")
+
+
+@query(f"""SELECT dense_rank() OVER (ORDER BY tract) - 1 AS tile_id, n_parcels, {R('cx')}, {R('cy')}, {R('(b - a) * cos(radians((c + e) / 2)) * (e - c) * pow(111.194e0, 2)', 'area_km2')}
+FROM (SELECT tract, count(*) AS n_parcels, avg(lon) AS cx, avg(lat) AS cy, min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS e FROM parcels GROUP BY tract)""")
+def c5_block_table(spark, d):
+    points = fx.parcels(spark, d)
+    return tiling.block_table(tiling.ready_made(points, "tract"), points).select("tile_id", "n_parcels", "cx", "cy", "area_km2")
+
+
 @query("""WITH cells AS (SELECT DISTINCT resolution, tile_id, q, r FROM (SELECT * FROM tiles)) SELECT a.resolution, a.tile_id AS src, b.tile_id AS dst FROM cells a JOIN cells b ON a.resolution = b.resolution
 AND (b.q - a.q, b.r - a.r) IN ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))""")
 def c6_adjacency(spark, d):

@@ -56,6 +56,42 @@ def beta_score(kind: str, seed: int, *cols: Column, unit: Callable[..., Column]
     raise ValueError(kind)
 
 
+def log_gamma(x: Column) -> Column:
+    """Stirling's series for x > 0, eight steps up."""
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+    product = reduce(lambda a, k: a * (x + k), range(1, 8), x)
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(product)
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, steps: int = 400) -> Column:
+    """The regularised incomplete beta function by its continued fraction, on the side where that converges fast."""
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, z = F.when(flip, b).otherwise(a), F.when(flip, a).otherwise(b), F.when(flip, 1 - x).otherwise(x)
+    safe = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+    args = F.struct(p.cast("double").alias("p"), q.cast("double").alias("q"), z.cast("double").alias("z"))
+
+    def go(acc: Column, m: Column) -> Column:
+        p, q, z = acc["p"], acc["q"], acc["z"]
+        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        d1, c1 = 1 / safe(1 + even * acc["d"]), safe(1 + even / acc["c"])
+        d2, c2 = 1 / safe(1 + odd * d1), safe(1 + odd / c1)
+        return F.struct(p.alias("p"), q.alias("q"), z.alias("z"), c2.alias("c"), d2.alias("d"), (acc["h"] * d1 * c1 * d2 * c2).alias("h"))
+
+    d0 = 1 / safe(1 - (args["p"] + args["q"]) * args["z"] / (args["p"] + 1))
+    start = F.struct(args["p"].alias("p"), args["q"].alias("q"), args["z"].alias("z"), F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+    fraction = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, go, lambda acc: acc["h"])
+    front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(z) + q * F.log(1 - z)) / p
+    value = F.when(z <= 0, F.lit(0.0)).otherwise(front * fraction)
+    return F.when(flip, 1 - value).otherwise(value)
+
+
+def t_tail(t: Column, degrees: Column) -> Column:
+    """Probability of a t statistic at least as far from 0, either way."""
+    return incomplete_beta(degrees / 2, F.lit(0.5), degrees / (degrees + t * t))
+
+
 def half_even(p: Column) -> Column:
     """0 or 1: the rounded probability, 0.5 to 0."""
     return F.bround(p).cast("int")

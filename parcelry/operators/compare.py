@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import t_tail
+from ..sources.store import held
 from .metrics import bucketed
 from .prefix import with_running
 from .quantiles import quantiles, with_quantiles
@@ -72,20 +74,24 @@ def tract_report(parcels: DataFrame, table: DataFrame, cols: Sequence[str], by:
     return means.join(table.groupBy(by).agg(F.avg("dig_change").alias("mean_shift")), by, "left")
 
 
-def _ranks(df: DataFrame, col: str) -> DataFrame:
-    """Mean ranks; df is one row per tract or less."""
-    w = Window.orderBy(col)
-    return df.withColumn(f"_r_{col}", F.rank().over(w) + (F.count("*").over(Window.partitionBy(col)) - 1) / 2)
+def _mean_ranks(rows: DataFrame, col: str, name: str) -> DataFrame:
+    """rows with the mean rank of col within each feature, from running counts of its distinct values."""
+    counts = rows.groupBy("feature", col).agg(F.count("*").alias("_c"))
+    ranked = with_running(counts, ["feature"], [F.col(col)], ["_c"])
+    return rows.join(ranked.select("feature", col, (F.col("cum__c") - (F.col("_c") - 1) / 2).alias(name)), ["feature", col])
 
 
 def spearman(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """(feature, n, rho, t): rank correlation of each feature with the target over rows where both are present, and its t statistic."""
-    out = None
-    for f in features:
-        ranked = _ranks(_ranks(df.filter(F.col(f).isNotNull() & F.col(target).isNotNull()), f), target)
-        one = ranked.agg(F.lit(f).alias("feature"), F.count("*").alias("n"), F.corr(f"_r_{f}", f"_r_{target}").alias("rho"))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.greatest(F.col("n") - 2, F.lit(0)), 1 - F.col("rho") * F.col("rho"))))
+    """(feature, n, rho, t, p): rank correlation of each feature with the target over rows where both are present, its t statistic, and how
+    likely one as large is without any relation. All features in one plan; ties share their mean rank."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])
+    rows = df.select(F.explode(pairs).alias("_x"), F.col(target).cast("double").alias("w")).select("_x.*", "w").filter("v IS NOT NULL AND w IS NOT NULL")
+    ranked = _mean_ranks(_mean_ranks(held(rows), "v", "_rv"), "w", "_rw")
+    out = ranked.groupBy("feature").agg(F.count("*").alias("n"), F.corr("_rv", "_rw").alias("rho"))
+    named = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    out = named.join(out, "feature", "left").select("feature", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "rho")
+    out = out.withColumn("t", F.col("rho") * F.sqrt(F.try_divide(F.greatest(F.col("n") - 2, F.lit(0)), 1 - F.col("rho") * F.col("rho"))))
+    return out.withColumn("p", F.when(F.abs("rho") >= 1, F.lit(0.0)).when(F.col("n") > 2, t_tail(F.col("t"), F.col("n") - 2)))
 
 
 def worthy_tracts(parcels: DataFrame, by: str = "tract", excluded: Sequence[str] = ()) -> DataFrame:

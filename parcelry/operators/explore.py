@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +41,40 @@ def rate_in(df: DataFrame, bands: dict[str, Column], label: str = "label") -> Da
     return df.agg(*[F.avg(F.when(cond, F.col(label))).alias(name) for name, cond in bands.items()])
 
 
+#: Columns of a block of the product matrix.
+BLOCK = 16
+
+
 def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(a, b, corr) for each pair of columns, in one pass."""
-    pairs = list(combinations(cols, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("corr")) for a, b in pairs])
-    return wide.select(F.explode(rows).alias("x")).select("x.*")
+    """(a, b, corr) for each pair of columns, over rows where both are present.
+
+    The columns' means are taken off in a pass before, against cancellation. Each task sums the products of blocks of columns over its
+    rows, and what is shuffled are these sums, a row for each pair and task.
+    """
+    means = df.agg(*[F.avg(c).alias(f"_{k}") for k, c in enumerate(cols)]).first()
+    centred = df.select(F.array(*[(F.col(c) - F.lit(means[k])).cast("double") for k, c in enumerate(cols)]).alias("v"))
+    n = len(cols)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, n, n))
+        for batch in batches:
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            there = ~np.isnan(v)
+            x, m = np.where(there, v, 0.0), there.astype(float)
+            for i in range(0, n, BLOCK):
+                for j in range(i, n, BLOCK):
+                    one, two = slice(i, i + BLOCK), slice(j, j + BLOCK)
+                    for k, (p, q) in enumerate(((m, m), (x, m), (m, x), (x * x, m), (m, x * x), (x, x))):
+                        sums[k, one, two] += np.einsum("ri,rj->ij", p[:, one], q[:, two])
+        i, j = np.triu_indices(n, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *[pa.array(s[i, j]) for s in sums]], names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"])
+
+    parts = centred.mapInArrow(products, "i bigint, j bigint, n double, sx double, sy double, sxx double, syy double, sxy double")
+    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    spread = (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")) * (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n"))
+    corr = F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.sqrt(F.greatest(spread, F.lit(0.0))))
+    names = F.array(*[F.lit(c) for c in cols])
+    return s.select(F.get(names, F.col("i").cast("int")).alias("a"), F.get(names, F.col("j").cast("int")).alias("b"), corr.alias("corr"))
 
 
 def largest_tile(tiles: DataFrame, by: Sequence[str] = ("resolution",)) -> DataFrame:

@@ -85,7 +85,7 @@ def rho_sql(f: str) -> str:
 def g9_spearman(spark, d):
     rows = fx.parcels(spark, d).join(compared(spark, d).select("pid", "dig_change"), "pid", "left")
     means = rows.groupBy("precinct").agg(F.avg("year_built").alias("year_built"), F.avg("bldg_value").alias("bldg_value"), F.avg("dig_change").alias("shift"))
-    return compare.spearman(means, ["year_built", "bldg_value"], "shift")
+    return compare.spearman(means, ["year_built", "bldg_value"], "shift").drop("p")
 
 
 @query("SELECT precinct::VARCHAR AS precinct, count(*) AS n_parcels FROM parcels WHERE precinct <> 7 GROUP BY precinct HAVING count(*) > 1")
@@ -176,6 +176,13 @@ def h8_correlations(spark, d):
     return explore.correlations(fx.parcels(spark, d), ["lat", "lon", "year_built", "bldg_value"])
 
 
+@query(f"""WITH v AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT 'f' || a.k AS a, 'f' || b.k AS b, {R('corr(a.x, b.x)', 'corr')} FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.k < b.k GROUP BY a.k, b.k""")
+def h8_all_correlations(spark, d):
+    """Every pair of the 64 columns."""
+    return explore.correlations(fx.features(spark, d), [f"f{k}" for k in range(fx.EMBEDDED)])
+
+
 @query(f"SELECT label, {R('avg(lat)', 'lat')}, {R('avg(year_built)', 'year_built')}, {R('avg(bldg_value)', 'bldg_value')} FROM parcels JOIN labels USING (pid) GROUP BY label")
 def h9_group_means(spark, d):
     return compare.mean_by(fx.parcels(spark, d).join(fx.labels(spark, d), "pid"), "label", ["lat", "year_built", "bldg_value"])

@@ -132,3 +132,31 @@ def test_tuning_by_powers(spark):
         if r["split"] in (0, 17):
             assert r["v"] == pytest.approx(want[r["graph"], r["weight"], r["k"], r["lam"], r["split"]][r["pid"]], abs=1e-12)
     assert statistics.fmean(r["v"] for r in got) > 0
+
+
+def test_p_values(spark):
+    """Two-sided tails as tables of the t distribution print them."""
+    from parcelry.functions import t_tail
+
+    table = [(12.706205, 1, 0.05), (2.570582, 5, 0.05), (3.169273, 10, 0.01), (2.042272, 30, 0.05), (0.0, 7, 1.0), (1.983972, 100, 0.05), (-2.570582, 5, 0.05), (1.962339, 1000, 0.05), (6.869, 5, 0.001)]
+    rows = spark.createDataFrame(table, "t double, df int, p double").withColumn("got", t_tail(F.col("t"), F.col("df"))).collect()
+    assert all(r["got"] == pytest.approx(r["p"], rel=2e-4) for r in rows)
+
+
+def test_correlations_over_present_pairs(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 20)) + 1e6
+    x[:, 3] = x[:, 2] * 2
+    x[:, 7] = 4.0
+    rows = [[None if rng.random() < 0.1 else float(v) for v in r] for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"c{k} double" for k in range(20)))
+    from parcelry.operators.explore import correlations
+
+    got = {(r["a"], r["b"]): r["corr"] for r in correlations(df, df.columns).collect()}
+    assert len(got) == 190
+    for (a, b), value in got.items():
+        pairs = [(r[int(a[1:])], r[int(b[1:])]) for r in rows if r[int(a[1:])] is not None and r[int(b[1:])] is not None]
+        if "c7" in (a, b):
+            assert value is None
+        else:
+            assert value == pytest.approx(float(np.corrcoef(np.array(pairs).T)[0, 1]), abs=1e-9)

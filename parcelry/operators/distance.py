@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,35 +25,59 @@ def cell_of(size: Column | float) -> list[Column]:
     return [F.floor(F.col(c) / size) for c in ("x", "y", "z")]
 
 
-def cells_within(reach: Column | float, size: Column | float) -> Column:
-    """The cubes of edge `size` that come within `reach` of x, y, z and meet the sphere, as structs x, y, z."""
-    axis = lambda c: F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size))
-    gap = lambda i, c: F.greatest(i * size - F.col(c), F.col(c) - (i + 1) * size, F.lit(0.0))
-    least = lambda i: F.when(i < 0, -(i + 1) * size).otherwise(i * size)
-    most = lambda i: F.greatest(F.abs(i * size), F.abs((i + 1) * size))
-    square = lambda f, *xs: sum((f(x) * f(x) for x in xs[1:]), f(xs[0]) * f(xs[0]))
-    cubes = F.flatten(F.transform(axis("x"), lambda i: F.flatten(F.transform(axis("y"), lambda j: F.transform(axis("z"), lambda k: F.struct(i.alias("x"), j.alias("y"), k.alias("z")))))))
-    near = lambda c: gap(c["x"], "x") ** 2 + gap(c["y"], "y") ** 2 + gap(c["z"], "z") ** 2 <= reach * reach
-    meets = lambda c: (square(least, c["x"], c["y"], c["z"]) <= EARTH_KM**2 * (1 + 1e-9)) & (square(most, c["x"], c["y"], c["z"]) >= EARTH_KM**2 * (1 - 1e-9))
-    return F.filter(cubes, lambda c: near(c) & meets(c))
+def with_cubes_near(sources: DataFrame, size: float) -> DataFrame:
+    """sources with a row for each cube (cx, cy, cz) of edge `size` that comes within `size` of x, y, z and meets the sphere."""
+    cubes = sources.withColumns({f"c{c}": cube for c, cube in zip("xyz", cell_of(F.lit(size)), strict=True)})
+    for c in ("cx", "cy", "cz"):
+        cubes = cubes.withColumn("_s", F.explode(F.sequence(F.lit(-1), F.lit(1)))).withColumn(c, F.col(c) + F.col("_s")).drop("_s")
+    low = {c: F.col(f"c{c}") * size for c in "xyz"}
+    total = lambda parts: sum(parts[1:], parts[0])
+    gaps = [F.greatest(low[c] - F.col(c), F.col(c) - low[c] - size, F.lit(0.0)) for c in "xyz"]
+    least = [F.greatest(low[c], -low[c] - size, F.lit(0.0)) for c in "xyz"]
+    most = [F.greatest(F.abs(low[c]), F.abs(low[c] + size)) for c in "xyz"]
+    near = total([g * g for g in gaps]) <= size * size
+    meets = (total([v * v for v in least]) <= EARTH_KM**2 * (1 + 1e-9)) & (total([v * v for v in most]) >= EARTH_KM**2 * (1 - 1e-9))
+    return cubes.filter(near & meets)
+
+
+def planar(points: DataFrame, limit_km: float) -> float | None:
+    """The cosine of the highest latitude, where a grid of degrees does: away from the poles and the 180th meridian. Else None."""
+    top, west, east = points.agg(F.max(F.abs("lat")), F.min("lon"), F.max("lon")).first()
+    if top is None or top > 80 or limit_km > 500:
+        return None
+    scale = math.cos(math.radians(top))
+    return scale if min(west, -east) * KM_PER_DEGREE * scale > limit_km - 180 * KM_PER_DEGREE * scale else None
+
+
+def with_cells(points: DataFrame, limit_km: float, scale: float) -> DataFrame:
+    """points with grid cells cx, cy at least limit_km wide everywhere; scale: the cosine of the highest latitude."""
+    return points.withColumn("cx", F.floor(F.col("lon") * (scale * KM_PER_DEGREE) / limit_km)).withColumn("cy", F.floor(F.col("lat") * KM_PER_DEGREE / limit_km))
 
 
 def radius_join(points: DataFrame, limit_km: float = 0.5, include_self: bool = False, others: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
-    """(src, dst, dist_km) with dist < limit_km, by an equi-join on cubes in space: each source looks into the cubes its sphere reaches.
+    """(src, dst, dist_km) with dist < limit_km, by an equi-join on cells: each source looks into the cells its circle may reach.
 
-    Points closer than limit_km on the ground are closer still in a straight line, so that nothing is lost at the poles or across the
-    180th meridian. sources, others: the pids that may be src, or dst; all by default. The pairs of a cube grow with its density, as the
-    result does; a dense cube's join partition is split by AQE.
+    Cells are degrees scaled to the highest latitude; where points come near a pole or the 180th meridian, cubes in space, in which
+    points closer than limit_km on the ground are closer still, so that nothing is lost there. sources, others: the pids that may be
+    src, or dst; all by default. The pairs of a cell grow with its density, as the result does; a dense cell's join partition is split by AQE.
     """
-    size = min(limit_km, 2 * EARTH_KM) * (1 + 1e-9) + 1e-6
-    slim = with_place(points.select("pid", "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL"))
+    slim = points.select("pid", "lat", "lon").filter("lat IS NOT NULL AND lon IS NOT NULL")
+    scale = planar(slim, limit_km)
+    if scale is None:
+        size = min(limit_km, 2 * EARTH_KM) * (1 + 1e-9) + 1e-6
+        cells, slim = ["cx", "cy", "cz"], with_place(slim)
+        placed = slim.withColumns(dict(zip(cells, cell_of(F.lit(size)), strict=True)))
+        around = lambda df: with_cubes_near(df, size)
+    else:
+        cells, placed = ["cx", "cy"], with_cells(slim, limit_km, scale)
+        slim, step = placed, F.sequence(F.lit(-1), F.lit(1))
+        around = lambda df: df.withColumn("_i", F.explode(step)).withColumn("_j", F.explode(step)).withColumns({"cx": F.col("cx") + F.col("_i"), "cy": F.col("cy") + F.col("_j")})
     src = slim if sources is None else slim.join(sources.select("pid"), "pid", "left_semi")
-    src = src.select(F.col("pid").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(cells_within(F.lit(size), F.lit(size))).alias("_c"))
-    src = src.select("src", "lat1", "lon1", *[F.col(f"_c.{c}").alias(f"c{c}") for c in "xyz"])
-    dst = slim.select(F.col("pid").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *[c.alias(f"c{n}") for n, c in zip("xyz", cell_of(F.lit(size)), strict=True)])
+    src = around(src).select(F.col("pid").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), *cells)
+    dst = placed.select(F.col("pid").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *cells)
     if others is not None:
         dst = dst.join(others.select(F.col("pid").alias("dst")), "dst", "left_semi")
-    pairs = src.join(dst, ["cx", "cy", "cz"]).withColumn("dist_km", haversine_km(*[F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]))
+    pairs = src.join(dst, cells).withColumn("dist_km", haversine_km(*[F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]))
     near = pairs.filter(F.col("dist_km") < limit_km)
     return (near if include_self else near.filter("src <> dst")).select("src", "dst", "dist_km")
 
@@ -134,7 +159,7 @@ def nearest_within(points: DataFrame, k: int, limit_km: float = 0.5, crowd: int
 
     inside, cubes = level(size)
     source = places.select(F.col("pid").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "x", "y", "z")
-    state = source.select(*own, F.explode(cells_within(F.lit(size), F.lit(size))).alias("_c")).select(*own, *[F.col(f"_c.{c}").alias(f"c{c}") for c in "xyz"])
+    state = with_cubes_near(source, size)
     pairs = None
     while True:
         met = held(state.join(cubes, cube).select(*own, *cube, "n", "one", "first"))

@@ -232,13 +232,23 @@ def neighbour_features(edges: DataFrame, features: DataFrame, cols: list[str], h
     return joined.select("pid", *[(F.col(c) + F.coalesce(f"nbr_{c}", F.lit(0.0))).alias(c) for c in cols])
 
 
+#: Parts of a node's neighbours that are cut down apart; no more than this many times the fan-out meet in one task for a node.
+HUB_PARTS = 256
+
+
 def sampled_neighbours(edges: DataFrame, fan_out: list[int], order: Callable[[Column, Column, int], Column] | None = None, seed: int = 0) -> DataFrame:
-    """(root, hop, src, dst): at most fan_out[h] neighbours of each node at hop h, in a seeded random order."""
+    """(root, hop, src, dst): at most fan_out[h] neighbours of each node at hop h, in a seeded random order.
+
+    A node's neighbours are first cut down within parts of them, dealt by hash, so that a hub's are not sorted in one task.
+    """
     order = order or (lambda a, b, s: F.xxhash64(F.lit(s), a, b))
     hops, front = [], None
     for hop, most in enumerate(fan_out):
-        rank = F.row_number().over(Window.partitionBy("src").orderBy(order(F.col("src"), F.col("dst"), seed + hop), "dst"))
-        some = edges.select("src", "dst").withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+        some = edges.select("src", "dst", order(F.col("src"), F.col("dst"), seed + hop).alias("_order"), F.pmod(F.xxhash64("dst"), F.lit(HUB_PARTS)).alias("_part"))
+        for part in (["src", "_part"], ["src"]):
+            rank = F.row_number().over(Window.partitionBy(*part).orderBy("_order", "dst"))
+            some = some.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+        some = some.select("src", "dst")
         step = some.withColumn("root", F.col("src")) if front is None else front.select("root", F.col("dst").alias("src")).join(some, "src")
         hops.append(step.select("root", F.lit(hop + 1).alias("hop"), "src", "dst"))
         front = step

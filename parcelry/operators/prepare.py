@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import beta_score, hash_unit
+from .prefix import with_running
 
 
 def rename(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -146,9 +147,17 @@ def row_sample(df: DataFrame, n: int, key: str = "pid", seed: int = 0, order: Co
     return df.orderBy(order if order is not None else hash_unit(seed, F.col(key)), key).limit(n)
 
 
-def resample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """About n rows with replacement."""
-    return df.sample(True, n / max(1, df.count()), seed)
+def resample(df: DataFrame, n: int, key: str = "pid", seed: int = 0, unit: Callable[..., Column] = hash_unit, draw: str = "draw") -> DataFrame:
+    """Exactly n rows with replacement, each with the number of its draw, from 0; of an empty table none.
+
+    A draw is a place in the order of `key`, which must tell rows apart, taken from the seed and the draw's number alone, so that
+    reruns agree. Rows are numbered by ranges, draws are made in parallel, and the two meet by place, which spreads evenly.
+    unit: the uniform numbers.
+    """
+    placed = with_running(df, [], [F.col(key)], position="_place")
+    total = df.count()
+    draws = df.sparkSession.range(n if total else 0).select(F.col("id").alias(draw), (F.floor(unit(seed, F.col("id")) * total) + 1).alias("_place"))
+    return draws.join(placed, "_place").select(*df.columns, draw)
 
 
 def random_scores(df: DataFrame, kind: str = "flat", seed: int = 0, key: str = "pid", name: str = "prob") -> DataFrame:

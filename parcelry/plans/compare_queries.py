@@ -220,6 +220,13 @@ def i2_regularisation(spark, d):
     return models.regularisation_path(some.join(parcel_features(spark, d), "pid"), PARCEL_FEATURES)
 
 
+@query()
+def i2_regularisation_grid(spark, d):
+    """The path of every train size and resolution, all its fits together."""
+    rows = fx.splits(spark, d).join(parcel_features(spark, d), "pid")
+    return models.regularisation_path(rows, PARCEL_FEATURES, by=models.KEY, cell=["train_size", "resolution"])
+
+
 @query()
 def i3_importance(spark, d):
     model, _ = models.fit_and_score(fx.features(spark, d), ALL, models.boosted_trees())
@@ -233,8 +240,19 @@ def i4_one_rule(spark, d):
 
 @query()
 def i5_logistic(spark, d):
-    one = models.fit_and_score(fx.features(spark, d), ["f0"], models.logistic())[1].withColumn("features_used", F.lit(1))
-    return one.unionByName(models.fit_and_score(fx.features(spark, d), ALL, models.logistic())[1].withColumn("features_used", F.lit(fx.EMBEDDED)))
+    one = models.logistic_scores(fx.features(spark, d), ["f0"]).withColumn("features_used", F.lit(1))
+    return one.unionByName(models.logistic_scores(fx.features(spark, d), ALL, penalty=1.0).withColumn("features_used", F.lit(fx.EMBEDDED)))
+
+
+@query(f"""WITH RECURSIVE t AS MATERIALIZED (SELECT embedding[1]::DOUBLE AS x, (label < 3)::INT::DOUBLE AS y FROM embeddings WHERE vec_id % 4 >= 2),
+fit AS (SELECT 0 AS k, 0e0 AS a, 0e0 AS b UNION ALL
+  SELECT k + 1, a + (hxx*g - hx*gx)/(h*hxx - hx*hx), b + (h*gx - hx*g)/(h*hxx - hx*hx) FROM (
+    SELECT k, a, b, sum(y - q) AS g, sum((y - q)*x) AS gx, sum(q*(1 - q)) AS h, sum(q*(1 - q)*x) AS hx, sum(q*(1 - q)*x*x) AS hxx
+    FROM (SELECT k, a, b, x, y, 1/(1 + exp(-a - b*x)) AS q FROM fit, t WHERE k < 15) GROUP BY k, a, b))
+SELECT vec_id AS pid, CASE vec_id % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'calibration' ELSE 'train' END AS role, (label < 3)::INT AS label, {R('1/(1 + exp(-a - b*embedding[1]::DOUBLE))', 'prob')} FROM embeddings, fit WHERE k = 15""")
+def i5_one_feature(spark, d):
+    """SQL takes fifteen Newton steps of its own."""
+    return models.logistic_scores(fx.features(spark, d).select("pid", "role", "label", "f0"), ["f0"])
 
 
 @query()
@@ -244,9 +262,8 @@ def i6_decision_tree(spark, d):
 
 @query()
 def i7_spatial_model(spark, d):
-    """Features and place, one fit for each split of one train size and resolution, which are this model's parameters."""
-    some = fx.splits(spark, d).filter("train_size = 0.4e0 AND resolution = 10")
-    return models.per_experiment(some, parcel_features(spark, d), ["year_built", "lat", "lon"], models.boosted_trees(), "spatial")
+    """Features and place, one fit for each train size, tile resolution and split."""
+    return models.per_experiment(fx.splits(spark, d), parcel_features(spark, d), ["year_built", "lat", "lon"], models.boosted_trees(), "spatial")
 
 
 @query()
@@ -254,7 +271,28 @@ def i8_calibration(spark, d):
     return models.calibrated(models.fit_and_score(fx.features(spark, d), ALL, models.boosted_trees())[1])
 
 
-@query()
+def _minor(i: int, j: int) -> str:
+    """Cofactor of the symmetric matrix h00 .. h22."""
+    (a, b), (c, e) = [k for k in range(3) if k != i], [k for k in range(3) if k != j]
+    h = lambda r, q: f"h{min(r, q)}{max(r, q)}"
+    return f"{'-' if (i + j) % 2 else ''}({h(a, c)}*{h(b, e)} - {h(a, e)}*{h(b, c)})"
+
+
+_DET = " + ".join(f"h0{j}*({_minor(0, j)})" for j in range(3))
+_STEPS = ", ".join(f"w{i} + ({' + '.join(f'({_minor(i, j)})*g{j}' for j in range(3))})/({_DET}) AS w{i}" for i in range(3))
+_GRADIENT = ", ".join(f"sum((y - q)*x{i}){f' - w{i}' if i < 2 else ''} AS g{i}" for i in range(3))
+_SECOND = ", ".join(f"sum(q*(1 - q)*x{i}*x{j}){' + 1' if i == j < 2 else ''} AS h{i}{j}" for i in range(3) for j in range(i, 3))
+
+
+@query(f"""WITH RECURSIVE wide AS MATERIALIZED (SELECT train_size, resolution, split, pid, role, label, max(prob) FILTER (WHERE model = 'a') AS x0, max(prob) FILTER (WHERE model = 'b') AS x1, 1e0 AS x2 FROM predictions JOIN labels USING (pid) GROUP BY ALL),
+one AS (SELECT train_size, resolution, split, min(label) AS low, max(label) AS high FROM wide WHERE role = 'train' GROUP BY ALL),
+t AS MATERIALIZED (SELECT train_size, resolution, split, label::DOUBLE AS y, x0, x1, x2 FROM wide JOIN one USING (train_size, resolution, split) WHERE role = 'train' AND low < high),
+fit AS (SELECT DISTINCT train_size, resolution, split, 0 AS k, 0e0 AS w0, 0e0 AS w1, 0e0 AS w2 FROM t UNION ALL
+  SELECT train_size, resolution, split, k + 1, {_STEPS} FROM (
+    SELECT train_size, resolution, split, k, w0, w1, w2, {_GRADIENT}, {_SECOND}
+    FROM (SELECT t.*, k, w0, w1, w2, 1/(1 + exp(-w0*x0 - w1*x1 - w2)) AS q FROM fit JOIN t USING (train_size, resolution, split) WHERE k < 15) GROUP BY train_size, resolution, split, k, w0, w1, w2))
+SELECT train_size, resolution, split, pid, role, label, {R('CASE WHEN low = high THEN low::DOUBLE ELSE 1/(1 + exp(-w0*x0 - w1*x1 - w2)) END', 'prob')}, {R('w0', 'coef_a')}, {R('w1', 'coef_b')}, {R('w2', 'coef_intercept')}
+FROM wide JOIN one USING (train_size, resolution, split) LEFT JOIN (SELECT * FROM fit WHERE k = 15) USING (train_size, resolution, split)""")
 def i9_stacking(spark, d):
     """Both models' scores stacked in every experiment, with its coefficients beside each score."""
     scores, coefficients = models.stacked(fx.predictions(spark, d), fx.labels(spark, d), ["a", "b"])

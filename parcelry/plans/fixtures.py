@@ -220,9 +220,10 @@ def sql(body: str) -> str:
                 needed.append(name)
 
     need(body)
-    own, body = ("", body) if not body.startswith("WITH ") else (",\n", body.removeprefix("WITH "))
-    ahead = "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n].strip()})" for n in needed)
-    return ahead + (own or "\n") + body if needed else ("WITH " if own else "") + body
+    lead = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.startswith(w)), "")
+    own, body = ",\n" if lead else "", body.removeprefix(lead)
+    ahead = (lead or "WITH ") + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n].strip()})" for n in needed)
+    return ahead + (own or "\n") + body if needed else lead + body
 
 
 Query = Callable[[SparkSession, str], DataFrame]

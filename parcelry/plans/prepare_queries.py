@@ -164,17 +164,24 @@ def b27_row_sample(spark, d):
     return p.row_sample(fx.parcels(spark, d).select("pid", "tract"), 100, order=F.expr("(pid*7919 + 42*97) % 1000003"))
 
 
+def unit_sql(seed: int, key: str = "pid") -> str:
+    x = f"(({key}*7919 + {seed}*104729 + 4074) % 1000003)"
+    return f"((((({x}*{x}) % 1000003) * (({x}*{x}) % 1000003)) % 1000003) * {x}) % 1000003 / 1000003e0"
+
+
+@query(f"""SELECT pid, tract, draw FROM (SELECT pid, tract, row_number() OVER (ORDER BY pid) AS place FROM parcels)
+JOIN (SELECT k AS draw, floor({unit_sql(5, 'k')} * (SELECT count(*) FROM parcels))::BIGINT + 1 AS place FROM range(500) r(k)) USING (place)""")
+def b27_resample(spark, d):
+    """500 rows with replacement."""
+    return p.resample(fx.parcels(spark, d).select("pid", "tract"), 500, seed=5, unit=arithmetic_unit)
+
+
 @query(f"SELECT model, train_size, resolution, split, role, pid, {R('prob')} FROM predictions")
 def b28_union(spark, d):
     rows = fx.predictions(spark, d)
     return rows.filter("role = 'train'").unionByName(rows.filter("role = 'test'"))
 
 
-def unit_sql(seed: int) -> str:
-    x = f"((pid*7919 + {seed}*104729 + 4074) % 1000003)"
-    return f"((((({x}*{x}) % 1000003) * (({x}*{x}) % 1000003)) % 1000003) * {x}) % 1000003 / 1000003e0"
-
-
 @query(f"""SELECT pid, {R('u', 'flat')}, {R('greatest(least(u, v), least(greatest(u, v), w))', 'middle')}, {R('pow(sin(3.141592653589793e0*u/2), 2)', 'ends')}
 FROM (SELECT pid, {unit_sql(3)} AS u, {unit_sql(4)} AS v, {unit_sql(5)} AS w FROM parcels)""")
 def b29_random_scores(spark, d):

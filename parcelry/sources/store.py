@@ -36,10 +36,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back, so that several uses share one computation."""
+def held(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """df written to the shared folder and read back, so that several uses share one computation.
+
+    by: columns of numbers whose values have folders of their own, so that a filter on them reads these alone.
+    """
     path = scratch(df.sparkSession, "held")
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,8 +77,10 @@ def load_splits(spark: SparkSession, path: str, train_size: float | None = None,
     return out.select("train_size", "resolution", "split", "pid", "role")
 
 
-def save_predictions(predictions: DataFrame, path: str, mode: str = "append") -> str:
-    return write_table(predictions, path, by=["model", *EXPERIMENT], mode=mode)
+def save_predictions(predictions: DataFrame, path: str, by: Sequence[str] = (*EXPERIMENT, "split")) -> str:
+    """Predictions in a folder for each model and experiment. A run that is made again replaces its own folders and no others."""
+    predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", *by).parquet(path)
+    return path
 
 
 def load_predictions(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:

@@ -144,3 +144,8 @@ def tile_stats(tiles: DataFrame, data: DataFrame, target: str, features: Sequenc
     wide = found.groupBy(*tile).agg(*[F.max(F.when(F.col("feature") == c, F.col("q"))).alias(f"_q_{c}") for c in features])
     named = [F.col(f"_q_{c}")[k].alias(f"{c}_{name}") for c in features for k, name in enumerate(("q25", "median", "q75"))]
     return with_quantiles(out, wide, tile).select(*out.columns, *named)
+
+
+def parcel_tile_stats(tiles: DataFrame, data: DataFrame, target: str, features: Sequence[str] = ()) -> DataFrame:
+    """The statistics of its tile beside each parcel: resolution, tile_id, pid and the columns of `tile_stats`, null where no parcel of the tile has data."""
+    return tiles.select("resolution", "tile_id", "pid").join(tile_stats(tiles, data, target, features), ["resolution", "tile_id"], "left")

@@ -71,6 +71,15 @@ def c7_tile_stats(spark, d):
     return tiling.tile_stats(fx.tiles(spark, d), data, "label", ["bldg_value"])
 
 
+@query(f"""SELECT resolution, tile_id, t.pid, n, "sum", {R('rate')}, {R('bldg_value_mean')}, {R('bldg_value_std')}, {R('bldg_value_min')}, {R('bldg_value_max')}, {R('bldg_value_q25')}, {R('bldg_value_median')}, {R('bldg_value_q75')}
+FROM tiles t LEFT JOIN (SELECT resolution, tile_id, count(*) AS n, sum(label)::BIGINT AS "sum", avg(label) AS rate, avg(bldg_value) AS bldg_value_mean, stddev(bldg_value) AS bldg_value_std, min(bldg_value) AS bldg_value_min, max(bldg_value) AS bldg_value_max,
+quantile_cont(bldg_value, 0.25) AS bldg_value_q25, quantile_cont(bldg_value, 0.5) AS bldg_value_median, quantile_cont(bldg_value, 0.75) AS bldg_value_q75
+FROM tiles t JOIN parcels p ON t.pid = p.pid JOIN labels l ON l.pid = p.pid GROUP BY resolution, tile_id) USING (resolution, tile_id)""")
+def c7_parcel_tile_stats(spark, d):
+    data = fx.labels(spark, d).join(fx.parcels(spark, d).select("pid", "bldg_value"), "pid")
+    return tiling.parcel_tile_stats(fx.tiles(spark, d), data, "label", ["bldg_value"])
+
+
 @query(f"SELECT {R('min(lat)', 'min_lat')}, {R('max(lat)', 'max_lat')}, {R('min(lon)', 'min_lon')}, {R('max(lon)', 'max_lon')} FROM parcels")
 def c8_bounds(spark, d):
     return tiling.bounds(fx.parcels(spark, d))

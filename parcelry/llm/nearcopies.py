@@ -1,43 +1,52 @@
 """Near copies by the Jaccard similarity of word shingles.
 
-Candidates: the first of a text's PRINT min-hashes are taken in BANDS bands of ROWS, and texts that agree on a whole band meet in a bucket.
-Two texts of similarity 0.8 meet nowhere with probability (1 - 0.8^5)^30 = 7 in a million, more similar ones yet less. What
-meets is verified by the shingle sets themselves.
+The search is operator 7's, with a print wide enough for similarity 0.8: SimHash, an inverted index of positional bytes, a tally of each pair
+over all lists, a minimum, verification, components.
 
-Texts fold by their words first, so exact copies are one entry. A bucket of at most SHORT texts is paired. In a longer one all texts meet
+Print: BYTES * 8 bits, each 1 if more than half of the shingles' hashes have it. Two texts of similarity 0.8 (a cosine of 0.89) differ in
+15 % of the bits and agree in 27 % of the bytes; MOST_APART is 5 deviations above.
+
+Index: a list is of three positions with their bytes. LISTS sets of nine positions are drawn once; a text is posted under the first byte of each, with
+the other eight beside it, and their 28 pairs make the lists of that bucket. Each pair of texts is tallied over all lists, and one that meets
+less than LEAST_MET times is dropped. At exactly 0.8 a pair meets 52 times on average, and less than twice with probability 12 in a million
+(simulated). What is left is verified by the bits, then by the shingle sets themselves. Sets of up to SMALL shingles, for
+whose prints the 15 % don't hold, are also joined exactly: similar ones of different size differ by one shingle.
+
+Texts fold by their words first, so exact copies are one entry. A list of at most SHORT texts is paired. In a longer one all texts meet
 a pivot, the one with most company (an original is closer to its copies than they are to each other). What is linked to it is
-one component; of the others those are left to compare, with all texts of the bucket, that can be similar to any: a shingle that
-no other text of a long bucket has is shared with none, which bounds the similarity from above, exactly. A pair is
-verified if neither these bounds nor the texts' prints, PRINT places of four bits of the min-hashes, rule it out. At
-similarity 0.8 a place agrees with probability 0.81, 156 places do on average, and LEAST_EQUAL is 4.4 deviations below.
+one component; of the others those are left to compare, with all texts of the list, that can be similar to any: a shingle that
+no other text of a long list has is shared with none, which bounds the similarity from above, exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, slices
 from .simhash import components
 
-BANDS, ROWS = 30, 5
-PRINT = 192
-LEAST_EQUAL = 132
-SHORT = 30
-#: Pivots tried in a long bucket, one after the other, before its texts are compared with each other.
-PIVOTS = 1
+BYTES = 256
+LISTS = 96
+LEAST_MET = 2
+MOST_APART = 391
+SHORT = 8
+SMALL = 8
+#: Postings that a task looks through at once; a bucket (texts with the same byte at the same place) is never parted.
+CHUNK = 200_000
 #: At most so many text hashes are broadcast to fetch the candidates' texts; beyond it, a shuffled join.
 BROADCAST_TEXTS = 200_000
 _DRAW = np.random.Generator(np.random.PCG64(7))
-_RANDOM = _DRAW.integers(0, 1 << 31, (2, PRINT), np.uint32) * np.uint32(2) + np.uint32(1)
+_SALTS, _FACTORS, _LAST = _DRAW.integers(0, 1 << 63, (3, BYTES // 8), np.uint64) * np.uint64(2) + np.uint64(1)
 #: A word's hash is multiplied by its place in the shingle; the last mixes the sum.
 _PLACE = _DRAW.integers(0, 1 << 63, 65, np.uint64) * np.uint64(2) + np.uint64(1)
-
+_POSITIONS = np.array([_DRAW.choice(BYTES, 9, replace=False) for _ in range(LISTS)])
 
 
 def folded(text: str | None) -> list[bytes]:
@@ -57,35 +66,32 @@ def shingle_set(words: list[bytes], width: int) -> np.ndarray:
 
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """PRINT min-hashes."""
-    high, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(PRINT, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(high), 512):
-        some = high[at : at + 512, None] ^ _RANDOM[0]
-        some *= _RANDOM[1]
-        np.minimum(least, some.min(0), out=least)
-    return least
-
-
-
-def signature(least: np.ndarray) -> tuple[list[int], list[int]]:
-    """The bands' keys, and the print as four planes of three longs."""
-    import xxhash
+def wide_print(shingles: np.ndarray) -> np.ndarray:
+    """The SimHash of BYTES * 8 bits, as longs. A shingle's bits are its hash, mixed anew for every 64 of them."""
+    ones = np.zeros(BYTES * 8, np.int64)
+    for at in range(0, len(shingles), 255):
+        mixed = (shingles[at : at + 255, None] ^ _SALTS) * _FACTORS
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _LAST
+        mixed ^= mixed >> np.uint64(32)
+        ones += np.add.reduce(np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64)
 
-    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS)
-    bands = np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
-    planes = np.zeros((4, 192), np.uint8)
-    planes[:, :PRINT] = [least >> np.uint32(k) & np.uint32(1) for k in range(4)]
-    return bands.tolist(), np.packbits(planes, bitorder="little").view(np.int64).tolist()
 
+def small_sums(shingles: np.ndarray) -> list[int]:
+    """Of a set of up to SMALL shingles its sum (exclusive or), then the sums without one of them."""
+    if not 0 < len(shingles) <= SMALL:
+        return []
+    whole = np.bitwise_xor.reduce(shingles)
+    return np.append(whole, whole ^ shingles).view(np.int64).tolist()
 
 
 def add_nodes(docs: DataFrame, text: str, width: int, kind: str) -> DataFrame:
-    """docs without the text, with _node, the hash of its words (0 where there are none), and by kind _size, _bands and _print, or _set."""
+    """docs without the text, with _node, the hash of its words (0 where there are none), and by kind _size, _print and _sums, or _set."""
     import xxhash
 
     held = [c for c in docs.columns if c != text]
-    made = ["_bands", "_print"] if kind == "bands" else ["_set"]
+    made = ["_print", "_sums"] if kind == "print" else ["_set"]
     fields = [T.StructField("_node", T.LongType()), T.StructField("_size", T.IntegerType())] + [T.StructField(c, T.ArrayType(T.LongType())) for c in made]
     schema = T.StructType([docs.schema[c] for c in held] + fields)
     names, longs = schema.names, pa.list_(pa.int64())
@@ -101,19 +107,107 @@ def add_nodes(docs: DataFrame, text: str, width: int, kind: str) -> DataFrame:
                 if kind == "set":
                     one.append(found.view(np.int64).tolist())
                 else:
-                    bands, bits = signature(minima(found)) if words else ([], [])
-                    one.append(bands)
-                    two.append(bits)
-            new = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(one, longs)] + ([pa.array(two, longs)] if kind == "bands" else [])
+                    one.append(wide_print(found).tolist() if words else [])
+                    two.append(small_sums(found))
+            new = [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(one, longs)] + ([pa.array(two, longs)] if kind == "print" else [])
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in held] + new, names=names)
 
     return docs.select(*held, text).mapInArrow(nodes, schema)
 
 
-def equal_places(a: str, b: str) -> Column:
-    """How many places of two prints have the same four bits."""
-    xor = [F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))) for k in range(12)]
-    return F.lit(PRINT) - sum(F.bit_count(xor[k].bitwiseOR(xor[k + 3]).bitwiseOR(xor[k + 6]).bitwiseOR(xor[k + 9])) for k in range(3))
+def postings(once: DataFrame) -> DataFrame:
+    """(_at, _rest, _node): of each text LISTS rows. _at: list, byte and the text's size; _rest: the eight other bytes."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                print_bytes = some.column("_print").flatten().to_numpy().view(np.uint8).reshape(-1, BYTES)
+                chosen, sizes = print_bytes[:, _POSITIONS], some.column("_size").to_numpy().astype(np.int64)
+                ats = (np.arange(LISTS) << 8 | chosen[:, :, 0].astype(np.int64)) << 32 | sizes[:, None]
+                rest = np.ascontiguousarray(chosen[:, :, 1:]).reshape(-1, 8).view(np.int64)
+                nodes = np.repeat(some.column("_node").to_numpy(), LISTS)
+                yield pa.RecordBatch.from_arrays([pa.array(x.reshape(-1)) for x in (ats, rest, nodes)], names=["_at", "_rest", "_node"])
+
+    return once.filter("_size > 0").select("_node", "_size", "_print").mapInArrow(post, "_at long, _rest long, _node long")
+
+
+def meet(at: np.ndarray, rest: np.ndarray, node: np.ndarray, similarity: float, short: int) -> tuple[np.ndarray, ...]:
+    """What meets in whole buckets: (key, a, b, n) of long lists (key, text, pivot, size), then of pairs (0, text, text, lists), once a pair."""
+    bucket, size, one = at >> 32, at & 0xFFFFFFFF, rest.view(np.uint8).reshape(-1, 8).astype(np.int64)
+    rows, company, paired, long = len(at), np.zeros(len(at), np.int64), [], []
+    for t, (x, y) in enumerate(combinations(range(8), 2)):
+        order = np.sort((bucket << 16 | one[:, x] << 8 | one[:, y]) << 32 | np.arange(rows))
+        key, order = order >> 32, order & 0xFFFFFFFF
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.diff(np.append(starts, rows))
+        n = np.repeat(n, n)
+        met = n > 1
+        key, order, n = key[met], order[met], n[met]
+        company[order] += n
+        few = n <= short
+        k, o = key[few], order[few]
+        for d in range(1, min(short, len(k))):
+            i = np.flatnonzero(k[d:] == k[:-d])
+            a, b = o[i], o[i + d]
+            alike = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+            paired.append((np.minimum(a, b) * rows + np.maximum(a, b))[alike])
+        if not few.all():
+            long.append((key[~few] << 5 | t, order[~few]))
+    pairs, lists = np.unique(np.concatenate([np.zeros(0, np.int64), *paired]), return_counts=True)
+    a, b = node[pairs // rows], node[pairs % rows]
+    out = [(np.zeros(len(pairs), np.int64), np.minimum(a, b), np.maximum(a, b), lists)]
+    for key, order in long:
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        best = np.maximum.reduceat(company[order] << 32 | order, starts) & 0xFFFFFFFF
+        pivot = np.repeat(best, np.diff(np.append(starts, len(key))))
+        out.append((key + 1, node[order], node[pivot], size[order]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def met(posted: DataFrame, similarity: float, short: int) -> DataFrame:
+    """(_key, a, b, _n) as meet() gives them, of all postings: dealt by bucket, sorted, looked through a few buckets at a time."""
+    names = ["_key", "a", "b", "_n"]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, waiting, enough = [], 0, CHUNK
+        whole = lambda: [np.concatenate(x) for x in zip(*kept, strict=True)]
+        found = lambda part: pa.RecordBatch.from_arrays([pa.array(x) for x in meet(*part, similarity, short)], names=names)
+        for batch in batches:
+            kept.append([batch.column(k).to_numpy() for k in range(3)])
+            waiting += batch.num_rows
+            if waiting >= enough:
+                part = whole()
+                end = int(np.searchsorted(part[0] >> 32, part[0][-1] >> 32))
+                if end:
+                    yield found([x[:end] for x in part])
+                kept, waiting = [[x[end:] for x in part]], waiting - end
+                enough = max(CHUNK, 2 * waiting)
+        if waiting:
+            yield found(whole())
+
+    dealt = posted.repartition(F.shiftright("_at", 32)).sortWithinPartitions("_at")
+    return dealt.mapInArrow(look, "_key long, a long, b long, _n long")
+
+
+def bits_apart(a: str, b: str) -> Column:
+    """In how many bits two prints differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose prints differ in MOST_APART bits at most, and those of small sets."""
+    for end in "ab":
+        pairs = pairs.join(prints.select(F.col("_node").alias(end), F.col("_size").alias(f"_s{end}"), F.col("_print").alias(f"_p{end}")), end)
+    return pairs.filter((F.greatest("_sa", "_sb") <= SMALL) | (bits_apart("_pa", "_pb") <= MOST_APART)).select("a", "b")
+
+
+def small_pairs(once: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of up to SMALL shingles of which one is the other and one shingle more."""
+    some = once.filter(F.size("_sums") > 0).select("_node", "_sums")
+    whole = some.select(F.col("_node").alias("_x"), F.get("_sums", F.lit(0)).alias("_sum"))
+    less = some.filter(F.size("_sums") > 5).select(F.col("_node").alias("_y"), F.explode(F.slice("_sums", 2, SMALL)).alias("_sum"))
+    return whole.join(less, "_sum").filter("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -128,18 +222,6 @@ def reachable(most_shared: Column, x: Column, y: Column, similarity: float) -> C
     return most_shared * (1 + similarity) >= (x + y) * similarity - 1e-9
 
 
-def pair_up(left: DataFrame, right: DataFrame, apart: Column) -> DataFrame:
-    """Distinct pairs a < b of (_key, _x, ..) and (_key, _y, ..) that are `apart`."""
-    met = left.join(right, "_key").filter(apart)
-    return met.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).filter("a < b").distinct()
-
-
-def sides(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(_key, _x, ..) and (_key, _y, ..): each column but the key with x or y after its name."""
-    named = lambda end: members.select("_key", F.col("_node").alias(f"_{end}"), *[F.col(c).alias(c + end) for c in members.columns if c not in ("_key", "_node")])
-    return named("x"), named("y")
-
-
 def candidate_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, text: str, width: int) -> DataFrame:
     """(_node, _size, _set) of the nodes, from one text of each."""
     texts = rows.join(nodes, "_node", "left_semi").groupBy("_node").agg(F.min("_text").alias("_text")).select("_text")
@@ -149,10 +231,6 @@ def candidate_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, text: str
     return cut(add_nodes(own.select(text), text, width, "set"))
 
 
-def with_components(members: DataFrame, roots: DataFrame) -> DataFrame:
-    return members.join(roots.withColumnsRenamed({"node": "_node", "root": "_c"}), "_node", "left").withColumn("_c", F.coalesce("_c", "_node"))
-
-
 def lone_shingles(sets: DataFrame) -> DataFrame:
     """(_node, _lone): of each text with such ones the number of shingles that no other text has."""
     each = sets.select("_node", F.explode("_set").alias("_s"))
@@ -166,81 +244,67 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     nothing in a component's smallest id; an empty table gives an empty one.
     """
     if similarity < 0.8 or not 1 <= width <= 64:
-        raise ValueError("bands and prints are laid out for similarities of 0.8 and more, shingles of up to 64 words")
+        raise ValueError("lists and prints are laid out for similarities of 0.8 and more, shingles of up to 64 words")
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_body"), F.xxhash64(text).alias("_text"))
-    rows = cut(add_nodes(docs, "_body", width, "bands"))
+    made = cut(add_nodes(docs, "_body", width, "print"))
+    rows = made.select("_id", "_text", "_node")
     ids = rows.groupBy("_node").agg(F.min("_id").alias("_least"))
-    once = rows.groupBy("_node").agg(F.max("_size").alias("_size"), F.max("_bands").alias("_bands"))
-    posted = once.select("_node", "_size", F.explode("_bands").alias("_key"))
-    sizes = posted.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    posted = cut(posted.join(sizes, "_key"))
-    few, long = posted.filter(F.col("_n") <= short), posted.filter(F.col("_n") > short)
-    alike = reachable(F.least("_sizex", "_sizey"), F.col("_sizex"), F.col("_sizey"), similarity)
-    prints = rows.groupBy("_node").agg(F.max("_print").alias("_print"))
-    pairs = pair_up(*sides(few), (F.col("_x") < F.col("_y")) & alike)
-    for end in "ab":
-        pairs = pairs.join(prints.select(F.col("_node").alias(end), F.col("_print").alias(f"_p{end}")), end)
-    pairs = cut(pairs.filter(equal_places("_pa", "_pb") >= LEAST_EQUAL).select("a", "b"))
+    once = cut(made.groupBy("_node").agg(*[F.max(c).alias(c) for c in ("_size", "_print", "_sums")]))
+    found = cut(met(postings(once), similarity, short))
+    tallied = found.filter("_key = 0").groupBy("a", "b").agg(F.sum("_n").alias("_met")).filter(F.col("_met") >= LEAST_MET).select("a", "b")
+    pairs = cut(tallied.unionByName(small_pairs(once)).distinct())
+    long = found.filter("_key <> 0").select("_key", F.col("a").alias("_node"), F.col("b").alias("_pivot"), F.col("_n").cast("int").alias("_size"))
     if long.isEmpty():
+        pairs = cut(close(pairs, once))
         nodes = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
         roots = components(verified(pairs, candidate_sets(docs, rows, nodes, "_body", width), similarity))
     else:
-        roots = with_long_buckets(docs, rows, pairs, long, alike, similarity, width)
+        roots = with_long_lists(docs, rows, once, pairs, long, similarity, width)
     grouped = ids.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
     least = grouped.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return rows.select(F.col("_id").alias(id_col), "_node").join(grouped.join(least, "_root").select("_node", "component_id"), "_node").drop("_node")
 
 
-def with_long_buckets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, long: DataFrame, alike: Column, similarity: float, width: int) -> DataFrame:
-    """The components where some buckets are long. pairs: those of the short buckets."""
-    members = long.select("_node").distinct()
+def with_root(members: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+    return members.join(roots.withColumnsRenamed({"node": node, "root": name}), node, "left").withColumn(name, F.coalesce(name, node))
+
+
+def merged(roots: DataFrame, linked: DataFrame) -> DataFrame:
+    """roots where the pairs (a, b) are linked too: links join roots, which are few beside the nodes."""
+    above = cut(components(with_root(with_root(linked, roots, "a", "_ra"), roots, "b", "_rb").select(F.col("_ra").alias("a"), F.col("_rb").alias("b"))))
+    above = above.select(F.col("node").alias("root"), F.col("root").alias("_above"))
+    moved = roots.join(above, "root", "left").select("node", F.coalesce("_above", "root").alias("root"))
+    return cut(moved.unionByName(above.select(F.col("root").alias("node"), F.col("_above").alias("root")).join(roots.select("node"), "node", "left_anti")))
+
+
+def with_long_lists(docs: DataFrame, rows: DataFrame, once: DataFrame, pairs: DataFrame, long: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The components where some lists are long. pairs: those of the short lists; long: (_key, _node, _pivot, _size).
+
+    Each text meets the pivot that most texts have, first; other pairs count only where that has not linked them already.
+    """
+    members = cut(long.select("_node").distinct())
     nodes = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).union(members).distinct()
     sets = candidate_sets(docs, rows, nodes, "_body", width)
+    stars = cut(long.filter("_node <> _pivot").select("_node", "_pivot").distinct())
+    company = stars.withColumn("_company", F.count("*").over(Window.partitionBy("_pivot")))
+    best = company.groupBy("_node").agg(F.max(F.struct("_company", "_pivot"))["_pivot"].alias("_pivot"))
+    paired = lambda df: df.select(F.least("_node", "_pivot").alias("a"), F.greatest("_node", "_pivot").alias("b"))
+    roots = cut(components(verified(paired(best).distinct(), sets, similarity)))
+    pairs = cut(pairs.unionByName(paired(stars)).distinct())
+    apart = with_root(with_root(pairs, roots, "a", "_ra"), roots, "b", "_rb").filter("_ra <> _rb").select("a", "b")
+    roots = merged(roots, cut(verified(close(apart, once), sets, similarity)))
+    # Too many shingles of its own: similar to no text of its long lists.
     lone = lone_shingles(sets.join(members, "_node", "left_semi"))
-    prints = rows.join(members, "_node", "left_semi").groupBy("_node").agg(F.max("_print").alias("_print"))
-    company = long.groupBy("_node").agg(F.sum("_n").alias("_company"))
-    known = prints.join(company, "_node").join(lone, "_node", "left").fillna(0, subset=["_lone"])
-    long = cut(long.join(known, "_node").drop("_n"))
-    found, pivot = verified(pairs, sets, similarity), cut(pivots(long))
-    first = tried_pivots = pivot.select("_key", "_node")
-    for turn in range(PIVOTS):
-        tried = cut(pair_up(sides(pivot)[0], sides(long)[1], (F.col("_x") != F.col("_y")) & alike).join(pairs, ["a", "b"], "left_anti"))
-        pairs = pairs.unionByName(tried)
-        found = cut(found.unionByName(verified(tried, sets, similarity)))
-        roots = components(found)
-        now = with_components(long, roots)
-        main = now.join(first, ["_key", "_node"]).select("_key", F.col("_c").alias("_main"))
-        # Too many shingles of its own: similar to no text of its long buckets.
-        own = reachable(F.col("_size") - F.col("_lone"), F.col("_size"), F.col("_size") - F.col("_lone"), similarity)
-        rest = cut(now.join(main, "_key").filter((F.col("_c") != F.col("_main")) & own).drop("_main"))
-        if rest.isEmpty():
-            return roots
-        reached = now.join(tried_pivots, ["_key", "_node"]).select("_key", "_c").distinct()
-        fresh = rest.join(reached, ["_key", "_c"], "left_anti").drop("_c")
-        if turn + 1 == PIVOTS or fresh.isEmpty():
-            break
-        pivot = cut(pivots(fresh))
-        tried_pivots = tried_pivots.unionByName(pivot.select("_key", "_node"))
-    met = now.join(rest.select("_key").distinct(), "_key", "left_semi")
-    # A text has BANDS buckets at most: a pair that meets in several is made in the first of them.
-    keys = long.groupBy("_node").agg(F.collect_list("_key").alias("_keys"))
-    rest, met = rest.join(keys, "_node"), met.join(keys, "_node")
-    shared = F.least(F.col("_sizex") - F.col("_lonex"), F.col("_sizey") - F.col("_loney"))
-    open_pair = (F.col("_cx") != F.col("_cy")) & reachable(shared, F.col("_sizex"), F.col("_sizey"), similarity) & (equal_places("_printx", "_printy") >= LEAST_EQUAL)
-    open_pair &= F.col("_key") == F.array_min(F.array_intersect("_keysx", "_keysy"))
-    more = cut(pair_up(sides(rest)[0], sides(met)[1], open_pair).join(pairs, ["a", "b"], "left_anti"))
-    linked = cut(verified(more, sets, similarity))
-    if linked.isEmpty():
+    shared = F.col("_size") - F.col("_lone")
+    known = lambda df: with_root(df, roots, "_node", "_c").join(lone, "_node", "left").fillna(0, subset=["_lone"])
+    left = cut(with_root(with_root(stars, roots, "_node", "_c"), roots, "_pivot", "_main").filter("_c <> _main").select("_node", "_pivot"))
+    rest = cut(known(long.join(left, ["_node", "_pivot"], "left_semi")).filter(reachable(shared, F.col("_size"), shared, similarity)))
+    if rest.isEmpty():
         return roots
-    # Links between components join their roots; what they reach is few beside the rest.
-    end = lambda df, c: df.join(roots.withColumnsRenamed({"node": c, "root": f"_{c}"}), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
-    above = cut(components(end(end(linked, "a"), "b")).select(F.col("node").alias("root"), F.col("root").alias("_above")))
-    moved = roots.join(above, "root", "left").select("node", F.coalesce("_above", "root").alias("root"))
-    return moved.unionByName(above.select(F.col("root").alias("node"), F.col("_above").alias("root")).join(roots.select("node"), "node", "left_anti"))
-
-
-def pivots(members: DataFrame) -> DataFrame:
-    """Of each bucket the text with most company."""
-    names = [c for c in members.columns if c not in ("_key", "_company", "_node")]
-    best = members.groupBy("_key").agg(F.max(F.struct("_company", "_node", *names)).alias("_best"))
-    return best.select("_key", *[F.col(f"_best.{c}").alias(c) for c in members.columns if c != "_key"])
+    now = known(long.join(rest.select("_key").distinct(), "_key", "left_semi"))
+    named = lambda df, end: df.select("_key", *[F.col(c).alias(c + end) for c in ("_node", "_size", "_lone", "_c")])
+    common = F.least(F.col("_sizex") - F.col("_lonex"), F.col("_sizey") - F.col("_loney"))
+    open_pair = (F.col("_cx") != F.col("_cy")) & reachable(common, F.col("_sizex"), F.col("_sizey"), similarity)
+    more = named(rest, "x").join(named(now, "y"), "_key").filter(open_pair).select(F.least("_nodex", "_nodey").alias("a"), F.greatest("_nodex", "_nodey").alias("b"))
+    linked = cut(verified(close(more.distinct().join(pairs, ["a", "b"], "left_anti"), once), sets, similarity))
+    return roots if linked.isEmpty() else merged(roots, linked)

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+import parcelry.llm.nearcopies as nc
 from parcelry.llm.nearcopies import near_copy_groups
 
 DOCS = "doc_id bigint, text string"
@@ -74,3 +76,59 @@ def test_one_of_each_edited_copy_stays(spark):
     rows = made(random.Random(3), 6, 3, 0.02)
     want = sorted(set(brute(rows)[0].values()))
     assert sorted(r["doc_id"] for r in cp.near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()) == want and len(want) < len(rows) - 4
+
+
+def plain_print(text):
+    """Bit by bit: 1 if more than half of the distinct shingles' mixed hashes have it."""
+    import numpy as np
+
+    hashes, keep = nc.shingle_set(text.lower().encode().split(), 5).tolist(), (1 << 64) - 1
+    bits = []
+    for salt, factor, last in zip(nc._SALTS.tolist(), nc._FACTORS.tolist(), nc._LAST.tolist(), strict=True):
+        mixed = []
+        for h in hashes:
+            m = ((h ^ salt) * factor) & keep
+            m = ((m ^ m >> 29) * last) & keep
+            mixed.append(m ^ m >> 32)
+        bits += [2 * sum(m >> k & 1 for m in mixed) > len(mixed) for k in range(64)]
+    return np.array(bits)
+
+
+def test_search_is_simhash_with_a_tally_of_positional_bytes(spark):
+    """Prints follow the definition; each pair's tally is the number of lists (three positions, same bytes) that the two share."""
+    from itertools import combinations
+
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(500)}" for _ in range(300)]
+    texts = [" ".join(words), edited(words, 4, rng), edited(words, 6, rng), " ".join(f"v{rng.randrange(500)}" for _ in range(280))]
+    once = nc.add_nodes(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], DOCS), "text", 5, "print")
+    rows = {r["_node"]: r for r in once.collect()}
+    bytes_of = {}
+    for r in rows.values():
+        bits = plain_print(texts[r["doc_id"]])
+        assert [v & ((1 << 64) - 1) for v in r["_print"]] == [sum(int(b) << k for k, b in enumerate(bits[at : at + 64])) for at in range(0, len(bits), 64)]
+        bytes_of[r["_node"]] = [tuple(bits[at : at + 8]) for at in range(0, len(bits), 8)]
+    want = {}
+    for a, b in combinations(sorted(rows), 2):
+        same = [x == y for x, y in zip(bytes_of[a], bytes_of[b], strict=True)]
+        if n := sum(same[p[0]] and same[p[x]] and same[p[y]] for p in nc._POSITIONS.tolist() for x, y in combinations(range(1, 9), 2)):
+            want[a, b] = n
+    got = {(r["a"], r["b"]): r["n"] for r in nc.met(nc.postings(once), 0.8, 8).filter("_key = 0").groupBy("a", "b").agg(F.sum("_n").alias("n")).collect()}
+    assert got == want and len(want) >= 3
+
+
+@pytest.mark.parametrize("short", [1, 8])
+def test_pairs_at_the_bound_are_found(spark, short):
+    """Pairs at exactly 0.8, of 4 against 5 shingles up to 180 against 180; none just below links."""
+    rng, rows, fresh = random.Random(13), [], iter(range(10**7))
+    new = lambda n: [f"z{next(fresh)}" for _ in range(n)]
+    for k in range(150):
+        n = 4 if k < 50 else 9 * rng.randrange(1, 21)
+        both = new(n + 4 if n == 4 else n // 9 * 8 + 4)
+        more = 1 if n == 4 else n // 9
+        rows += [(4 * k, " ".join(both + ([] if n == 4 else new(more)))), (4 * k + 1, " ".join(both + new(more)))]
+        below = new(n + 4)
+        rows += [(4 * k + 2, " ".join(below)), (4 * k + 3, " ".join(below + new(n // 4 + 1)))]
+    want, linked = brute(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_copy_groups(spark.createDataFrame(rows, DOCS), short=short).collect()}
+    assert linked == 150 and got == want

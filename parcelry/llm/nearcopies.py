@@ -7,15 +7,18 @@ Print: BYTES * 8 bits, each 1 if more than half of the shingles' hashes have it.
 15 % of the bits and agree in 27 % of the bytes; MOST_APART is 5 deviations above.
 
 Index: a list is of three positions with their bytes. LISTS sets of nine positions are drawn once; a text is posted under the first byte of each, with
-the other eight beside it, and their 28 pairs make the lists of that bucket. Each pair of texts is tallied over all lists, and one that meets
-less than LEAST_MET times is dropped. At exactly 0.8 a pair meets 52 times on average, and less than twice with probability 12 in a million
-(simulated). What is left is verified by the bits, then by the shingle sets themselves. Sets of up to SMALL shingles, for
-whose prints the 15 % don't hold, are also joined exactly: similar ones of different size differ by one shingle.
-
-Texts fold by their words first, so exact copies are one entry. A list of at most SHORT texts is paired. In a longer one all texts meet
-a pivot, the one with most company (an original is closer to its copies than they are to each other). What is linked to it is
-one component; of the others those are left to compare, with all texts of the list, that can be similar to any: a shingle that
-no other text of a long list has is shared with none, which bounds the similarity from above, exactly.
+the other eight beside it, and their 28 pairs make the lists of that bucket. A bucket hands on the pairs of texts that meet in LEAST_MET of its
+lists (four equal bytes), with their number; these are tallied over all buckets. At exactly 0.8 a pair gets there nowhere with probability
+7 in a million (0.9^LISTS, for independent bytes), and what meets by chance shrinks with 32 bits, not with 24. What is left is verified
+by the bits, then by the shingle sets themselves. Sets of up to SMALL shingles, for whose prints the 15 % don't hold, are also
+joined exactly: similar ones of different size differ by one shingle.
+
+Texts fold by their words first, so exact copies are one entry. A large group of near copies would still meet in pairs. So the lists of the first
+CROWD_LISTS buckets are looked through before: where more than SHORT texts meet, each of them is compared with a pivot alone, the one with
+most company (an original is closer to its copies than they are to each other). Of the texts so compared, the crowd, all lists then make the pairs
+that may still link: not those linked already, nor those that exact bounds rule out. A shingle that no other text of the crowd has is
+shared with none; and two texts share at most what both share with one pivot and what each has beside it. Pairs with texts outside the crowd
+are all made.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,14 +36,17 @@ from .common import cut, slices
 from .simhash import components
 
 BYTES = 256
-LISTS = 96
-LEAST_MET = 2
+LISTS = 112
+CROWD_LISTS = 16
+LEAST_MET = 3
 MOST_APART = 391
 SHORT = 8
 SMALL = 8
+#: Pairs that a task looks at, or adds up, at once.
+PAIRS = 1 << 22
 #: Postings that a task looks through at once; a bucket (texts with the same byte at the same place) is never parted.
 CHUNK = 200_000
-#: At most so many text hashes are broadcast to fetch the candidates' texts; beyond it, a shuffled join.
+#: At most so many texts' keys are broadcast to fetch what belongs to them; beyond it, a shuffled join.
 BROADCAST_TEXTS = 200_000
 _DRAW = np.random.Generator(np.random.PCG64(7))
 _SALTS, _FACTORS, _LAST = _DRAW.integers(0, 1 << 63, (3, BYTES // 8), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,66 +121,128 @@ def add_nodes(docs: DataFrame, text: str, width: int, kind: str) -> DataFrame:
     return docs.select(*held, text).mapInArrow(nodes, schema)
 
 
-def postings(once: DataFrame) -> DataFrame:
-    """(_at, _rest, _node): of each text LISTS rows. _at: list, byte and the text's size; _rest: the eight other bytes."""
+def postings(once: DataFrame, lists: int = LISTS) -> DataFrame:
+    """(_at, _rest, _node), and _about where once has it: of each text `lists` rows. _at: list, byte and the text's size; _rest: the eight other bytes."""
+    more = [c for c in ("_about",) if c in once.columns]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 some = batch.slice(at, 2000)
                 print_bytes = some.column("_print").flatten().to_numpy().view(np.uint8).reshape(-1, BYTES)
-                chosen, sizes = print_bytes[:, _POSITIONS], some.column("_size").to_numpy().astype(np.int64)
-                ats = (np.arange(LISTS) << 8 | chosen[:, :, 0].astype(np.int64)) << 32 | sizes[:, None]
+                chosen, sizes = print_bytes[:, _POSITIONS[:lists]], some.column("_size").to_numpy().astype(np.int64)
+                ats = (np.arange(lists) << 8 | chosen[:, :, 0].astype(np.int64)) << 32 | sizes[:, None]
                 rest = np.ascontiguousarray(chosen[:, :, 1:]).reshape(-1, 8).view(np.int64)
-                nodes = np.repeat(some.column("_node").to_numpy(), LISTS)
-                yield pa.RecordBatch.from_arrays([pa.array(x.reshape(-1)) for x in (ats, rest, nodes)], names=["_at", "_rest", "_node"])
+                each = np.repeat(np.arange(some.num_rows), lists)
+                new = [pa.array(x.reshape(-1)) for x in (ats, rest)] + [some.column(c).take(pa.array(each)) for c in ("_node", *more)]
+                yield pa.RecordBatch.from_arrays(new, names=["_at", "_rest", "_node", *more])
 
-    return once.filter("_size > 0").select("_node", "_size", "_print").mapInArrow(post, "_at long, _rest long, _node long")
+    schema = "_at long, _rest long, _node long" + ", _about array<long>" * len(more)
+    return once.filter("_size > 0").select("_node", "_size", "_print", *more).mapInArrow(post, schema)
 
 
-def meet(at: np.ndarray, rest: np.ndarray, node: np.ndarray, similarity: float, short: int) -> tuple[np.ndarray, ...]:
-    """What meets in whole buckets: (key, a, b, n) of long lists (key, text, pivot, size), then of pairs (0, text, text, lists), once a pair."""
-    bucket, size, one = at >> 32, at & 0xFFFFFFFF, rest.view(np.uint8).reshape(-1, 8).astype(np.int64)
-    rows, company, paired, long = len(at), np.zeros(len(at), np.int64), [], []
-    for t, (x, y) in enumerate(combinations(range(8), 2)):
-        order = np.sort((bucket << 16 | one[:, x] << 8 | one[:, y]) << 32 | np.arange(rows))
-        key, order = order >> 32, order & 0xFFFFFFFF
+def lists_of(at: np.ndarray, rest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The lists of whole buckets, by pairs of positions: (rows, starts, n) of those with two texts or more, rows ascending in each."""
+    one, rows = rest.view(np.uint8).reshape(-1, 8).astype(np.int64), np.arange(len(at))
+    for x, y in combinations(range(8), 2):
+        order = np.sort((at >> 32 << 16 | one[:, x] << 8 | one[:, y]) << 32 | rows)
+        key = order >> 32
         starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        n = np.diff(np.append(starts, rows))
-        n = np.repeat(n, n)
-        met = n > 1
-        key, order, n = key[met], order[met], n[met]
-        company[order] += n
-        few = n <= short
-        k, o = key[few], order[few]
-        for d in range(1, min(short, len(k))):
-            i = np.flatnonzero(k[d:] == k[:-d])
-            a, b = o[i], o[i + d]
-            alike = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
-            paired.append((np.minimum(a, b) * rows + np.maximum(a, b))[alike])
-        if not few.all():
-            long.append((key[~few] << 5 | t, order[~few]))
-    pairs, lists = np.unique(np.concatenate([np.zeros(0, np.int64), *paired]), return_counts=True)
-    a, b = node[pairs // rows], node[pairs % rows]
-    out = [(np.zeros(len(pairs), np.int64), np.minimum(a, b), np.maximum(a, b), lists)]
-    for key, order in long:
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        best = np.maximum.reduceat(company[order] << 32 | order, starts) & 0xFFFFFFFF
-        pivot = np.repeat(best, np.diff(np.append(starts, len(key))))
-        out.append((key + 1, node[order], node[pivot], size[order]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        n = np.diff(np.append(starts, len(key)))
+        order, n = (order & 0xFFFFFFFF)[np.repeat(n, n) > 1], n[n > 1]
+        yield order, np.cumsum(n) - n, n
+
 
+def tallied(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    each, place = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_inverse=True)
+    return each, np.bincount(place, np.concatenate([np.zeros(0, np.int64), *counts]), len(each)).astype(np.int64)
 
-def met(posted: DataFrame, similarity: float, short: int) -> DataFrame:
-    """(_key, a, b, _n) as meet() gives them, of all postings: dealt by bucket, sorted, looked through a few buckets at a time."""
+
+def meet(at: np.ndarray, rest: np.ndarray, node: np.ndarray, about: np.ndarray, similarity: float, least: int) -> tuple[np.ndarray, ...]:
+    """The pairs (0, a, b, n) that meet in n >= least lists of whole buckets and may be similar.
+
+    about: of each text of the crowd its root, the number of its shingles that others of the crowd have, its pivot, and how many of these
+    shingles the pivot has; -1 for others. A text of the crowd with too few such shingles meets none but those outside.
+    """
+    size, crowd = at & 0xFFFFFFFF, about[:, 1] >= 0
+    kind = np.where(crowd, ~reachable(about[:, 1], size, about[:, 1], similarity), -1)
+    kind, root = np.array([2, 1, 0])[kind + 1], np.where(crowd, about[:, 0], node)
+    # In a list: texts that meet the outside alone, then the open ones, root by root, then the outside.
+    first = np.lexsort((root, kind))
+    at, rest, node, size, kind, root, crowd = (x[first] for x in (at, rest, node, size, kind, root, crowd))
+    shared, pivot, near = about[first, 1:].T
+    run = np.cumsum(np.append(0, (kind[1:] != kind[:-1]) | (root[1:] != root[:-1])))
+    rows, codes, counts, waiting = len(at), [], [], 0
+    for order, starts, n in lists_of(at, rest):
+        if not len(order):
+            continue
+        turn = np.append(True, run[order][1:] != run[order][:-1])
+        turn[starts] = True
+        runs = np.diff(np.append(np.flatnonzero(turn), len(order)))
+        end, outside = np.repeat(starts + n, n), np.repeat(np.add.reduceat(kind[order] == 2, starts, dtype=np.int64), n)
+        begin = np.where(kind[order] == 0, end - outside, np.repeat(np.cumsum(runs), runs))
+        many = end - begin
+        total, at_once = np.cumsum(many), 0
+        while at_once < len(order):
+            done = total[at_once - 1] if at_once else 0
+            upto = max(at_once + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+            m = many[at_once:upto]
+            a = np.repeat(order[at_once:upto], m)
+            b = order[np.repeat(begin[at_once:upto] - (np.cumsum(m) - m), m) + np.arange(len(a))]
+            at_once = upto
+            most = np.where(crowd[a] & crowd[b], np.minimum(shared[a], shared[b]), np.minimum(size[a], size[b]))
+            by_pivot = np.minimum(near[a], near[b]) + np.minimum(shared[a] - near[a], shared[b] - near[b])
+            most = np.where(crowd[a] & crowd[b] & (pivot[a] == pivot[b]), np.minimum(most, by_pivot), most)
+            open_pair = reachable(most, size[a], size[b], similarity)
+            a, b = a[open_pair], b[open_pair]
+            codes.append(np.minimum(a, b) * rows + np.maximum(a, b))
+            counts.append(np.ones(len(a), np.int64))
+            waiting += len(a)
+            if waiting > PAIRS:
+                codes, counts = ([x] for x in tallied(codes, counts))
+                waiting = 0
+    pairs, lists = tallied(codes, counts)
+    pairs, lists = pairs[lists >= least], lists[lists >= least]
+    a, b = node[pairs // rows], node[pairs % rows]
+    return np.zeros(len(pairs), np.int64), np.minimum(a, b), np.maximum(a, b), lists
+
+
+def stars(at: np.ndarray, rest: np.ndarray, node: np.ndarray, short: int) -> tuple[np.ndarray, ...]:
+    """(1, text, pivot, company) of whole buckets: each text of a list of more than `short` with the pivot of most company, once a bucket."""
+    first = np.lexsort((node, at >> 32))
+    at, rest, node = at[first], rest[first], node[first]
+    company, best, long = np.zeros(len(at), np.int64), np.full(len(at), -1), []
+    for order, starts, n in lists_of(at, rest):
+        company[order] += np.repeat(n - 1, n)
+        if (more := n > short).any():
+            long.append((order[np.repeat(more, n)], n[more]))
+    for order, n in long:
+        most = np.maximum.reduceat(company[order] << 32 | order, np.cumsum(n) - n)
+        best[order] = np.maximum(best[order], np.repeat(most, n))
+    found = np.flatnonzero(best >= 0)
+    return np.ones(len(found), np.int64), node[found], node[best[found] & 0xFFFFFFFF], best[found] >> 32
+
+
+def met(posted: DataFrame, similarity: float, short: int, least: int = 1, crowded: bool = False) -> DataFrame:
+    """(_key, a, b, _n) as meet(), or if crowded stars(), gives them, of all postings: dealt by bucket, sorted, looked through a few buckets at a time."""
     names = ["_key", "a", "b", "_n"]
 
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        about = np.full((batch.num_rows, 4), -1)
+        if "_about" in batch.schema.names:
+            known = batch.column("_about").is_valid().to_numpy(zero_copy_only=False)
+            about[known] = batch.column("_about").drop_null().flatten().to_numpy().reshape(-1, 4)
+        return [batch.column(k).to_numpy() for k in range(3)] + [about]
+
+    def found(part: list[np.ndarray]) -> pa.RecordBatch:
+        rows = stars(*part[:3], short) if crowded else meet(*part, similarity, least)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=names)
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, waiting, enough = [], 0, CHUNK
         whole = lambda: [np.concatenate(x) for x in zip(*kept, strict=True)]
-        found = lambda part: pa.RecordBatch.from_arrays([pa.array(x) for x in meet(*part, similarity, short)], names=names)
         for batch in batches:
-            kept.append([batch.column(k).to_numpy() for k in range(3)])
+            kept.append(columns(batch))
             waiting += batch.num_rows
             if waiting >= enough:
                 part = whole()
@@ -210,11 +278,15 @@ def small_pairs(once: DataFrame) -> DataFrame:
     return whole.join(less, "_sum").filter("_x <> _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).distinct()
 
 
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with _k, the number of shingles they share, and _x and _y, the numbers they have."""
+    left, right = sets.select(F.col("_node").alias("a"), F.col("_set").alias("_sa")), sets.select(F.col("_node").alias("b"), F.col("_set").alias("_sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("_sa", "_sb")).alias("_k"), F.size("_sa").alias("_x"), F.size("_sb").alias("_y"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have at least that Jaccard similarity."""
-    left, right = sets.select(F.col("_node").alias("a"), F.col("_set").alias("_sa")), sets.select(F.col("_node").alias("b"), F.col("_set").alias("_sb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("_k", F.size(F.array_intersect("_sa", "_sb")))
-    return both.filter(F.col("_k") / (F.size("_sa") + F.size("_sb") - F.col("_k")) >= similarity).select("a", "b")
+    return overlaps(pairs, sets).filter(F.col("_k") / (F.col("_x") + F.col("_y") - F.col("_k")) >= similarity).select("a", "b")
 
 
 def reachable(most_shared: Column, x: Column, y: Column, similarity: float) -> Column:
@@ -222,12 +294,19 @@ def reachable(most_shared: Column, x: Column, y: Column, similarity: float) -> C
     return most_shared * (1 + similarity) >= (x + y) * similarity - 1e-9
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TEXTS else df
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
+
+
 def candidate_sets(docs: DataFrame, rows: DataFrame, nodes: DataFrame, text: str, width: int) -> DataFrame:
     """(_node, _size, _set) of the nodes, from one text of each."""
     texts = rows.join(nodes, "_node", "left_semi").groupBy("_node").agg(F.min("_text").alias("_text")).select("_text")
-    texts = cut(texts)
-    wanted = F.broadcast(texts) if texts.count() <= BROADCAST_TEXTS else texts
-    own = docs.join(wanted, "_text", "left_semi").dropDuplicates(["_text"])
+    own = docs.join(few(cut(texts)), "_text", "left_semi").dropDuplicates(["_text"])
     return cut(add_nodes(own.select(text), text, width, "set"))
 
 
@@ -250,61 +329,40 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     rows = made.select("_id", "_text", "_node")
     ids = rows.groupBy("_node").agg(F.min("_id").alias("_least"))
     once = cut(made.groupBy("_node").agg(*[F.max(c).alias(c) for c in ("_size", "_print", "_sums")]))
-    found = cut(met(postings(once), similarity, short))
-    tallied = found.filter("_key = 0").groupBy("a", "b").agg(F.sum("_n").alias("_met")).filter(F.col("_met") >= LEAST_MET).select("a", "b")
-    pairs = cut(tallied.unionByName(small_pairs(once)).distinct())
-    long = found.filter("_key <> 0").select("_key", F.col("a").alias("_node"), F.col("b").alias("_pivot"), F.col("_n").cast("int").alias("_size"))
-    if long.isEmpty():
-        pairs = cut(close(pairs, once))
-        nodes = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
-        roots = components(verified(pairs, candidate_sets(docs, rows, nodes, "_body", width), similarity))
-    else:
-        roots = with_long_lists(docs, rows, once, pairs, long, similarity, width)
+    crowd, links = crowded(docs, rows, once, similarity, width, short)
+    posted = postings(once if crowd is None else once.join(few(crowd), "_node", "left"))
+    found = met(posted, similarity, short, LEAST_MET).groupBy("a", "b").agg(F.sum("_n").alias("_met")).filter(F.col("_met") >= LEAST_MET).select("a", "b")
+    pairs = cut(found.unionByName(small_pairs(once)).distinct())
+    pairs = cut(close(pairs, once.join(few(cut(ends(pairs))), "_node", "left_semi")))
+    linked = verified(pairs, candidate_sets(docs, rows, ends(pairs), "_body", width), similarity)
+    roots = cut(components(linked if links is None else linked.unionByName(links)))
     grouped = ids.join(roots.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
     least = grouped.groupBy("_root").agg(F.min("_least").alias("component_id"))
     return rows.select(F.col("_id").alias(id_col), "_node").join(grouped.join(least, "_root").select("_node", "component_id"), "_node").drop("_node")
 
 
-def with_root(members: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
-    return members.join(roots.withColumnsRenamed({"node": node, "root": name}), node, "left").withColumn(name, F.coalesce(name, node))
-
-
-def merged(roots: DataFrame, linked: DataFrame) -> DataFrame:
-    """roots where the pairs (a, b) are linked too: links join roots, which are few beside the nodes."""
-    above = cut(components(with_root(with_root(linked, roots, "a", "_ra"), roots, "b", "_rb").select(F.col("_ra").alias("a"), F.col("_rb").alias("b"))))
-    above = above.select(F.col("node").alias("root"), F.col("root").alias("_above"))
-    moved = roots.join(above, "root", "left").select("node", F.coalesce("_above", "root").alias("root"))
-    return cut(moved.unionByName(above.select(F.col("root").alias("node"), F.col("_above").alias("root")).join(roots.select("node"), "node", "left_anti")))
-
-
-def with_long_lists(docs: DataFrame, rows: DataFrame, once: DataFrame, pairs: DataFrame, long: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The components where some lists are long. pairs: those of the short lists; long: (_key, _node, _pivot, _size).
-
-    Each text meets the pivot that most texts have, first; other pairs count only where that has not linked them already.
-    """
-    members = cut(long.select("_node").distinct())
-    nodes = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).union(members).distinct()
-    sets = candidate_sets(docs, rows, nodes, "_body", width)
-    stars = cut(long.filter("_node <> _pivot").select("_node", "_pivot").distinct())
-    company = stars.withColumn("_company", F.count("*").over(Window.partitionBy("_pivot")))
-    best = company.groupBy("_node").agg(F.max(F.struct("_company", "_pivot"))["_pivot"].alias("_pivot"))
-    paired = lambda df: df.select(F.least("_node", "_pivot").alias("a"), F.greatest("_node", "_pivot").alias("b"))
-    roots = cut(components(verified(paired(best).distinct(), sets, similarity)))
-    pairs = cut(pairs.unionByName(paired(stars)).distinct())
-    apart = with_root(with_root(pairs, roots, "a", "_ra"), roots, "b", "_rb").filter("_ra <> _rb").select("a", "b")
-    roots = merged(roots, cut(verified(close(apart, once), sets, similarity)))
-    # Too many shingles of its own: similar to no text of its long lists.
-    lone = lone_shingles(sets.join(members, "_node", "left_semi"))
-    shared = F.col("_size") - F.col("_lone")
-    known = lambda df: with_root(df, roots, "_node", "_c").join(lone, "_node", "left").fillna(0, subset=["_lone"])
-    left = cut(with_root(with_root(stars, roots, "_node", "_c"), roots, "_pivot", "_main").filter("_c <> _main").select("_node", "_pivot"))
-    rest = cut(known(long.join(left, ["_node", "_pivot"], "left_semi")).filter(reachable(shared, F.col("_size"), shared, similarity)))
-    if rest.isEmpty():
-        return roots
-    now = known(long.join(rest.select("_key").distinct(), "_key", "left_semi"))
-    named = lambda df, end: df.select("_key", *[F.col(c).alias(c + end) for c in ("_node", "_size", "_lone", "_c")])
-    common = F.least(F.col("_sizex") - F.col("_lonex"), F.col("_sizey") - F.col("_loney"))
-    open_pair = (F.col("_cx") != F.col("_cy")) & reachable(common, F.col("_sizex"), F.col("_sizey"), similarity)
-    more = named(rest, "x").join(named(now, "y"), "_key").filter(open_pair).select(F.least("_nodex", "_nodey").alias("a"), F.greatest("_nodex", "_nodey").alias("b"))
-    linked = cut(verified(close(more.distinct().join(pairs, ["a", "b"], "left_anti"), once), sets, similarity))
-    return roots if linked.isEmpty() else merged(roots, linked)
+def crowded(docs: DataFrame, rows: DataFrame, once: DataFrame, similarity: float, width: int, short: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """(_node, _about) of the texts that meet in lists of more than `short`, as meet() takes it, and their links (a, b); None where there are none."""
+    star = cut(met(postings(once, CROWD_LISTS), similarity, short, crowded=True).filter("a <> b").select(F.col("a").alias("_node"), F.col("b").alias("_pivot")).distinct())
+    if star.isEmpty():
+        return None, None
+    pull = cut(star.groupBy("_pivot").agg(F.count("*").alias("_pull")))
+    # Each text's pivot is the one with most texts; a pivot goes with the one it has itself, so that a group ends at one.
+    each = star.join(pull, "_pivot").select("_node", "_pull", "_pivot").unionByName(pull.select(F.col("_pivot").alias("_node"), "_pull", "_pivot"))
+    best = cut(each.groupBy("_node").agg(F.max(F.struct("_pull", "_pivot"))["_pivot"].alias("_pivot")))
+    above = best.select(F.col("_node").alias("_pivot"), F.col("_pivot").alias("_above"))
+    best = cut(best.join(above, "_pivot").select("_node", F.col("_above").alias("_pivot")))
+    sets = candidate_sets(docs, rows, best.select("_node"), "_body", width)
+    tried = star.unionByName(best.filter("_node <> _pivot")).select(F.least("_node", "_pivot").alias("a"), F.greatest("_node", "_pivot").alias("b")).distinct()
+    tried = cut(overlaps(tried, sets))
+    links = tried.filter(F.col("_k") / (F.col("_x") + F.col("_y") - F.col("_k")) >= similarity).select("a", "b")
+    roots = cut(components(links))
+    size = F.size("_set")
+    paired = best.withColumns({"a": F.least("_node", "_pivot"), "b": F.greatest("_node", "_pivot")}).join(tried.select("a", "b", "_k"), ["a", "b"], "left").drop("a", "b")
+    about = paired.join(sets.select("_node", size.alias("_size")), "_node").join(lone_shingles(sets), "_node", "left")
+    about = about.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
+    shared = F.col("_size") - F.coalesce("_lone", F.lit(0))
+    # All that a pivot has is near itself, but for what none other has.
+    near = F.coalesce("_k", shared)
+    values = [F.coalesce("root", "_node"), shared, F.col("_pivot"), near]
+    return cut(about.select("_node", F.array(*[v.cast("long") for v in values]).alias("_about"))), roots.select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -132,3 +132,52 @@ def test_pairs_at_the_bound_are_found(spark, short):
     want, linked = brute(rows)
     got = {r["doc_id"]: r["component_id"] for r in near_copy_groups(spark.createDataFrame(rows, DOCS), short=short).collect()}
     assert linked == 150 and got == want
+
+
+def test_a_large_group_costs_no_pairs(spark, monkeypatch):
+    """500 copies of one text, from alike to far apart, and 30 texts like some of them: few pairs are left to compare, and no link is lost."""
+    rng, made_of, count = random.Random(17), [f"w{k}" for k in range(150)], []
+    rows = [(0, " ".join(made_of))]
+    for k in range(1, 500):
+        at = rng.sample(range(150), rng.randrange(1, 13))
+        rows.append((k, " ".join(f"x{k}y{p}" if p in at else w for p, w in enumerate(made_of))))
+    for k in range(30):
+        rows.append((1000 + k, edited(rows[rng.randrange(500)][1].split(), rng.randrange(1, 4), rng)))
+    rng.shuffle(rows)
+    close = nc.close
+
+    def counted(pairs, prints):
+        count.append(pairs.count())
+        return close(pairs, prints)
+
+    monkeypatch.setattr(nc, "close", counted)
+    want, linked = brute(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_copy_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == want and linked > 2000 and len(set(want.values())) > 100
+    assert sum(count) < 20 * len(rows)
+
+
+def test_bounds_of_a_crowd_lose_no_pair(spark):
+    """Pairs of a crowd that neither share a root nor break a bound are made, with texts outside the crowd all."""
+    import numpy as np
+
+    rng, words = random.Random(19), [f"w{k}" for k in range(100)]
+    texts = [" ".join(words)] + [edited(words, 1, rng) for _ in range(5)]
+    once = nc.add_nodes(spark.createDataFrame(list(enumerate(texts)), DOCS), "text", 5, "print").orderBy("doc_id")
+    posted = nc.postings(once).toPandas()
+    order = np.argsort(posted["_at"].to_numpy() >> 32, kind="stable")
+    at, rest, node = (posted[c].to_numpy()[order] for c in ("_at", "_rest", "_node"))
+    nodes = [r["_node"] for r in once.collect()]
+
+    def pairs(*about):
+        found = nc.meet(at, rest, node, np.array([about[nodes.index(x)] for x in node.tolist()]), 0.8, 3)
+        return {frozenset((nodes.index(a), nodes.index(b))) for a, b in zip(found[1].tolist(), found[2].tolist(), strict=True)}
+
+    out, p = (-1, -1, -1, -1), nodes[0]
+    every = {frozenset((a, b)) for a in range(6) for b in range(a)}
+    assert pairs(out, out, out, out, out, out) == every
+    # 1 and 2 of one root; 3 has too little that others have; 4 and 5 share at most 60 + 10 with the pivot's texts, or go by another.
+    held = pairs((1, 96, p, 96), (1, 96, p, 92), (1, 96, p, 92), (2, 70, p, 70), (3, 96, p, 60), out)
+    assert held == {frozenset(x) for x in [(0, 5), (1, 5), (2, 5), (3, 5), (4, 5)]}
+    other = pairs((1, 96, p, 96), (1, 96, p, 92), (1, 96, p, 92), (2, 70, p, 70), (3, 96, nodes[1], 60), out)
+    assert other == held | {frozenset(x) for x in [(0, 4), (1, 4), (2, 4)]}

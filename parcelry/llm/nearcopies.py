@@ -161,7 +161,7 @@ def tallied(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 def meet(at: np.ndarray, rest: np.ndarray, node: np.ndarray, about: np.ndarray, similarity: float, least: int) -> tuple[np.ndarray, ...]:
     """The pairs (0, a, b, n) that meet in n >= least lists of whole buckets and may be similar.
 
-    about: of each text of the crowd its root, the number of its shingles that others of the crowd have, its pivot, and how many of these
+    about: of each text of the crowd its root (the pivot, if it is linked to that, or itself), the number of its shingles that others of the crowd have, its pivot, and how many of these
     shingles the pivot has; -1 for others. A text of the crowd with too few such shingles meets none but those outside.
     """
     size, crowd = at & 0xFFFFFFFF, about[:, 1] >= 0
@@ -355,14 +355,11 @@ def crowded(docs: DataFrame, rows: DataFrame, once: DataFrame, similarity: float
     sets = candidate_sets(docs, rows, best.select("_node"), "_body", width)
     tried = star.unionByName(best.filter("_node <> _pivot")).select(F.least("_node", "_pivot").alias("a"), F.greatest("_node", "_pivot").alias("b")).distinct()
     tried = cut(overlaps(tried, sets))
-    links = tried.filter(F.col("_k") / (F.col("_x") + F.col("_y") - F.col("_k")) >= similarity).select("a", "b")
-    roots = cut(components(links))
-    size = F.size("_set")
-    paired = best.withColumns({"a": F.least("_node", "_pivot"), "b": F.greatest("_node", "_pivot")}).join(tried.select("a", "b", "_k"), ["a", "b"], "left").drop("a", "b")
-    about = paired.join(sets.select("_node", size.alias("_size")), "_node").join(lone_shingles(sets), "_node", "left")
-    about = about.join(roots.withColumnRenamed("node", "_node"), "_node", "left")
+    linked = F.col("_k") / (F.col("_x") + F.col("_y") - F.col("_k")) >= similarity
+    paired = best.withColumns({"a": F.least("_node", "_pivot"), "b": F.greatest("_node", "_pivot")}).join(tried.withColumn("_linked", linked), ["a", "b"], "left")
+    about = paired.join(sets.select("_node", F.size("_set").alias("_size")), "_node").join(lone_shingles(sets), "_node", "left")
     shared = F.col("_size") - F.coalesce("_lone", F.lit(0))
     # All that a pivot has is near itself, but for what none other has.
     near = F.coalesce("_k", shared)
-    values = [F.coalesce("root", "_node"), shared, F.col("_pivot"), near]
-    return cut(about.select("_node", F.array(*[v.cast("long") for v in values]).alias("_about"))), roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    values = [F.when(F.col("_linked"), F.col("_pivot")).otherwise(F.col("_node")), shared, F.col("_pivot"), near]
+    return cut(about.select("_node", F.array(*[v.cast("long") for v in values]).alias("_about"))), tried.filter(linked).select("a", "b")

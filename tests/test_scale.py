@@ -60,6 +60,13 @@ def test_lowess_of_many_points(spark):
         assert got[i] == pytest.approx((p * c - q * b) / (a * c - b * b), abs=1e-6)
 
 
+def test_lowess_where_robust_weights_leave_few_points(spark):
+    """A level stretch before a curve, as of mean costs: beside the bend only the outermost points of a window keep weight, and they are level."""
+    curve = spark.range(2400).select(F.col("id").alias("x"), F.when(F.col("id") < 1900, 5000.0).otherwise(5000 + 2000 * (1 - 1900 / F.col("id")) + F.pmod(F.col("id") * 7919, F.lit(13)) / 10).alias("y"))
+    got = np.array([r[0] for r in costs.lowess(curve, "x", "y").orderBy("x").select("y_smooth").collect()])
+    assert np.abs(got[:1900] - 5000).max() < 1e-7
+
+
 def graph(rng, n, degree=4):
     return [(i, j, rng.random() + 0.1) for i in range(n) for j in rng.sample(range(max(0, i - 9), min(n, i + 9)), degree) if i != j]
 

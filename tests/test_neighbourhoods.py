@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelry.functions import rounded
-from parcelry.operators import distance
+from parcelry.operators import distance, prepare
 
 EVEN = "lat double, lon double, pid bigint"
 
@@ -83,6 +83,15 @@ def test_samples_and_lowest(spark):
         assert {(r["src"], r["dst"], r["rank"]) for r in made.filter(F.col("graph") == graph).collect()} == want
 
 
+def test_lists_and_requests(spark):
+    points, rows = city(spark, 200)
+    want = plain(rows, 0.4)
+    got = {r["src"]: (r["dst_pids"], r["v"]) for r in distance.lists_within(points, 0.4, lambda a, b, d: a + 2.0 * b, "v").collect()}
+    assert got == {a: (sorted(x), [a + 2.0 * b for b in sorted(x)]) for a, x in want.items() if x}
+    plainly = prepare.route_requests(distance.radius_join(points, 0.4), points)
+    assert sorted(map(tuple, distance.requests_within(points, 0.4).collect())) == sorted(map(tuple, plainly.collect()))
+
+
 def test_rounding_by_whole_numbers(spark):
     values = [0.1234564, 0.1234565, -0.1234566, 2.5e-7, -1e-9, 123456789.0123456, 3e18, float("nan"), None, float("-inf")]
     got = [r[0] for r in rounded(spark.createDataFrame([(v,) for v in values], "v double")).collect()]
